@@ -68,13 +68,24 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def identifiers(sentences: dict[str, str] = SENTENCES) -> tuple[dict[str, str], dict[str, str]]:
+    """Identifier of each normalised sentence; and each entry's own sequence of them.
+
+    An entry that a text's punctuation would cut is known by its parts.
+    """
+    known: dict[str, str] = {}
+    parts = {}
+    for name, whole in sentences.items():
+        cut = [normalised(x) for x in re.split(r"(?<=[.;:!?])\s+", whole)]
+        for x in cut:
+            known.setdefault(x, name if len(cut) == 1 else f"{name}~{len(known)}")
+        parts[name] = "|".join(known[x] for x in cut)
+    return known, parts
+
+
 def scan_licenses(df: DataFrame, text: str = "text", rules=RULES, sentences=None) -> DataFrame:
     """``df`` with n_sentences, n_known, sequence, licences and kinds (arrays by rule order)."""
-    known: dict[str, str] = {}
-    for k, s in (sentences or SENTENCES).items():
-        for part in re.split(r"(?<=[.;:!?])\s+", s):  # a colon may end a part of one, as in texts
-            known.setdefault(normalised(part), k if normalised(part) == normalised(s) else f"{k}~{len(known)}")
-    parts = {k: "|".join(known[normalised(p)] for p in re.split(r"(?<=[.;:!?])\s+", s)) for k, s in (sentences or SENTENCES).items()}
+    known, parts = identifiers(sentences or SENTENCES)
     columns = [F.col(f"`{c}`") for c in df.columns]
     inner = df.select(F.struct(*columns).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     clean = "lower(trim(regexp_replace(x, '[^A-Za-z0-9]+', ' ')))"

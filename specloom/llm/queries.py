@@ -6,8 +6,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, media, mixing, quality_rules, secrets, simhash
-from .common import table
+from . import bpe, chat, licenses, media, mixing, quality_classifier, quality_rules, secrets, simhash, toxicity
+from .common import crc_bucket, table
+from .oracles import ORACLES
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
+    scored = quality_classifier.classify(table(spark, sf_dir, "documents"), labels, quality_classifier.learnable())
+    held_out = F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +29,13 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", "n_known", F.array_join("licences", ",").alias("licences"), F.array_join("kinds", ",").alias("kinds"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("y"))
+    scored = toxicity.classify(table(spark, sf_dir, "documents"), labels, toxicity.learnable())
+    held_out = F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     if path is None:
         import public_tokenizers
@@ -84,5 +99,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_licenses, op5_bpe, op6_chat, op7_simhash, op8_media, op9_secrets, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_licenses, op4_toxicity, op5_bpe, op6_chat, op7_simhash, op8_media, op9_secrets, op10_quality_rules)}
