@@ -1,0 +1 @@
+"""Column expressions over arrays and statistical distributions."""

@@ -1,0 +1 @@
+"""Operators over spectra, predictions and series."""

@@ -1,0 +1 @@
+"""Training, candidate pools and serving."""

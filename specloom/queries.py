@@ -1,0 +1,488 @@
+"""Queries over the test tables, with DuckDB twins where SQL can express them.
+
+``embeddings`` stands in for spectra (channel j at 200 + 8 j nm, label as day or
+group), ``events`` for time series, orders with their line items for pairs of
+truth and prediction by day.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import arrays, kernels
+from .operators import acceptance, fom, gram, guards, hardware, hypothesis, linear, mspc, preprocess, scoring, sequences, spectra, transfer, unmixing
+from .operators.guards import WATER_PARAMS, WaterParam
+
+AXIS = [200.0 + 8 * j for j in range(64)]
+ORDER_PARAM = WaterParam("ORDER", (50_000, 100_000, 150_000, 200_000, 250_000), 1000, 300_000, 5000)
+TUR = WATER_PARAMS["TUR"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, d: str, *meta: str) -> DataFrame:
+    return spectra.spectra(table(spark, d, "embeddings"), "vec_id", "embedding", *meta)
+
+
+def predictions(spark: SparkSession, d: str) -> DataFrame:
+    """(seq, day_idx, y_true, y_pred): an order's price and the sum of its items at full price."""
+    items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("y_pred"))
+    o = table(spark, d, "orders")
+    day = F.datediff("o_orderdate", F.lit("1992-01-01")).cast("int")
+    return o.join(items, o.o_orderkey == items.l_orderkey).select(F.col("o_orderkey").alias("seq"), day.alias("day_idx"), F.col("o_totalprice").alias("y_true"), "y_pred")
+
+
+def series(spark: SparkSession, d: str) -> DataFrame:
+    seq = F.struct("ts", "event_id")
+    return table(spark, d, "events").select(F.col("user_id").alias("series"), seq.alias("seq"), "event_id", "event_type", "ts", "value")
+
+
+R = F.round
+LONG = "long AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS j, unnest(embedding)::DOUBLE AS a FROM embeddings)"
+STATS = "stats AS (SELECT vec_id, any_value(label) AS label, avg(a) AS m, stddev_pop(a) AS s FROM long GROUP BY vec_id)"
+PRED = """pred AS (SELECT o_orderkey AS seq, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::INTEGER AS day_idx, o_totalprice AS y_true, y_pred
+    FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS y_pred FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey)"""
+
+
+def _class(v: str, ranges) -> str:
+    return "(" + " + ".join(f"({v} >= {r})::INTEGER" for r in ranges) + ")"
+
+
+# ---- spectra -----------------------------------------------------------------
+
+
+@query(f"WITH {LONG}, {STATS} SELECT l.vec_id, round(any_value(m), 6) AS mean, round(any_value(s), 6) AS sd, round(max((a - m) / s), 6) AS top FROM long l JOIN stats USING (vec_id) GROUP BY l.vec_id")
+def snv_moments(spark, d):
+    x = F.col("x")
+    out = vectors(spark, d).select(F.col("sample_id").alias("vec_id"), arrays.mean(x).alias("mean"), arrays.sd(x).alias("sd"), preprocess.snv(x).alias("z"))
+    return out.select("vec_id", R("mean", 6).alias("mean"), R("sd", 6).alias("sd"), R(F.array_max("z"), 6).alias("top"))
+
+
+@query(f"WITH {LONG}, ref AS (SELECT j, avg(a) AS r FROM long GROUP BY j) SELECT vec_id, round(regr_slope(a, r), 6) AS slope, round(regr_intercept(a, r), 6) AS intercept FROM long JOIN ref USING (j) GROUP BY vec_id")
+def msc_coefs(spark, d):
+    df = vectors(spark, d)
+    ref, _ = gram.column_stats(df)
+    c = ref - ref.mean()
+    slope = arrays.dot(F.col("x"), arrays.literal(c)) / float(c @ c)
+    out = df.select(F.col("sample_id").alias("vec_id"), slope.alias("b"), arrays.mean(F.col("x")).alias("m"))
+    return out.select("vec_id", R("b", 6).alias("slope"), R(F.col("m") - F.col("b") * float(ref.mean()), 6).alias("intercept"))
+
+
+@query(f"WITH {LONG}, ref AS (SELECT j, avg(a) AS m, stddev_pop(a) AS s FROM long GROUP BY j) SELECT vec_id, round(sum((a - m) / s), 5) AS total, round(max((a - m) / s), 5) AS top FROM long JOIN ref USING (j) GROUP BY vec_id")
+def column_scale(spark, d):
+    df = vectors(spark, d)
+    out = preprocess.fit([{"op": "column_scale"}], df, 64).transform(df)
+    return out.select(F.col("sample_id").alias("vec_id"), R(arrays.total(F.col("x")), 5).alias("total"), R(F.array_max("x"), 5).alias("top"))
+
+
+@query(f"WITH {LONG}, ref AS (SELECT j, avg(a) AS m FROM long GROUP BY j) SELECT vec_id, round(sum(a - m), 5) AS total, round(min(a - m), 5) AS low FROM long JOIN ref USING (j) GROUP BY vec_id")
+def mean_center(spark, d):
+    df = vectors(spark, d)
+    out = preprocess.fit([{"op": "mean_center"}], df, 64).transform(df)
+    return out.select(F.col("sample_id").alias("vec_id"), R(arrays.total(F.col("x")), 5).alias("total"), R(F.array_min("x"), 5).alias("low"))
+
+
+_W = kernels.polynomial_weights(11, 3, 0, 0)
+
+
+@query(f"WITH {LONG}, w AS (SELECT unnest(range(11)) - 5 AS k, unnest([{', '.join(repr(float(v)) for v in _W)}]::DOUBLE[]) AS w) SELECT vec_id, c.j::INTEGER AS j, round(sum(a * w), 6) AS smooth FROM long JOIN (SELECT unnest(range(5, 59)) AS j) c ON long.j BETWEEN c.j - 5 AND c.j + 5 JOIN w ON w.k = long.j - c.j GROUP BY vec_id, c.j")
+def savgol_interior(spark, d):
+    df = vectors(spark, d)
+    out = preprocess.fit([{"op": "savgol", "window": 11, "polyorder": 3}], df, 64).transform(df)
+    long = out.select(F.col("sample_id").alias("vec_id"), F.posexplode("x").alias("j", "a")).where("j BETWEEN 5 AND 58")
+    return long.select("vec_id", "j", R("a", 6).alias("smooth"))
+
+
+@query(f"WITH {LONG} SELECT vec_id, count(*)::INTEGER AS n, round(sum(a), 5) AS total, round(sum(CASE WHEN j BETWEEN 10 AND 53 THEN a END), 5) AS trimmed FROM long WHERE 200 + 8 * j BETWEEN 240 AND 648 GROUP BY vec_id")
+def clip_and_trim(spark, d):
+    df = vectors(spark, d)
+    cut, axis = spectra.clip_wavelengths(df, AXIS, 240, 648)
+    trimmed, _ = spectra.trim_bands(df, AXIS, 10)
+    cut = cut.select("sample_id", F.size("x").alias("n"), arrays.total(F.col("x")).alias("t"))
+    # j 10 to 53 also lies inside the clipped band, so both come from the same spectra.
+    both = cut.join(trimmed.select("sample_id", arrays.total(F.col("x")).alias("u")), "sample_id")
+    return both.select(F.col("sample_id").alias("vec_id"), "n", R("t", 5).alias("total"), R("u", 5).alias("trimmed"))
+
+
+@query(f"WITH {LONG} SELECT label, j::INTEGER AS j, count(a) AS n, round(avg(a), 6) AS mean, round(stddev_pop(a), 6) AS sd_pop FROM long GROUP BY label, j")
+def channel_stats(spark, d):
+    out = gram.long_stats(vectors(spark, d, "label"), "label")
+    return out.select("label", "j", "n", R("mean", 6).alias("mean"), R("sd_pop", 6).alias("sd_pop"))
+
+
+@query(f"WITH {LONG}, t AS (SELECT j, label, stddev_samp(a) AS s, avg(a) AS m FROM long GROUP BY j, label) SELECT label, round(max(s), 6) AS dark_noise_max, round(avg(s), 6) AS dark_noise_mean, round(max(abs(m)), 6) AS deviation_max, round(avg(m) / avg(s), 5) AS snr FROM t GROUP BY label")
+def dark_noise(spark, d):
+    s = gram.long_stats(vectors(spark, d, "label"), "label")
+    return s.groupBy("label").agg(R(F.max("sd"), 6).alias("dark_noise_max"), R(F.avg("sd"), 6).alias("dark_noise_mean"), R(F.max(F.abs("mean")), 6).alias("deviation_max"), R(F.avg("mean") / F.avg("sd"), 5).alias("snr"))
+
+
+@query(f"""WITH {LONG}, n AS (SELECT vec_id, j, a, lag(a) OVER w AS l, lead(a) OVER w AS r FROM long WINDOW w AS (PARTITION BY vec_id ORDER BY j)),
+    p AS (SELECT vec_id, around, arg_max(struct_pack(j := j, a := a, l := l, r := r), struct_pack(a := a, j := -j)) AS p
+          FROM n, unnest([300.0::DOUBLE, 450.0, 600.0]) v(around) WHERE abs(200 + 8 * j - around) <= 30 GROUP BY vec_id, around)
+    SELECT vec_id, around, round(CASE WHEN p.l - 2 * p.a + p.r < 0 AND abs(0.5 * (p.l - p.r) / (p.l - 2 * p.a + p.r)) <= 1
+           THEN 200 + 8 * p.j + 8 * 0.5 * (p.l - p.r) / (p.l - 2 * p.a + p.r) ELSE 200 + 8 * p.j END, 5) AS nm FROM p""")
+def peak_wavelength(spark, d):
+    out = hardware.peaks(spectra.to_long(vectors(spark, d), AXIS), (300.0, 450.0, 600.0), 30.0)
+    return out.select(F.col("sample_id").alias("vec_id"), "around", R("nm", 5).alias("nm"))
+
+
+@query(f"""WITH {LONG}, q AS (SELECT unnest([203.0::DOUBLE, 333.3, 704.0]) AS nm)
+    SELECT vec_id, nm, round(arg_max(CASE WHEN 200 + 8 * j <= nm THEN a END, CASE WHEN 200 + 8 * j <= nm THEN j END)
+      + (nm - 200 - 8 * max(CASE WHEN 200 + 8 * j <= nm THEN j END)) / 8
+        * (arg_min(CASE WHEN 200 + 8 * j > nm THEN a END, CASE WHEN 200 + 8 * j > nm THEN j END) - arg_max(CASE WHEN 200 + 8 * j <= nm THEN a END, CASE WHEN 200 + 8 * j <= nm THEN j END)), 6) AS value
+    FROM long, q WHERE nm < 704 GROUP BY vec_id, nm""")
+def interpolated(spark, d):
+    long = spectra.to_long(vectors(spark, d), AXIS)
+    pts = long.withColumn("at", F.explode(F.array(F.lit(203.0), F.lit(333.3))))
+    low, high = F.col("nm") <= F.col("at"), F.col("nm") > F.col("at")
+    g = pts.groupBy("sample_id", "at").agg(F.max_by(F.when(low, F.struct("nm", "a")), F.when(low, F.col("nm"))).alias("l"), F.min_by(F.when(high, F.struct("nm", "a")), F.when(high, F.col("nm"))).alias("h"))
+    value = F.col("l.a") + (F.col("at") - F.col("l.nm")) / (F.col("h.nm") - F.col("l.nm")) * (F.col("h.a") - F.col("l.a"))
+    return g.select(F.col("sample_id").alias("vec_id"), F.col("at").alias("nm"), R(value, 6).alias("value"))
+
+
+@query(f"""WITH {LONG}, c AS (SELECT j, vec_id, a FROM long WHERE vec_id < 40)
+    SELECT j::INTEGER AS j, vec_id AS concentration, round(regr_r2(vec_id, a) OVER (PARTITION BY j ORDER BY vec_id ROWS UNBOUNDED PRECEDING), 5) AS r2 FROM c QUALIFY row_number() OVER (PARTITION BY j ORDER BY vec_id) > 2""")
+def linearity_r2(spark, d):
+    df = vectors(spark, d).where("sample_id < 40").select(F.col("sample_id").alias("concentration"), "x")
+    out = hardware.linearity(df, 64, window=1, order=3).where("k > 2")
+    return out.select("j", "concentration", R("r2", 5).alias("r2"))
+
+
+# ---- transfer ------------------------------------------------------------------
+
+PAIRS = "long2 AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS std_id, embedding FROM embeddings), p AS (SELECT s.std_id, generate_subscripts(s.embedding, 1) - 1 AS j, unnest(s.embedding)::DOUBLE AS s, unnest(m.embedding)::DOUBLE AS m FROM long2 s JOIN long2 m USING (std_id) WHERE s.label = 0 AND m.label = 1)"
+
+
+def standards(spark, d) -> tuple[DataFrame, DataFrame]:
+    n = vectors(spark, d, "label").where("label IN (0, 1)").withColumn("std_id", F.row_number().over(Window.partitionBy("label").orderBy("sample_id")))
+    return n.where("label = 0"), n.where("label = 1")
+
+
+@query(f"WITH {PAIRS} SELECT j::INTEGER AS j, round(regr_slope(m, s), 5) AS gain, round(regr_intercept(m, s), 5) AS gain_offset FROM p GROUP BY j")
+def gain_offset(spark, d):
+    out = transfer.gain_offset(transfer.pairs(*standards(spark, d)))
+    return out.select("j", R("gain", 5).alias("gain"), R("offset", 5).alias("gain_offset"))
+
+
+@query(f"WITH {LONG} SELECT j::INTEGER AS j, round(avg(CASE WHEN label = 1 THEN a END) - avg(CASE WHEN label = 0 THEN a END), 6) AS residual FROM long GROUP BY j")
+def residual_spectrum(spark, d):
+    return transfer.residual_spectrum(*standards(spark, d)).select("j", R("residual", 6).alias("residual"))
+
+
+@query(f"WITH {PAIRS} SELECT j::INTEGER AS j, round(stddev_pop(m) / stddev_pop(s), 5) AS scale, round(avg(m) - stddev_pop(m) / stddev_pop(s) * avg(s), 5) AS shift FROM p GROUP BY j")
+def meanvar(spark, d):
+    a = transfer.mean_variance(transfer.pairs(*standards(spark, d)))
+    rows = [(j, float(a.scale[j]), float(a.shift[j])) for j in range(64)]
+    return spark.createDataFrame(rows, "j int, scale double, shift double").select("j", R("scale", 5).alias("scale"), R("shift", 5).alias("shift"))
+
+
+@query(f"WITH {PRED} SELECT round(regr_slope(y_true, y_pred), 6) AS slope, round(regr_intercept(y_true, y_pred), 4) AS intercept FROM pred")
+def sbc_fit(spark, d):
+    slope, intercept = transfer.slope_bias(predictions(spark, d), "y_pred", "y_true")
+    return spark.createDataFrame([(round(slope, 6), round(intercept, 4))], "slope double, intercept double")
+
+
+@query()
+def direct_standardization(spark, d):
+    slave, master = standards(spark, d)
+    done = transfer.direct(transfer.pairs(slave, master), ridge=1e-3).transform(slave)
+    return done.select("std_id", R(arrays.norm(F.col("x")), 4).alias("size"))
+
+
+@query()
+def piecewise_standardization(spark, d):
+    slave, master = standards(spark, d)
+    done = transfer.piecewise(transfer.pairs(slave, master), 2, 1e-3).transform(slave)
+    return done.select("std_id", R(arrays.norm(F.col("x")), 4).alias("size"))
+
+
+@query()
+def glsw_weighting(spark, d):
+    slave, master = standards(spark, d)
+    done = transfer.weighting(transfer.pairs(slave, master)).transform(slave)
+    return done.select("std_id", R(arrays.norm(F.col("x")), 4).alias("size"))
+
+
+@query()
+def kennard_stone(spark, d):
+    keys = transfer.kennard_stone(vectors(spark, d), 8)
+    return spark.createDataFrame([(int(k),) for k in keys], "vec_id long")
+
+
+# ---- predictions ---------------------------------------------------------------
+
+
+@query(f"WITH {PRED}, c AS (SELECT {_class('y_true', ORDER_PARAM.ranges)} AS t, {_class('y_pred', ORDER_PARAM.ranges)} AS p FROM pred) SELECT g.t AS true_class, h.p AS pred_class, count(c.t) AS n FROM (SELECT unnest(range(6))::INTEGER AS t) g CROSS JOIN (SELECT unnest(range(6))::INTEGER AS p) h LEFT JOIN c ON c.t = g.t AND c.p = h.p GROUP BY g.t, h.p")
+def class_confusion(spark, d):
+    return acceptance.confusion(predictions(spark, d), ORDER_PARAM)
+
+
+@query("SELECT event_id, CASE WHEN value < 0.3 THEN 0.15 WHEN value > 2000 THEN NULL ELSE value END AS value, value < 0.3 AS below, value > 150 AND value <= 2000 AS above, value > 2000 AS over, (value >= 30)::INTEGER + (value >= 50)::INTEGER + (value >= 1000)::INTEGER AS class FROM events")
+def bounds_flags(spark, d):
+    b = guards.bounds(F.col("value"), TUR.lower_bound, TUR.review_upper, TUR.theoretical_upper())
+    cols = [c.alias(k) for k, c in b.items()]
+    return table(spark, d, "events").select("event_id", *cols, guards.water_class(F.col("value"), TUR.ranges).alias("class"))
+
+
+_OK = "CASE WHEN y_true <= 100000 AND y_pred <= 100000 THEN true WHEN y_true <= 100000 THEN abs(y_pred - y_true) / abs(y_true) <= 0.4 WHEN y_true <= 200000 THEN abs(y_pred - y_true) / abs(y_true) <= 0.3 WHEN y_true > 250000 THEN abs(y_pred - y_true) / abs(y_true) <= 0.2 ELSE abs(y_pred - y_true) <= 5000 END"
+
+
+@query(f"WITH {PRED} SELECT day_idx, count(*) AS n, round(avg(({_OK})::INTEGER), 6) AS acceptance, round(CASE WHEN var_pop(y_true) > 0 THEN 1 - sum((y_true - y_pred) ** 2) / (var_pop(y_true) * count(*)) END, 4) AS r2 FROM pred GROUP BY day_idx HAVING count(*) >= 2")
+def acceptance_by_day(spark, d):
+    p = predictions(spark, d)
+    out = acceptance.daily_r2(p).join(acceptance.acceptance_rate(p, ORDER_PARAM, "day_idx"), "day_idx")
+    return out.select("day_idx", "n", R("acceptance", 6).alias("acceptance"), R("r2", 4).alias("r2"))
+
+
+@query(f"WITH {PRED} SELECT count(*) AS n, round(sqrt(avg((y_pred - y_true) ** 2)), 3) AS rmse, round(avg(abs(y_pred - y_true)), 3) AS mae, round(avg(y_pred - y_true), 3) AS bias, round(1 - sum((y_true - y_pred) ** 2) / (var_pop(y_true) * count(*)), 5) AS r2, round(avg(CASE WHEN y_true <> 0 THEN abs((y_pred - y_true) / y_true) END), 5) AS mape, round(avg(({_OK})::INTEGER), 6) AS acceptance FROM pred")
+def acceptance_report(spark, d):
+    r = acceptance.acceptance_report(predictions(spark, d), ORDER_PARAM)["errors"]
+    return r.select("n", *[R(c, k).alias(c) for c, k in (("rmse", 3), ("mae", 3), ("bias", 3), ("r2", 5), ("mape", 5), ("acceptance", 6))])
+
+
+ALARM = "SELECT user_id, round(avg((t = p)::INTEGER), 6) AS accuracy, round(coalesce(sum((p AND NOT t)::INTEGER) / nullif(sum((NOT t)::INTEGER), 0), 0), 6) AS false_alarm, round(coalesce(sum((t AND NOT p)::INTEGER) / nullif(sum(t::INTEGER), 0), 0), 6) AS missed_alarm, count_if(t AND p)::BIGINT AS tp, count_if(p AND NOT t)::BIGINT AS fp, count_if(t AND NOT p)::BIGINT AS fn, count_if(NOT t AND NOT p)::BIGINT AS tn FROM (SELECT user_id, value >= 150 AS t, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 150 AS p FROM events) WHERE p IS NOT NULL GROUP BY user_id"
+
+
+@query(ALARM)
+def alarm_confusion(spark, d):
+    w = Window.partitionBy("series").orderBy("seq")
+    p = series(spark, d).select(F.col("series").alias("user_id"), F.col("value").alias("y_true"), F.lag("value").over(w).alias("y_pred"))
+    out = acceptance.alarm(acceptance.finite(p), 150.0, "user_id")
+    return out.select("user_id", *[R(c, 6).alias(c) for c in ("accuracy", "false_alarm", "missed_alarm")], "tp", "fp", "fn", "tn")
+
+
+SCORED = """p AS (SELECT event_type AS model_type, ts, event_id, value AS t, lag(value, 1, value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events),
+    e AS (SELECT *, p - t AS e, date_diff('day', DATE '2020-01-01', ts::DATE) AS day_idx FROM p),
+    l AS (SELECT *, lag(e) OVER (PARTITION BY model_type ORDER BY ts, event_id) AS before FROM e),
+    d AS (SELECT model_type, avg(r2) AS daily_r2_score, avg(r) AS daily_pearson_r_score FROM (SELECT model_type, day_idx, CASE WHEN var_pop(t) > 0 THEN 1 - sum(e * e) / (var_pop(t) * count(*)) END AS r2, CASE WHEN var_pop(t) > 0 AND var_pop(p) > 0 THEN corr(t, p) END AS r FROM e GROUP BY model_type, day_idx HAVING count(*) >= 2) GROUP BY model_type),
+    m AS (SELECT model_type, avg(((t >= 1000) = (p >= 1000))::INTEGER) AS alarm_acc, avg(abs(e) / t) AS mape, 1 - sum(e * e) / (var_pop(t) * count(*)) AS r2_score, corr(t, p) AS pearson, sqrt(avg(e * e)) AS rmse,
+      greatest(0, least(1, 1 - (sum((before IS NOT NULL AND sign(e) <> sign(before))::INTEGER) + 1) / ((count(*) + 1) / 2))) AS grouped, sum((e - before) ** 2) / sum(e * e) AS dw,
+      avg((e - mu) ** 4) / avg((e - mu) ** 2) ** 2 - 3 AS kurt, avg((e - mu) ** 3) / avg((e - mu) ** 2) ** 1.5 AS sk FROM (SELECT *, avg(e) OVER (PARTITION BY model_type) AS mu FROM l) GROUP BY model_type)"""
+
+
+def event_predictions(spark, d) -> DataFrame:
+    """Each event's value predicted by the one before it of its type."""
+    w = Window.partitionBy("event_type").orderBy("seq")
+    s = series(spark, d)
+    return s.select(F.col("event_type").alias("model_type"), "seq", F.datediff("ts", F.lit("2020-01-01")).alias("day_idx"), F.col("value").alias("y_true"), F.coalesce(F.lag("value").over(w), F.col("value")).alias("y_pred"))
+
+
+_SHORT = {"alarm_acc": "alarm_acc", "mape": "mape", "r2_score": "r2_score", "pearson_r_score": "pearson", "daily_r2_score": "daily_r2_score", "daily_pearson_r_score": "daily_pearson_r_score", "rmse": "rmse", "bad grouped ratio": "grouped", "durbin_watson_value": "dw", "Kurtosis": "kurt", "skew": "sk"}
+
+
+@query(f"WITH {SCORED} SELECT model_type, {', '.join(f'round({c}, 5) AS {c}' for c in _SHORT.values())} FROM m JOIN d USING (model_type)")
+def score_rows(spark, d):
+    out = scoring.score_rows(event_predictions(spark, d), TUR)
+    return out.select("model_type", *[R(F.col(f"`{k}`"), 5).alias(v) for k, v in _SHORT.items()])
+
+
+@query(f"""WITH {SCORED}, r AS (SELECT model_type, row_number() OVER (ORDER BY daily_pearson_r_score DESC, model_type) - 1 + rank() OVER (ORDER BY rmse) - 1 + rank() OVER (ORDER BY abs(dw - 2)) - 1
+      + row_number() OVER (ORDER BY r2_score DESC, model_type) - 1 + CASE WHEN r2_score < 0 THEN (count(*) OVER () - 1) * -r2_score / (1 - r2_score) ELSE 0 END AS rank FROM m JOIN d USING (model_type))
+    SELECT model_type, round(rank, 5) AS rank FROM r""")
+def rank_components(spark, d):
+    picked = [c for c in scoring.COMPONENTS if c[0] in ("daily_pearson_r_score", "rmse", "durbin_watson_value", "r2_score")]
+    out = scoring.rank_models(scoring.score_rows(event_predictions(spark, d), TUR), picked)
+    return out.select("model_type", R("rank", 5).alias("rank"))
+
+
+@query(f"WITH {PRED} SELECT seq, round((y_pred / 0.04 + y_true / 0.16) / (1 / 0.04 + 1 / 0.16), 4) AS fused FROM pred")
+def fuse_weighted(spark, d):
+    from .plans.serve import fusion_weights
+
+    w = fusion_weights([0.2, 0.4])
+    return predictions(spark, d).select("seq", R(F.col("y_pred") * float(w[0]) + F.col("y_true") * float(w[1]), 4).alias("fused"))
+
+
+# ---- series --------------------------------------------------------------------
+
+
+@query("""WITH z AS (SELECT user_id, ts, event_id, (value - avg(value) OVER u) / stddev_samp(value) OVER u AS z, row_number() OVER w AS i FROM events WINDOW u AS (PARTITION BY user_id), w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(CASE WHEN i > 1 THEN z - 0.5 ELSE 0 END) OVER w AS s, sum(CASE WHEN i > 1 THEN z + 0.5 ELSE 0 END) OVER w AS t FROM z WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+    SELECT event_id, round(s - min(s) OVER w, 6) AS c_pos, round(t - max(t) OVER w, 6) AS c_neg FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def cusum(spark, d):
+    out = sequences.cusum(series(spark, d))
+    return out.select(F.col("seq.event_id").alias("event_id"), R("c_pos", 6).alias("c_pos"), R("c_neg", 6).alias("c_neg"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT user_id, event_id, value, avg(value) OVER (PARTITION BY user_id) AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    r AS (SELECT user_id, event_id, i, 0.2::DOUBLE * value + 0.8::DOUBLE * m AS z FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.event_id, s.i, 0.2::DOUBLE * s.value + 0.8::DOUBLE * r.z FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)
+    SELECT event_id, round(z, 5) AS ewma FROM r""")
+def ewma(spark, d):
+    s = series(spark, d).select("series", F.struct("ts", "event_id").alias("seq"), "event_id", "value", "ts")
+    flat = s.select("series", F.row_number().over(Window.partitionBy("series").orderBy("seq")).cast("long").alias("seq"), "value", "event_id")
+    out = sequences.ewma(flat)
+    return out.join(flat.select("series", "seq", "event_id"), ["series", "seq"]).select("event_id", R("ewma", 5).alias("ewma"))
+
+
+@query("""WITH c AS (SELECT user_id, value, value - avg(value) OVER (PARTITION BY user_id) AS c, ts, event_id FROM events), l AS (SELECT *, lag(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS l FROM c),
+    g AS (SELECT user_id, count(*) AS n, avg(value) AS m, stddev_samp(value) AS sd, greatest(-0.99, least(0.99, sum(c * l) / sum(c * c))) AS rho FROM l GROUP BY user_id)
+    SELECT user_id, round(m, 5) AS center, round(m + 3 * sd / sqrt(CASE WHEN n < 3 THEN n ELSE greatest(1, n * (1 - rho) / (1 + rho)) END), 4) AS ucl FROM g""")
+def shewhart(spark, d):
+    out = sequences.shewhart_limits(series(spark, d))
+    return out.select(F.col("series").alias("user_id"), R("center", 5).alias("center"), R("ucl", 4).alias("ucl"))
+
+
+@query("""WITH p AS (SELECT user_id, arg_min(i, struct_pack(v := -value, i := i)) AS peak FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) GROUP BY user_id),
+    s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)
+    SELECT event_id, CASE WHEN i <= peak THEN max(value) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) ELSE max(CASE WHEN i > peak THEN value END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS value FROM s JOIN p USING (user_id)""")
+def unimodal(spark, d):
+    out = sequences.unimodal(series(spark, d))
+    return out.select(F.col("seq.event_id").alias("event_id"), "value")
+
+
+@query("""WITH s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), k AS (SELECT *, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM s WHERE value >= 100)
+    SELECT user_id, min(i) AS first, max(i) AS last, count(*) AS n FROM k GROUP BY user_id, g""")
+def alarm_runs(spark, d):
+    flat = series(spark, d).select("series", F.row_number().over(Window.partitionBy("series").orderBy("seq")).cast("long").alias("seq"), "value")
+    return sequences.islands(flat, F.col("value") >= 100).select(F.col("series").alias("user_id"), "first", "last", "n")
+
+
+@query("""WITH d AS (SELECT DISTINCT date_diff('day', DATE '2020-01-01', ts::DATE)::INTEGER AS day_idx FROM events), o AS (SELECT day_idx, dense_rank() OVER (ORDER BY day_idx)::INTEGER AS o FROM d)
+    SELECT a.o AS fold, b.day_idx, 'train' AS role FROM o a JOIN o b ON b.o < a.o AND b.o >= a.o - 5 AND a.o > 5 UNION ALL SELECT o, day_idx, 'test' FROM o WHERE o > 5""")
+def day_cv_folds(spark, d):
+    days = table(spark, d, "events").select(F.datediff("ts", F.lit("2020-01-01")).alias("day_idx"))
+    return sequences.day_folds(days, "rolling", 5)
+
+
+# ---- tests and intervals -------------------------------------------------------
+
+
+@query("SELECT round(max(v) / sum(v), 6) AS c, count(*) AS k FROM (SELECT var_samp(value) AS v FROM events GROUP BY event_type)")
+def cochran(spark, d):
+    df = table(spark, d, "events").select(F.col("event_type").alias("group"), F.col("value").alias("v"))
+    return hypothesis.group_variances(df).agg(R(F.max("variance") / F.sum("variance"), 6).alias("c"), F.count("*").alias("k"))
+
+
+@query()
+def consistency(spark, d):
+    df = table(spark, d, "events").select(F.col("event_type").alias("group"), F.col("value").alias("v"))
+    r = hypothesis.consistency_report(df)
+    rows = [(k, float(v["statistic"]), bool(v["reject"])) for k, v in r.items() if isinstance(v, dict)]
+    return spark.createDataFrame(rows, "test string, statistic double, reject boolean").select("test", R("statistic", 6).alias("statistic"), "reject")
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS sd, round(stddev_samp(value) / avg(value), 6) AS rsd FROM events GROUP BY event_type")
+def precision(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), R(F.avg("value"), 5).alias("mean"), R(F.stddev_samp("value"), 5).alias("sd"), R(F.stddev_samp("value") / F.avg("value"), 6).alias("rsd"))
+
+
+@query("SELECT event_type, CASE WHEN avg(value) <= 0 OR var_pop(value) / avg(value) > 1.2 THEN 'gamma' WHEN var_pop(value) / avg(value) < 0.8 THEN 'tweedie' ELSE 'poisson' END AS family FROM events GROUP BY event_type")
+def glm_family(spark, d):
+    g = table(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    return g.select("event_type", guards.glm_family(F.col("m"), F.col("v")).alias("family"))
+
+
+# ---- models ----------------------------------------------------------------------
+
+
+@query(f"WITH {LONG} SELECT a.j::INTEGER AS i, b.j::INTEGER AS j, round(sum(a.a * b.a), 4) AS v FROM long a JOIN long b USING (vec_id) WHERE a.j <= b.j AND a.j < 8 AND b.j < 8 GROUP BY a.j, b.j")
+def gram_products(spark, d):
+    df = vectors(spark, d).select("sample_id", F.slice("x", 1, 8).alias("x"))
+    m = gram.gram(df, y=None).m[1:-1, 1:-1]
+    rows = [(i, j, float(m[i, j])) for i in range(8) for j in range(i, 8)]
+    return spark.createDataFrame(rows, "i int, j int, v double").select("i", "j", R("v", 4).alias("v"))
+
+
+def _calibration(spark, d) -> DataFrame:
+    """Spectra with a target made of three channels and a day."""
+    df = vectors(spark, d, "label")
+    return df.withColumn("y", 2 * F.col("x")[5] - F.col("x")[20] + 0.5 * F.col("x")[40]).withColumnRenamed("label", "day_idx")
+
+
+@query(f"WITH {LONG} SELECT round(sum(2 * (j = 5)::INTEGER - (j = 20)::INTEGER + 0.5 * (j = 40)::INTEGER), 4) AS total, 0.0::DOUBLE AS rest FROM (SELECT unnest(range(64)) AS j)")
+def ols_recovers(spark, d):
+    b = linear.ols(gram.gram(_calibration(spark, d)).centred())
+    rest = np.delete(b, [5, 20, 40])
+    return spark.createDataFrame([(round(float(b.sum()), 4), round(float(np.abs(rest).max()), 4))], "total double, rest double")
+
+
+@query()
+def pls_cv(spark, d):
+    from .operators.selection import component_errors
+
+    e = component_errors(_calibration(spark, d), "day_idx", 10)
+    return spark.createDataFrame([(k + 1, round(float(v), 6)) for k, v in enumerate(e)], "n_components int, rmse double")
+
+
+@query()
+def candidate_pool(spark, d):
+    from .plans.train import score_cards, sweep_grid
+
+    df = _calibration(spark, d)
+    cards = sweep_grid(df, AXIS, "y", ("pls", "ridge", "ols"), [[], [{"op": "snv"}]], folds=4)
+    out = score_cards(cards, df, WaterParam("Y", (0.5, 1, 1.5), abs_error_bound=0.5))
+    return out.select("model_type", R("rmse", 4).alias("rmse"), R("rank", 4).alias("rank"))
+
+
+@query()
+def mspc_monitor(spark, d):
+    df = vectors(spark, d)
+    out = mspc.fit(df, 5).monitor(df)
+    return out.select("sample_id", R("t2", 4).alias("t2"), R("spe", 4).alias("spe"), "t2_alarm", "spe_alarm")
+
+
+@query(f"""WITH {LONG}, b AS (SELECT vec_id, sum(a * (CASE WHEN j < 32 THEN 1 ELSE -1 END) / 8) AS t, sum(a * a) AS s FROM long GROUP BY vec_id)
+    SELECT vec_id, round(t * t, 5) AS t2, round(s - t * t, 5) AS spe FROM b ORDER BY s - t * t DESC, vec_id LIMIT 20""")
+def topk_outliers(spark, d):
+    basis = np.where(np.arange(64) < 32, 1.0, -1.0)[None, :] / 8
+    model = mspc.Mspc(np.zeros(64), basis, np.ones(1), 2, 0.05)
+    out = model.transform(vectors(spark, d)).orderBy(F.col("spe").desc(), "sample_id").limit(20)
+    return out.select(F.col("sample_id").alias("vec_id"), R("t2", 5).alias("t2"), R("spe", 5).alias("spe"))
+
+
+@query()
+def wavelet_denoise(spark, d):
+    df = vectors(spark, d)
+    out = preprocess.fit([{"op": "wavelet"}], df, 64).transform(df)
+    return out.select("sample_id", R(arrays.norm(F.col("x")), 5).alias("size"))
+
+
+@query()
+def baseline(spark, d):
+    df = vectors(spark, d)
+    out = preprocess.fit([{"op": "baseline", "lam": 1e3}], df, 64).transform(df)
+    return out.select("sample_id", R(arrays.norm(F.col("x")), 4).alias("size"))
+
+
+@query()
+def whittaker(spark, d):
+    df = vectors(spark, d)
+    out = preprocess.fit([{"op": "whittaker", "lam": 100.0}], df, 64).transform(df)
+    return out.select("sample_id", R(arrays.norm(F.col("x")), 5).alias("size"))
+
+
+@query()
+def osc(spark, d):
+    df = _calibration(spark, d)
+    out = preprocess.fit([{"op": "osc"}], df, 64).transform(df)
+    return out.select("sample_id", R(arrays.norm(F.col("x")), 5).alias("size"))
+
+
+@query()
+def mcr_spectra(spark, d):
+    df = vectors(spark, d).withColumn("x", F.transform("x", lambda v: F.abs(v)))
+    s = unmixing.mcr_als(df, 3, max_iter=5).spectra
+    return spark.createDataFrame([(k, j, round(float(v), 5)) for k, r in enumerate(s) for j, v in enumerate(r)], "component int, j int, value double")
+
+
+@query(f"WITH {LONG}, c AS (SELECT vec_id, a - avg(a) OVER (PARTITION BY vec_id) AS c FROM long) SELECT round(sqrt(sum(c * c) / count(*)), 6) AS s_x FROM c")
+def spectral_noise(spark, d):
+    return spark.createDataFrame([(round(fom.spectral_noise(vectors(spark, d)), 6),)], "s_x double")

@@ -1,0 +1 @@
+"""Structured Streaming: the batch charts and scores on unbounded input."""
