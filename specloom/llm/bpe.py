@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import release, utf8
 
 #: The byte-level pattern of public byte-level vocabularies, with Unicode's blanks.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -32,7 +32,7 @@ NEAR = "[\x00-\u024f\u2010-\u2027\u20ac]*"
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 NEAR_PATTERN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Known words that a worker keeps; beyond them it starts anew.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 #: Texts are encoded in groups of about this many characters.
 GROUP_CHARS = 1 << 20
 NONE = np.int64(1) << 62
@@ -219,14 +219,8 @@ class Codec:
         return b"".join(map(self.v.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    """The worker's own codec of a vocabulary file, made once."""
-    if path not in _codecs:
-        _codecs[path] = Codec(Vocabulary(path))
-    return _codecs[path]
+    return Codec(Vocabulary(path))
 
 
 def groups(sizes: list[int], most: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
@@ -245,7 +239,7 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text")
     integers and the text decoded from them, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(path)  # for this task only: freed with it
         for batch in batches:
             column = batch.column(1)
             sizes = [len(x.as_buffer()) for x in column]
@@ -254,6 +248,8 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text")
                 ids = own.encode(texts)
                 back = [own.decode(x).encode() for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=["doc_id", "ids", "decoded"])
+        del own
+        release()
 
     kind = df.select(F.col(doc_id)).schema[0].dataType.simpleString()
     return df.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")

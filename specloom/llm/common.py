@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +44,13 @@ def utf8(column: str = "text") -> F.Column:
 def crc_bucket(column: str, modulus: int) -> F.Column:
     """crc32 of the id as text, modulo ``modulus``; null where the id is null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def release() -> None:
+    """At a task's end: returns what a reused Python worker no longer needs.
+
+    Workers outlive tasks, so the tables of one stage would otherwise add to
+    those of the next.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()

@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import automaton
-from .common import utf8
+from .common import release, utf8
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 #: Texts are joined into blocks of about this many bytes for a pass.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -136,6 +136,13 @@ def blocks(lengths: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int,
         yield start, len(lengths)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows: copies of their texts stay small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def scan_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end>>): one row for each row."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -144,13 +151,14 @@ def scan_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rule
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(1).to_pylist()
             spans: list = []
             for i, j in blocks(np.array([len(x) for x in texts], np.int64)):
                 spans += own.scan(texts[i:j])
             rows = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
+        release()
 
     id_kind = df.select(F.col(doc_id)).schema[0].dataType.simpleString()
     return df.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, f"doc_id {id_kind}, spans {SPANS}")
@@ -176,7 +184,7 @@ def redact(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(at).to_pylist()
             raw = [(x or "").encode("utf-8", "replace") for x in texts]
             spans: list = []
@@ -191,5 +199,6 @@ def redact(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
                     columns[count] = pa.array(sizes, batch.schema.field(count).type)
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
+        release()
 
     return df.mapInArrow(run, df.schema)

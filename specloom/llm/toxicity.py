@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, utf8
+from .common import crc_bucket, release, utf8
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIMS, CHAR_DIMS, CHAR_BUCKETS, ATTENTION = 8, 7, 6, 4096, 8
@@ -35,7 +35,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 1200, 20_000
 MIN_DOCS, MAX_WORDS = 4, 20_000
 EPOCHS, BATCH, RATE, SEED = 7, 128, 0.01, 5
 #: Windows that run side by side when scoring; words that a worker remembers.
-LANES, KNOWN_WORDS = 2048, 200_000
+LANES, KNOWN_WORDS = 2048, 100_000
 _STRIP = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
@@ -335,11 +335,13 @@ def score(df: DataFrame, network: Network | None, doc_id: str = "doc_id", text:
     shared = df.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _scorer(shared)
+        own = Scorer(shared.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.score(part.column(1).to_pylist()))], names=["doc_id", "score"])
+        del own
+        release()
 
     kind = df.select(F.col(doc_id)).schema[0].dataType.simpleString()
     return df.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, f"doc_id {kind}, score double")
@@ -353,28 +355,18 @@ def keep_clean(df: DataFrame, network: Network | None, text: str = "text", cut:
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _scorer(shared)
+        own = Scorer(shared.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 texts = [(x or "").encode("utf-8", "replace") for x in part.column(at).to_pylist()]
                 yield part.filter(pa.array(own.score(texts) < cut))
+        del own
+        release()
 
     return df.mapInArrow(run, df.schema)
 
 
-_scorers: dict[int, Scorer] = {}
-
-
-def _scorer(shared) -> Scorer:
-    """A worker's scorer of the broadcast network, kept between its tasks."""
-    key = shared.value.p["word"].tobytes().__hash__()
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(shared.value)
-    return _scorers[key]
-
-
 def learnable(modulus: int = 5, held: int = 0) -> Column:
     return F.coalesce(crc_bucket("doc_id", modulus) != held, F.lit(True))
 
