@@ -24,17 +24,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The template. Every control string begins with "<", which texts escape.
+# The template. Every control string begins with "<", which no escaped text has:
+# a backslash becomes \s and a "<" becomes \l.
 OPEN, ROLE, CLOSE = "<turn>", "</role>\n", "</turn>\n"
 
 
 def escape(column: Column) -> Column:
-    return F.replace(F.replace(column, F.lit("\\"), F.lit("\\\\")), F.lit("<"), F.lit("\\<"))
+    return F.replace(F.replace(column, F.lit("\\"), F.lit("\\s")), F.lit("<"), F.lit("\\l"))
 
 
 def unescape(column: str) -> str:
-    """SQL that undoes ``escape``."""
-    return rf"regexp_replace({column}, '(?s)\\\\(.)', '$1')"
+    """SQL that undoes ``escape``: a backslash always begins one of its two pairs."""
+    return rf"replace(replace({column}, '\\l', '<'), '\\s', '\\')"
 
 
 def as_events(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -36,7 +36,7 @@ CHAT = r"""
                UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
     o AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                  coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS learnt,
-                 sum(length(replace(replace(role || text, '\', '\\'), '<', '\<')) + length('<turn></role>') + 1 + length('</turn>') + 1)::BIGINT AS formatted_chars
+                 sum(length(replace(replace(role || text, '\', '\s'), '<', '\l')) + length('<turn></role>') + 1 + length('</turn>') + 1)::BIGINT AS formatted_chars
           FROM r GROUP BY conv_id)
     SELECT conv_id, n_turns, turns_sha256, length(learnt)::BIGINT AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars FROM o"""
 

@@ -180,7 +180,7 @@ class Model:
         out = np.empty(len(x))
         for k in range(0, len(x), 4096):
             out[k : k + 4096] = np.interp(self.fourier(x[k : k + 4096]) @ self.weights, self.at, self.rate)
-        return np.clip(out, 0, 1)
+        return np.round(np.clip(out, 0, 1), 9)
 
 
 def fit(stats: DataFrame, labels: DataFrame, learn: Column) -> Model | None:

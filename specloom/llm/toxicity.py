@@ -87,15 +87,15 @@ class Network:
         grams, counts = trigrams(words)
         owner = np.repeat(np.arange(len(words)), counts)
         chars = np.stack([np.bincount(owner, weights=self.p["char"][grams, k], minlength=len(words)) for k in range(CHAR_DIMS)], axis=1)
-        chars /= np.maximum(counts, 1)[:, None]
-        return np.concatenate([self.p["word"][row], chars.astype(np.float32)], axis=1), row, grams, counts
+        chars = chars / np.maximum(counts, 1)[:, None]
+        return np.concatenate([self.p["word"][row], chars.astype(self.p["word"].dtype)], axis=1), row, grams, counts
 
     def run(self, inputs: np.ndarray):
         """States (2, T, B, H) and what gradients need; ``inputs`` is (2, T, B, 3H),
         each direction's input sums in its own order, zero beyond a window's end."""
         _, steps, lanes, _ = inputs.shape
-        h = np.zeros((2, lanes, HIDDEN), np.float32)
-        states = np.empty((2, steps, lanes, HIDDEN), np.float32)
+        h = np.zeros((2, lanes, HIDDEN), inputs.dtype)
+        states = np.empty((2, steps, lanes, HIDDEN), inputs.dtype)
         saved = []
         k = HIDDEN
         for t in range(steps):
@@ -259,7 +259,7 @@ class Scorer:
         return context @ p["o"] + p["c"][0]
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        return np.array([_sigmoid(x.max()) for x in self.logits(texts)], np.float64)
+        return np.round(np.array([_sigmoid(x.max()) for x in self.logits(texts)], np.float64), 6)
 
 
 def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Network:
