@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 
@@ -54,3 +56,5 @@ def release() -> None:
     """
     gc.collect()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, utf8
+from .common import durable, release, utf8
 
 SEED = 42
 #: Hashes of a text are counted in blocks of this many.
@@ -66,6 +66,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
         for batch in batches:
             fps = np.array([fingerprint(x.as_py(), width) for x in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        release()
 
     kind = df.select(F.col(doc_id)).schema[0].dataType.simpleString()
     return df.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, f"doc_id {kind}, fp long")
