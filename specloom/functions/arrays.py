@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,7 +16,11 @@ def doubles(column: str | Column) -> Column:
 
 def literal(values: Sequence[float]) -> Column:
     """A constant vector; sized by the wavelength axis, not by the data."""
-    return F.array(*[F.lit(float(v)) for v in values]).cast("array<double>")
+    return F.expr("cast(array(" + ", ".join(_sql(float(v)) for v in values) + ") as array<double>)")
+
+
+def _sql(v: float) -> str:
+    return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
 
 
 def total(x: Column) -> Column:
@@ -26,9 +31,29 @@ def mean(x: Column) -> Column:
     return total(x) / F.size(x)
 
 
+def moments(x: Column) -> Column:
+    """struct(n, mean, m2) in one pass; m2 is the sum of squares around the mean."""
+
+    def step(a: Column, v: Column) -> Column:
+        n = a["n"] + 1
+        move = v - a["mean"]
+        mean = a["mean"] + move / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (a["m2"] + move * (v - mean)).alias("m2"))
+
+    return F.aggregate(x, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2")), step)
+
+
 def sd(x: Column, ddof: int = 0) -> Column:
-    m = mean(x)
-    return F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / (F.size(x) - ddof))
+    m = moments(x)
+    return F.sqrt(m["m2"] / (F.size(x) - ddof))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also where a lambda in the body uses it.
+
+    An expression named inside a lambda would be computed anew for each element.
+    """
+    return F.transform(F.array(value), body)[0]
 
 
 def dot(x: Column, y: Column) -> Column:

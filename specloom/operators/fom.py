@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import dot, literal, mean
+from ..functions.arrays import dot, literal, moments
 
 
 def sensitivity(coef: np.ndarray) -> float:
@@ -27,9 +27,7 @@ def selectivity(coef: np.ndarray, target: np.ndarray) -> float:
 
 def spectral_noise(blanks: DataFrame) -> float:
     """Root mean square of all cells around their spectrum's mean."""
-    m = mean(F.col("x"))
-    cells = F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - m) * (v - m))
-    s, n = blanks.agg(F.sum(cells), F.sum(F.size("x"))).first()
+    s, n = blanks.agg(F.sum(moments(F.col("x"))["m2"]), F.sum(F.size("x"))).first()
     return math.sqrt(s / n)
 
 

@@ -1,7 +1,7 @@
 """Sufficient statistics: n, sums and cross products of spectra and targets.
 
 One aggregate serves every linear model. Arrow batches add up their products in
-each task, tasks' partial sums are added by row of the matrix, so the driver
+each task, tasks' partial sums are added by blocks of matrix rows, so the driver
 receives one (p + 2)-square matrix per group however many samples there are.
 """
 
@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Matrix rows that are added up together, in one task each.
+BLOCK_ROWS = 64
+
+
 @dataclass
 class Gram:
     """Sums over samples of [1, x, y]'[1, x, y]; grams add and subtract."""
@@ -78,7 +82,8 @@ def grams(df: DataFrame, group: str | None = None, x: str = "x", y: str | None =
                 own = z[b["g"].to_numpy() == g]
                 sums[int(g)] = sums.get(int(g), 0) + own.T @ own
         for g, m in sums.items():
-            yield pd.DataFrame({"g": g, "i": np.arange(len(m)), "v": list(m)})
+            blocks = [m[i : i + BLOCK_ROWS].ravel() for i in range(0, len(m), BLOCK_ROWS)]
+            yield pd.DataFrame({"g": g, "i": np.arange(len(blocks)), "v": blocks})
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"g": part["g"].iloc[:1], "i": part["i"].iloc[:1], "v": [np.sum(np.stack(part["v"].to_numpy()), axis=0)]})
@@ -87,7 +92,8 @@ def grams(df: DataFrame, group: str | None = None, x: str = "x", y: str | None =
     out: dict = {}
     for r in df.select(*cols).mapInPandas(partial, schema).groupBy("g", "i").applyInPandas(add, schema).orderBy("g", "i").collect():
         out.setdefault(r.g if group else None, []).append(r.v)
-    return {g: Gram(np.array(m)) for g, m in out.items()}
+    flat = {g: np.concatenate(m) for g, m in out.items()}
+    return {g: Gram(m.reshape(int(len(m) ** 0.5), -1)) for g, m in flat.items()}
 
 
 def gram(df: DataFrame, x: str = "x", y: str | None = "y") -> Gram:

@@ -9,10 +9,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import dot, literal
+from ..functions.arrays import bound, dot, literal
 from ..functions.special import chi2_ppf, f_ppf
 from .gram import gram
 
@@ -33,18 +33,26 @@ class Mspc:
         The score covariance is the training set's; ``batch_n`` rescales it by
         the number of scored rows instead, as a batch evaluated by itself does.
         """
-        x = F.zip_with("x", literal(self.mean), lambda a, m: a - m)
-        out = df.withColumn("__c", x)
-        out = out.withColumn("scores", F.array(*[dot(F.col("__c"), literal(p)) for p in self.loadings]))
-        rebuilt = F.col("__c")
-        for k, p in enumerate(self.loadings):
-            rebuilt = F.zip_with(rebuilt, literal(p), _minus(F.col("scores")[k]))
-        out = out.withColumn("residual", rebuilt)
+        centred = F.zip_with("x", literal(self.mean), lambda a, m: a - m)
+        k = len(self.loadings)
+
+        def parts(c: Column) -> Column:
+            scores = F.array(*[dot(c, literal(p)) for p in self.loadings])
+            return F.struct(scores.alias("t"), c.alias("c"))
+
+        def rebuilt(s: Column) -> Column:
+            rest = s["c"]
+            for i in range(k):
+                rest = F.zip_with(rest, literal(self.loadings[i]), _minus(s["t"][i]))
+            return F.struct(s["t"].alias("scores"), rest.alias("residual"))
+
+        both = bound(bound(centred, parts), rebuilt)
+        out = df.withColumn("__b", both).select("*", "__b.scores", "__b.residual").drop("__b")
         t2 = sum(F.col("scores")[k] ** 2 / float(max(v, 1e-300)) for k, v in enumerate(self.variances))
         if batch_n:
             scale = (F.greatest(F.count(F.lit(1)).over(_all()) - 1, F.lit(1))) / float(max(self.n - 1, 1))
             t2 = t2 * scale
-        return out.withColumn("t2", t2).withColumn("spe", dot(F.col("residual"), F.col("residual"))).drop("__c")
+        return out.withColumn("t2", t2).withColumn("spe", dot(F.col("residual"), F.col("residual")))
 
     def monitor(self, df: DataFrame) -> DataFrame:
         """``transform`` with limits, alarms and each channel's share of the error."""

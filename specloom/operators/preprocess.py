@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.arrays import affine, dot, literal, mean, sd
+from ..functions.arrays import affine, bound, dot, literal, mean, moments
 from .gram import column_stats, gram
 
 
@@ -90,8 +90,9 @@ def linear_matrix(step: dict, p: int) -> np.ndarray | None:
 
 def snv(x: Column) -> Column:
     """(x - mean) / sd with the population sd; a constant spectrum becomes zero."""
-    m, s = mean(x), sd(x)
-    return F.transform(x, lambda v: (v - m) / F.when(s > 0, s).otherwise(1.0))
+    m = moments(x)
+    scale = F.when(m["m2"] > 0, F.sqrt(m["m2"] / m["n"])).otherwise(1.0)
+    return bound(F.struct(m["mean"].alias("mean"), scale.alias("scale")), lambda s: F.transform(x, lambda v: (v - s["mean"]) / s["scale"]))
 
 
 def msc(x: Column, reference: np.ndarray) -> Column:
@@ -101,8 +102,8 @@ def msc(x: Column, reference: np.ndarray) -> Column:
     ss = float(centred @ centred)
     slope = dot(x, literal(centred)) / (ss if ss > 0 else 1.0)
     slope = F.when(F.abs(slope) < 1e-12, 1e-12).otherwise(slope)
-    fitted = F.struct(slope.alias("a"), (mean(x) - slope * float(r.mean())).alias("b"))
-    return F.transform(F.array(fitted), lambda f: F.transform(x, lambda v: (v - f["b"]) / f["a"]))[0]
+    line = F.struct(slope.alias("a"), mean(x).alias("m"))
+    return bound(line, lambda f: F.transform(x, lambda v: (v - f["m"]) / f["a"] + float(r.mean())))
 
 
 def batched(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], column: str = "x") -> DataFrame:
@@ -176,7 +177,7 @@ def apply_step(df: DataFrame, step: dict, state: dict) -> DataFrame:
         df = df.withColumn("x", affine(x, [1.0] * len(state["mean"]), [-m for m in state["mean"]]))
         for w, p in zip(state["w"], state["p"]):
             t = dot(F.col("x"), literal(w))
-            df = df.withColumn("x", F.transform(F.array(t), _deflated(literal(p)))[0])
+            df = df.withColumn("x", bound(t, _deflated(literal(p))))
         return df.withColumn("x", affine(F.col("x"), [1.0] * len(state["mean"]), state["mean"]))
     return batched(df, lambda rows: apply_rows(rows, step, state, rows.shape[1]))
 
