@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, release, utf8
@@ -124,7 +124,12 @@ def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     found = components(df, doc_id, text)
     names = found.select(F.col("component_id").alias("kept_id")).where("kept_id IS NOT NULL").distinct()
-    kept = df.join(names, F.col(doc_id) == F.col("kept_id"), "left_semi").union(df.where(F.col(doc_id).isNull()))
-    unnamed = F.when(F.col(doc_id).isNull(), F.xxhash64(text))
-    order = Window.partitionBy(doc_id, unnamed).orderBy(F.xxhash64(text), F.xxhash64(*[c for c, _ in df.dtypes]))
-    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    named = df.join(names, F.col(doc_id) == F.col("kept_id"), "left_semi")
+    unnamed = df.where(F.col(doc_id).isNull())
+    least = [F.xxhash64(text), F.xxhash64(*df.columns)]
+
+    def first(rows: DataFrame, *by: str | Column) -> DataFrame:
+        return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*least))).where("__n = 1").drop("__n")
+
+    # The join has already dealt the named rows by id: their texts move once.
+    return first(named, doc_id).union(first(unnamed, F.xxhash64(text)))
