@@ -89,10 +89,11 @@ def scan_licenses(df: DataFrame, text: str = "text", rules=RULES, sentences=None
     columns = [F.col(f"`{c}`") for c in df.columns]
     inner = df.select(F.struct(*columns).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     clean = "lower(trim(regexp_replace(x, '[^A-Za-z0-9]+', ' ')))"
-    lows, highs = min(map(len, known)), max(map(len, known))
+    lows = min(map(len, known))
     inner = inner.withColumn("s", F.expr(f"filter(split(t, {_quoted(ENDS)}), x -> x rlike '[^ \\t\\x0B\\f\\r]')"))
     cases = " ".join(f"WHEN {_quoted(s)} THEN {_quoted(k)}" for s, k in known.items())
-    found = f"transform(s, x -> if(char_length(x) < {lows}, '', CASE {clean} {cases} ELSE '' END))"
+    # Cleaned first: a CASE over the cleaning itself would repeat it for each branch.
+    found = f"transform(transform(s, x -> if(char_length(x) < {lows}, '', {clean})), y -> CASE y {cases} ELSE '' END)"
     inner = inner.withColumn("ids", F.expr(found))
     inner = inner.withColumn("sequence", F.expr("concat('|', array_join(ids, '|'), '|')"))
     table = ", ".join(f"named_struct('ids', {_quoted('|' + '|'.join(parts[i] for i in ids) + '|')}, 'name', {_quoted(name)}, 'kind', {_quoted(kind)})" for name, kind, ids in rules)
