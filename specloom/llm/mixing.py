@@ -23,9 +23,21 @@ from .common import durable
 
 #: About so many rows share a bucket of the prefix sum.
 BUCKET_ROWS = 4096
+#: A table of one row per source is broadcast up to so many rows (a few MB);
+#: beyond them no source can be hot in every task, and a shuffled join serves.
+BROADCAST_SOURCES = 20_000
 SEED = 7
 
 
+def per_source(table: DataFrame) -> DataFrame:
+    """A durable table of one row per source, to be broadcast if its count allows it.
+
+    A shuffle by source would send a hot source's rows to one task.
+    """
+    table = durable(table)
+    return F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
+
+
 def word_count(text: str = "text") -> Column:
     return F.expr(rf"cast(regexp_count(coalesce(`{text}`, ''), '[^\\x20\\x09-\\x0D]+') as bigint)")
 
@@ -80,7 +92,7 @@ def allot(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     ``selected``: the prefix of keys whose sizes come nearest the remainder.
     """
     rows = durable(sized(df, doc_id, text, source, seed))
-    goals = durable(targets(rows.groupBy("skey").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size")), weights, share, cap))
+    goals = per_source(targets(rows.groupBy("skey").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size")), weights, share, cap))
     cut = rows.join(goals, "skey").withColumn("bucket", F.floor(F.col("key") / (1 + F.col("key")) * F.ceil(F.col("rows") / BUCKET_ROWS)))
     inner = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     cut = cut.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
@@ -103,11 +115,11 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     """
     plan = allot(df, doc_id, text, source, **options)
     last = plan.groupBy("skey").agg(F.first("epochs").alias("__epochs"), F.max(F.when(F.col("selected"), F.struct("key", "doc_id", "size"))).alias("__last"))
-    last = durable(last)
+    last = per_source(last.withColumnRenamed("skey", "__source"))
     names = df.columns
     seed = options.get("seed", SEED)
     whole = df.withColumn("__skey", source_key(source)).withColumn("__size", word_count(text)).withColumn("__weight", quality_weight(text, "__size"))
-    whole = whole.withColumn("__key", draw_key(doc_id, "__weight", seed)).join(last, F.col("__skey") == F.col("skey"))
+    whole = whole.withColumn("__key", draw_key(doc_id, "__weight", seed)).join(last, F.col("__skey") == F.col("__source"))
     own = F.struct(F.col("__key").alias("key"), F.col(doc_id).alias("doc_id"), F.col("__size").alias("size"))
     copies = F.when(F.col("__size") > 0, F.col("__epochs") + F.coalesce((own <= F.col("__last")).cast("int"), F.lit(0))).otherwise(0)
     return whole.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*[F.col(f"`{c}`") for c in names])
