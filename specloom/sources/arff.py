@@ -1,7 +1,8 @@
-"""ARFF files as a Spark data source: ``spark.read.format("arff")``.
+"""ARFF files as tables of spectra.
 
-Each file is one partition. Lines are parsed where they are read; wavelength
-columns are found by name on the driver, from the header alone.
+Lines come from Spark's text reader, so large files split and any store works,
+and are parsed where they are read; wavelength columns are found by name on the
+driver, from the header alone.
 """
 
 from __future__ import annotations
