@@ -105,24 +105,31 @@ def stars(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def rooted(fps: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(fp, root, component_id) of the distinct fingerprints of ``fps(doc_id, fp)``, linked by ``links(a, b)`` too."""
+    nodes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least_doc")))
+    met = ball_links(nodes)
+    roots = stars(met.union(links) if links is not None else met)
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_doc", F.coalesce("root", "fp").alias("root"))
+    names = named.groupBy("root").agg(F.min("least_doc").alias("component_id"))
+    return durable(named.join(names, "root").select("fp", "root", "component_id"))
+
+
 def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): one row for each row of ``df``."""
     fps = durable(fingerprints(df, doc_id, text, width))
-    nodes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least_doc")))
-    roots = stars(ball_links(nodes))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_doc", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    named = durable(rooted.join(names, "root").select("fp", "component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(rooted(fps), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", fps: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
     """The rows of ``df`` whose id names its component, one row for each id.
 
+    ``fps(doc_id, fp)`` and ``links(a, b)`` between fingerprints add other near copies to SimHash's.
+
     Of repeated rows with that id the one with the least text hash stays. Rows
     without an id cannot be named: they stay, exact copies among them collapsed.
     """
-    found = components(df, doc_id, text)
+    found = rooted(durable(fingerprints(df, doc_id, text)) if fps is None else fps, links)
     names = found.select(F.col("component_id").alias("kept_id")).where("kept_id IS NOT NULL").distinct()
     named = df.join(names, F.col(doc_id) == F.col("kept_id"), "left_semi")
     unnamed = df.where(F.col(doc_id).isNull())
