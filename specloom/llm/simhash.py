@@ -122,21 +122,18 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
 
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", fps: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
-    """The rows of ``df`` whose id names its component, one row for each id.
+    """The first row of each component of ``df``: the least id (null last), then the least text hash.
 
-    ``fps(doc_id, fp)`` and ``links(a, b)`` between fingerprints add other near copies to SimHash's.
-
-    Of repeated rows with that id the one with the least text hash stays. Rows
-    without an id cannot be named: they stay, exact copies among them collapsed.
+    ``fps(doc_id, fp, th)``, th the text's xxhash64, and ``links(a, b)`` between fingerprints add other
+    near copies to SimHash's. An id stays once for each component that it is the first of.
     """
-    found = rooted(durable(fingerprints(df, doc_id, text)) if fps is None else fps, links)
-    names = found.select(F.col("component_id").alias("kept_id")).where("kept_id IS NOT NULL").distinct()
-    named = df.join(names, F.col(doc_id) == F.col("kept_id"), "left_semi")
-    unnamed = df.where(F.col(doc_id).isNull())
-    least = [F.xxhash64(text), F.xxhash64(*df.columns)]
-
-    def first(rows: DataFrame, *by: str | Column) -> DataFrame:
-        return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*least))).where("__n = 1").drop("__n")
-
-    # The join has already dealt the named rows by id: their texts move once.
-    return first(named, doc_id).union(first(unnamed, F.xxhash64(text)))
+    if fps is None:
+        fps = durable(fingerprints(df.select(F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th")).alias("at"), F.col(text)), "at", text).select("doc_id.*", "fp"))
+    found = fps.join(rooted(fps, links).select("fp", "root"), "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    firsts = found.groupBy("root").agg(F.min(order).alias("at")).select(F.col("at.doc_id").alias("kept_id"), F.col("at.th").alias("kept_th"))
+    same = F.col(doc_id).eqNullSafe(F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_th"))
+    kept = df.join(firsts, same, "left_semi")
+    # Repeats of a kept row have its id and text; the join has already dealt them alike.
+    one = Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(F.xxhash64(*df.columns))
+    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")

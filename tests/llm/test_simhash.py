@@ -67,6 +67,13 @@ def test_keep_first(spark, odd):
     assert set(ids) - {None} == set(found.values())
 
 
+def test_keep_first_of_each_component(spark):
+    a, b, c = ("".join(f"{p}{i} " for i in range(40)) for p in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b), (5, c), (5, c), (None, a), (None, c + "\n"), (None, "alone here now"), (None, "alone  here now")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text.split()[0]) for r in kept) == [("3", "a0"), ("5", "b0"), ("5", "c0"), ("None", "alone")]
+
+
 def test_empty(spark, odd):
     assert simhash.components(odd.limit(0)).count() == 0
     assert simhash.keep_first(odd.limit(0)).count() == 0
