@@ -1,13 +1,17 @@
 """License scans by sentence rules.
 
-Texts are cut into sentences, sentences normalised (letters and digits, lower
-case, single blanks) and looked up among known licence sentences; the sequence
-of their identifiers is then matched against ordered licence rules, each of
-which consumes what it matches. Only built-in expressions are used; the lookup
-tables are a fixed vocabulary and sit in the plan as literals.
+Texts are normalised (letters and digits, lower case, single blanks) and known
+licence sentences sought between the ends of lines, sentences and paragraphs; a
+known sentence may itself be wrapped over lines, with comment leaders, but not
+over paragraphs. List marks are skipped. The sequence of identifiers is then
+matched against ordered licence rules, each of which consumes what it matches.
+Only built-in expressions are used; the lookup tables are a fixed vocabulary and
+sit in the plan as literals.
 
 Defined results: a null or empty text has no sentences and no licence; an
 unknown sentence breaks a sequence; a licence found twice is listed once.
+``n_sentences`` and ``n_known`` count as the SQL does, which ends a sentence at
+every line's end too and knows ``SENTENCES`` only.
 """
 
 from __future__ import annotations
@@ -55,6 +59,28 @@ RULES = (
     ("Apache-2.0", "permissive", ("apache2-grant",)),
     ("Apache-2.0", "permissive", ("spdx-apache2",)),
 )
+# Published sentences in full, besides those above.
+PUBLISHED = {
+    "mit-title": "MIT License",
+    "mit-title-the": "The MIT License (MIT)",
+    "mit-grant-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "as-is-full": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+}
+PUBLISHED_RULES = (
+    ("BSD-3-Clause", "permissive", ("bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("MIT", "permissive", ("mit-grant-full", "mit-keep", "as-is-full")),
+    ("MIT", "permissive", ("mit-grant-full", "mit-keep")),
+    ("MIT", "permissive", ("mit-grant-full",)),
+    ("GPL-3.0", "copyleft", ("gpl3-title",)),
+    ("MIT", "permissive", ("mit-title",)),
+    ("MIT", "permissive", ("mit-title-the",)),
+)
+#: Each known sentence has one of these words; other texts need no search.
+ANCHORS = ("licens", "permission", "software", "redistribut", "copyright")
+#: Ends of paragraphs, sentences and lines in a normalised text.
+PARAGRAPH, SENTENCE, LINE = "|", "~", "^"
 #: A sentence ends at a line's end, or after . ; : ! ? before a blank.
 ENDS = r"\n|(?<=[.;:!?])[ \t\x0B\f\r]+"
 
@@ -83,23 +109,64 @@ def identifiers(sentences: dict[str, str] = SENTENCES) -> tuple[dict[str, str],
     return known, parts
 
 
-def scan_licenses(df: DataFrame, text: str = "text", rules=RULES, sentences=None) -> DataFrame:
+def _pattern(sentence: str) -> str:
+    """A regular expression for a normalised sentence that may be wrapped, and cut where its own punctuation cuts it."""
+    parts = [normalised(x).split() for x in re.split(r"(?<=[.;:!?])\s+", sentence)]
+    return r"[|~^]".join("[ ^]".join(words) for words in parts)
+
+
+def _marked(t: str) -> str:
+    """SQL for text ``t`` normalised, its ends marked."""
+    steps = (
+        (r"\r\n?", "\n"),
+        (r"\n[^A-Za-z0-9\n]*(?=\n)", "|"),  # blank lines, or bare comment leaders
+        (r"(^|\n)([^A-Za-z0-9\n|]*)(?:[0-9]{1,2}|[A-Za-z]|[ivx]{1,4})[.)][ \t]+", "$1$2"),  # list marks
+        (r"[.;:!?](?=[ \t\x0B\f\n|]|$)", "~"),
+        (r"\n", "^"),
+        (r"[^A-Za-z0-9|~^]+", " "),
+        (r"[ ^]*~[ ~^]*", "~"),  # before paragraphs, so that no run is scanned twice
+        (r"[ ~^]*\|[ |~^]*", "|"),
+        (r" ?\^[ ^]*", "^"),
+    )
+    out = f"translate({t}, '|~^{{}}', '     ')"
+    for pattern, by in steps:
+        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(by)})"
+    out = f"lower(concat('|', trim({out}), '|'))"
+    return f"regexp_replace({out}, '(?<=[|~^])[0-9]{{1,2}}[~^]', '')"
+
+
+def _sequence(t: str, known: dict[str, str]) -> str:
+    """SQL for the identifiers in ``t``, each in braces; ``|`` stands for anything unknown."""
+    out = _marked(t)
+    for name, whole in sorted(known.items(), key=lambda x: (-len(normalised(x[1])), x[0])):
+        out = f"regexp_replace({out}, {_quoted('(?<=[|~^])' + _pattern(whole) + '(?=[|~^])')}, {_quoted('{' + name.upper() + '}')})"
+    out = f"regexp_replace({out}, '[|~^]+(?=\\\\{{)|(?<=\\\\}})[|~^]+', '')"
+    return f"regexp_replace({out}, '(^|\\\\}})[^{{}}]+', '$1|')"
+
+
+def scan_licenses(df: DataFrame, text: str = "text", rules=None, sentences=None) -> DataFrame:
     """``df`` with n_sentences, n_known, sequence, licences and kinds (arrays by rule order)."""
-    known, parts = identifiers(sentences or SENTENCES)
+    known, _ = identifiers(sentences or SENTENCES)
+    published = sentences or SENTENCES | PUBLISHED
+    # A longer rule of the published texts goes before the rules that it contains.
+    rules = rules or PUBLISHED_RULES[:1] + RULES + PUBLISHED_RULES[1:]
+    if any(not re.search("|".join(ANCHORS), normalised(x)) for x in [*published.values(), *known]):
+        anchored = "true"
+    else:
+        anchored = f"t rlike {_quoted('(?i)' + '|'.join(ANCHORS))}"
     columns = [F.col(f"`{c}`") for c in df.columns]
     inner = df.select(F.struct(*columns).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     clean = "lower(trim(regexp_replace(x, '[^A-Za-z0-9]+', ' ')))"
     lows = min(map(len, known))
     inner = inner.withColumn("s", F.expr(f"filter(split(t, {_quoted(ENDS)}), x -> x rlike '[^ \\t\\x0B\\f\\r]')"))
-    cases = " ".join(f"WHEN {_quoted(s)} THEN {_quoted(k)}" for s, k in known.items())
-    # Cleaned first: a CASE over the cleaning itself would repeat it for each branch.
-    found = f"transform(transform(s, x -> if(char_length(x) < {lows}, '', {clean})), y -> CASE y {cases} ELSE '' END)"
-    inner = inner.withColumn("ids", F.expr(found))
-    inner = inner.withColumn("sequence", F.expr("concat('|', array_join(ids, '|'), '|')"))
-    table = ", ".join(f"named_struct('ids', {_quoted('|' + '|'.join(parts[i] for i in ids) + '|')}, 'name', {_quoted(name)}, 'kind', {_quoted(kind)})" for name, kind, ids in rules)
+    names = ", ".join(map(_quoted, known))
+    # Cleaned first: a lookup over the cleaning itself would repeat it.
+    counted = f"size(filter(transform(s, x -> if(char_length(x) < {lows}, '', {clean})), y -> y IN ({names})))"
+    inner = inner.withColumn("n_known", F.expr(f"cast({counted} as bigint)"))
+    inner = inner.withColumn("sequence", F.expr(f"if({anchored}, {_sequence('t', published)}, '|')"))
+    table = ", ".join(f"named_struct('ids', {_quoted(''.join('{' + i.upper() + '}' for i in ids))}, 'name', {_quoted(name)}, 'kind', {_quoted(kind)})" for name, kind, ids in rules)
     empty = "cast(array() as array<string>)"
-    step = "if(contains(a.seq, r.ids), named_struct('seq', replace(a.seq, r.ids, '||'), 'names', array_append(a.names, r.name), 'kinds', array_append(a.kinds, r.kind)), a)"
+    step = "if(contains(a.seq, r.ids), named_struct('seq', replace(a.seq, r.ids, '|'), 'names', array_append(a.names, r.name), 'kinds', array_append(a.kinds, r.kind)), a)"
     start = f"named_struct('seq', sequence, 'names', {empty}, 'kinds', {empty})"
-    inner = inner.withColumn("hit", F.expr(f"if(sequence rlike '[^|]', aggregate(array({table}), {start}, (a, r) -> {step}), {start})"))
-    n_known = F.expr("cast(size(filter(ids, x -> x <> '')) as bigint)").alias("n_known")
-    return inner.select("row.*", F.expr("cast(size(s) as bigint)").alias("n_sentences"), n_known, "sequence", F.expr("array_distinct(hit.names)").alias("licences"), F.expr("array_distinct(hit.kinds)").alias("kinds"))
+    inner = inner.withColumn("hit", F.expr(f"if(sequence <> '|', aggregate(array({table}), {start}, (a, r) -> {step}), {start})"))
+    return inner.select("row.*", F.expr("cast(size(s) as bigint)").alias("n_sentences"), "n_known", "sequence", F.expr("array_distinct(hit.names)").alias("licences"), F.expr("array_distinct(hit.kinds)").alias("kinds"))
