@@ -166,6 +166,13 @@ def linearity_r2(spark, d):
     return out.select("j", "concentration", R("r2", 5).alias("r2"))
 
 
+@query()
+def linearity_all(spark, d):
+    """Over all rows, smoothed by default; ``linearity_r2``'s SQL has the first 40 rows, unsmoothed."""
+    df = vectors(spark, d).select(F.col("sample_id").alias("concentration"), "x")
+    return hardware.linearity(df, 64).where("k > 2").select("j", "concentration", R("r2", 5).alias("r2"))
+
+
 # ---- transfer ------------------------------------------------------------------
 
 PAIRS = "long2 AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS std_id, embedding FROM embeddings), p AS (SELECT s.std_id, generate_subscripts(s.embedding, 1) - 1 AS j, unnest(s.embedding)::DOUBLE AS s, unnest(m.embedding)::DOUBLE AS m FROM long2 s JOIN long2 m USING (std_id) WHERE s.label = 0 AND m.label = 1)"
