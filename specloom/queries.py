@@ -408,6 +408,14 @@ def gram_products(spark, d):
     return spark.createDataFrame(rows, "i int, j int, v double").select("i", "j", R("v", 4).alias("v"))
 
 
+@query()
+def gram_products_all(spark, d):
+    """The whole upper triangle; ``gram_products``'s SQL has the first 8 channels."""
+    m = gram.gram(vectors(spark, d), y=None).m[1:-1, 1:-1]
+    rows = [(i, j, float(m[i, j])) for i in range(len(m)) for j in range(i, len(m))]
+    return spark.createDataFrame(rows, "i int, j int, v double").select("i", "j", R("v", 4).alias("v"))
+
+
 def _calibration(spark, d) -> DataFrame:
     """Spectra with a target made of three channels and a day."""
     df = vectors(spark, d, "label")
