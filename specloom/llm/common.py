@@ -20,19 +20,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> str:
+    """A column's name quoted for SQL, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def nested(df: DataFrame, *more: F.Column) -> DataFrame:
+    """``df`` as one struct column ``row``, out of reach of internal names, with ``more`` beside it."""
+    return df.select(F.struct(*[F.col(named(c)) for c in df.columns]).alias("row"), *more)
+
+
+def unnested(inner: DataFrame, df: DataFrame, **outputs: F.Column) -> DataFrame:
+    """The columns of ``df`` out of ``row``, then ``outputs``.
+
+    An input column called like an output (whatever the case) gets underscores
+    appended until its name is free, so nothing is lost and nothing is ambiguous.
+    """
+    taken = {x.lower() for x in outputs}
+    own = []
+    for c in df.columns:
+        name = c
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        own.append(F.col("row").getField(c).alias(name))
+    return inner.select(*own, *[column.alias(name) for name, column in outputs.items()])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as an URI."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="specloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="specloom-"))
     return context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, its lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset (local tests) a temporary folder takes its place.
+    The folder is the session's ``spark.checkpoint.dir``. Only under a local
+    master a temporary folder takes its place where that is unset; elsewhere
+    that is an error. ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    lets Spark delete what is no longer referenced.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -40,7 +72,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 def utf8(column: str = "text") -> F.Column:
     """The bytes of a text, empty for null; workers then need not encode it."""
-    return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
+    return F.coalesce(F.col(named(column)).cast("string"), F.lit("")).cast("binary")
 
 
 def crc_bucket(column: str, modulus: int) -> F.Column:

@@ -6,7 +6,9 @@ Everything is a built-in expression, so a scan, the counts and the verdict are
 one stage without a shuffle.
 
 Defined results: a null or empty text has zero words and fails the base rule;
-copies are judged alike; a text of blanks only equals an empty one.
+copies and repeated rows are judged alike; a text of blanks only equals an empty
+one; very long texts are counted whole; an input column called ``m``,
+``base_failed`` or ``kept`` is passed on with an underscore appended.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import named, nested, unnested
+
 # Frequent function words of the four languages judged.
 STOP_WORDS = (
     "the of and to in is that it for as with was on be by this are from or an at not a "
@@ -58,30 +62,44 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.expr(" AND ".join(f"({t})" for t in tests) or "true")
 
 
-def repeated_words(words: str, bits: int) -> tuple[str, str, str]:
-    """SQL of a window's hash, and of the words in repeated windows by either layout.
+def window_hash(words: str, i: str) -> str:
+    """SQL of the hash of the three words from ``i``."""
+    return f"xxhash64({words}[{i}], {words}[{i} + 1], {words}[{i} + 2])"
+
+
+def swept(places: str) -> str:
+    """SQL of the words in windows at sorted ``places``: each adds what the one before it leaves uncovered."""
+    return f"aggregate({places}, named_struct('n', 0L, 'last', -3), (a, x) -> named_struct('n', a.n + least(3, x - a.last), 'last', x), a -> a.n)"
+
+
+def _neighbours(windows: str, same) -> str:
+    return f"filter({windows}, (x, k) -> {same('x', f'get({windows}, k - 1)')} OR {same('x', f'get({windows}, k + 1)')})"
+
+
+def packed_words(words: str, bits: int) -> tuple[str, str]:
+    """SQL over ``packed``: the words in repeated windows, and whether unequal windows share a hash.
 
     Windows are sorted by hash with their position packed into the low bits (a
-    primitive sort), neighbours with equal hash are compared word by word, and
-    the positions of repeated windows are swept once, each adding the words
-    that the window before it does not cover. Texts with more windows than the
-    index bits can number take the same path over sorted structs.
+    primitive sort) and neighbours with equal hash are compared word by word.
+    Where two unequal ones meet, equal windows may lie apart: such a text counts
+    by ``wide_words``.
     """
     low = (1 << bits) - 1
+    h, p = (lambda x: f"shiftright({x}, {bits})"), (lambda x: f"cast({x} & {low} as int)")
+
+    def equal(a: str, b: str) -> str:
+        return " AND ".join(f"get({words}, {p(a)} + {k}) = get({words}, {p(b)} + {k})" for k in range(3))
 
-    def same(a: str, b: str, h, p) -> str:
-        equal = " AND ".join(f"get({words}, {p(a)} + {k}) = get({words}, {p(b)} + {k})" for k in range(3))
-        return f"coalesce({h(a)} = {h(b)} AND {equal}, false)"
+    hit = _neighbours("packed", lambda a, b: f"coalesce({h(a)} = {h(b)} AND {equal(a, b)}, false)")
+    before = "get(packed, k - 1)"
+    clash = f"size(filter(packed, (x, k) -> coalesce({h('x')} = {h(before)} AND NOT ({equal('x', before)}), false))) > 0"
+    return swept(f"array_sort(transform({hit}, x -> {p('x')}))"), clash
 
-    def swept(windows: str, h, p) -> str:
-        hit = f"filter({windows}, (x, k) -> {same('x', f'get({windows}, k - 1)', h, p)} OR {same('x', f'get({windows}, k + 1)', h, p)})"
-        at = f"array_sort(transform({hit}, x -> {p('x')}))"
-        return f"aggregate({at}, named_struct('n', 0L, 'last', -3), (a, x) -> named_struct('n', a.n + least(3, x - a.last), 'last', x), a -> a.n)"
 
-    hashed = f"xxhash64({words}[i], {words}[i + 1], {words}[i + 2])"
-    packed = swept("packed", lambda x: f"shiftright({x}, {bits})", lambda x: f"cast({x} & {low} as int)")
-    wide = swept("wide", lambda x: f"{x}.h", lambda x: f"{x}.i")
-    return hashed, packed, wide
+def wide_words() -> str:
+    """SQL over ``wide``, windows sorted by hash, words and place: equal ones are neighbours always."""
+    same = lambda a, b: f"coalesce({a}.h = {b}.h AND {a}.a = {b}.a AND {a}.b = {b}.b AND {a}.c = {b}.c, false)"
+    return swept(f"array_sort(transform({_neighbours('wide', same)}, x -> x.i))")
 
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
@@ -90,17 +108,23 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines,
     n_repeat_words, n_stop_words, n_shouts (words ending in two or more ``!``).
     """
-    keep = [F.col(f"`{c}`") for c in df.columns if c != "m"]
-    hashed, packed, wide = repeated_words("w", INDEX_BITS)
+    return unnested(_measured(df, text), df, m=F.col("m"))
+
+
+def _measured(df: DataFrame, text: str) -> DataFrame:
+    """(row, m): the input row beside its counts."""
     low = (1 << INDEX_BITS) - 1
-    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    inner = df.select(F.struct(*keep).alias("row"), t.alias("t"))
+    inner = nested(df, F.coalesce(F.col(named(text)).cast("string"), F.lit("")).alias("t"))
     inner = inner.withColumn("s", F.expr(r"trim(BOTH ' \t\n\u000B\u000C\r' FROM t)"))
     inner = inner.withColumn("w", F.expr(r"if(s = '', cast(array() as array<string>), split(s, '[ \\t-\\r]+'))"))
     inner = inner.withColumn("lines", F.expr(r"filter(split(t, '\n'), x -> trim(BOTH ' \t\u000B\u000C\r' FROM x) <> '')"))
     inner = inner.withColumn("last", F.expr("size(w) - 3"))
+    hashed = window_hash("w", "i")
     inner = inner.withColumn("packed", F.expr(f"if(last < 0 OR last > {low}, cast(array() as array<bigint>), sort_array(transform(sequence(0, last), i -> (shiftleft({hashed}, {INDEX_BITS}) | cast(i as bigint)))))"))
-    inner = inner.withColumn("wide", F.expr(f"if(last <= {low}, cast(array() as array<struct<h:bigint,i:int>>), array_sort(transform(sequence(0, last), i -> named_struct('h', {hashed}, 'i', i))))"))
+    quick, clash = packed_words("w", INDEX_BITS)
+    inner = inner.withColumn("apart", F.expr(f"last > {low} OR {clash}"))
+    every = f"transform(sequence(0, last), i -> named_struct('h', {hashed}, 'a', w[i], 'b', w[i + 1], 'c', w[i + 2], 'i', i))"
+    inner = inner.withColumn("wide", F.expr(f"if(apart, array_sort({every}), cast(array() as array<struct<h:bigint,a:string,b:string,c:string,i:int>>))"))
     stop = ", ".join(f"'{x}'" for x in STOP_WORDS)
     m = F.struct(
         F.expr("cast(size(w) as bigint)").alias("n_words"),
@@ -108,14 +132,14 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         F.expr("cast(char_length(t) - char_length(translate(t, '#*$%&|<>', '')) as bigint)").alias("n_symbols"),
         F.expr("cast(size(lines) as bigint)").alias("n_lines"),
         F.expr("cast(size(lines) - size(array_distinct(lines)) as bigint)").alias("n_dup_lines"),
-        F.expr(f"{packed} + {wide}").alias("n_repeat_words"),
+        F.expr(f"if(apart, {wide_words()}, {quick})").alias("n_repeat_words"),
         F.expr(f"cast(size(filter(w, x -> lower(x) IN ({stop}))) as bigint)").alias("n_stop_words"),
         F.expr("cast(size(filter(w, x -> endswith(x, '!!'))) as bigint)").alias("n_shouts"),
     )
-    return inner.select("row", m.alias("m")).select("row.*", "m")
+    return inner.select("row", m.alias("m"))
 
 
 def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``measure`` plus base_failed and kept."""
-    out = measure(df, text).withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    out = _measured(df, text).withColumn("failed", base_failed())
+    return unnested(out, df, m=F.col("m"), base_failed=F.col("failed"), kept=~F.col("failed") & compile_rules(rules))
