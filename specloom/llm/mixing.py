@@ -11,7 +11,9 @@ summed along the source, so no source is ever sorted in one task.
 
 Defined results: a null text has size 0 and is never taken; a null source is a
 source of its own, last; rows that agree in key, id and size are interchangeable;
-an empty table gives no rows. Draws hash the id with a seed, so reruns agree.
+an empty table gives no rows. Draws hash the id (the text where the id is null)
+with a seed, so reruns agree. Extra columns, whatever their names, are passed on
+by ``mix`` and not read by ``allot``; very long texts are counted whole.
 """
 
 from __future__ import annotations
@@ -19,23 +21,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, named, nested, unnested
 
 #: About so many rows share a bucket of the prefix sum.
 BUCKET_ROWS = 4096
-#: A table of one row per source is broadcast up to so many rows (a few MB);
-#: beyond them no source can be hot in every task, and a shuffled join serves.
+#: A table of one row per source is broadcast up to so many rows (a few MB).
 BROADCAST_SOURCES = 20_000
+#: Beyond them a hot source's rows meet copies of its row under so many salts.
+SALTS = 64
 SEED = 7
 
 
-def per_source(table: DataFrame) -> DataFrame:
-    """A durable table of one row per source, to be broadcast if its count allows it.
+def with_source(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined by ``key`` with a durable ``table`` of one row per source.
 
-    A shuffle by source would send a hot source's rows to one task.
+    The table is broadcast if its count allows it; else both sides are salted,
+    since a shuffle by source alone would send a hot source's rows to one task.
     """
-    table = durable(table)
-    return F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
+    if table.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(table), key)
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    return rows.withColumn("salt", spread).join(salted, [key, "salt"]).drop("salt")
 
 
 def word_count(text: str = "text") -> Column:
@@ -47,15 +54,16 @@ def quality_weight(text: str = "text", size: str = "size") -> Column:
     return F.expr(f"greatest(0.1D, 1D - (char_length(coalesce(`{text}`, '')) - char_length(translate(coalesce(`{text}`, ''), '#*$%&|<>!', ''))) / greatest({size}, 1))")
 
 
-def draw_key(doc_id: str = "doc_id", weight: str = "weight", seed: int = SEED) -> Column:
-    """-ln(u) / weight with u from the first 52 bits of md5(seed:id)."""
-    digest = f"cast(conv(substr(md5(concat('{seed}:', coalesce(cast(`{doc_id}` as string), 'null'))), 1, 13), 16, 10) as double)"
+def draw_key(doc_id: str = "doc_id", weight: str = "weight", seed: int = SEED, text: str = "text") -> Column:
+    """-ln(u) / weight with u from the first 52 bits of md5(seed:id), or of md5(seed:null:md5(text)) without an id."""
+    digest = f"cast(conv(substr(md5(concat('{seed}:', coalesce(cast(`{doc_id}` as string), concat('null:', md5(coalesce(cast(`{text}` as string), '')))))), 1, 13), 16, 10) as double)"
     return F.expr(f"-ln(({digest} + 0.5D) / 4503599627370496D) / {weight}")
 
 
 def source_key(source: str = "source") -> Column:
     """Sorts like the source by code point, null last, and joins null with null."""
-    return F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
+    own = F.col(named(source)).cast("string")
+    return F.when(own.isNull(), "1").otherwise(F.concat(F.lit("0"), own))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -80,9 +88,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
 def sized(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
     """(doc_id, source, skey, size, key) of each row."""
-    out = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), source_key(source).alias("skey"), word_count(text).alias("size"), F.col(text).alias("t"))
-    out = out.withColumn("weight", quality_weight("t")).withColumn("key", draw_key("doc_id", "weight", seed))
-    return out.select("doc_id", "source", "skey", "size", "key")
+    return _drawn(df.select(F.col(named(doc_id)).alias("doc_id"), F.col(named(source)).alias("source"), source_key(source).alias("skey"), F.col(named(text)).cast("string").alias("t")), seed).select("doc_id", "source", "skey", "size", "key")
+
+
+def _drawn(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows(doc_id, t, ...)`` with size and key."""
+    out = rows.withColumn("size", word_count("t")).withColumn("weight", quality_weight("t"))
+    return out.withColumn("key", draw_key("doc_id", "weight", seed, "t")).drop("weight")
 
 
 def allot(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = SEED) -> DataFrame:
@@ -92,14 +104,14 @@ def allot(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     ``selected``: the prefix of keys whose sizes come nearest the remainder.
     """
     rows = durable(sized(df, doc_id, text, source, seed))
-    goals = per_source(targets(rows.groupBy("skey").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size")), weights, share, cap))
-    cut = rows.join(goals, "skey").withColumn("bucket", F.floor(F.col("key") / (1 + F.col("key")) * F.ceil(F.col("rows") / BUCKET_ROWS)))
+    goals = durable(targets(rows.groupBy("skey").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size")), weights, share, cap))
+    cut = with_source(rows, goals, "skey").withColumn("bucket", F.floor(F.col("key") / (1 + F.col("key")) * F.ceil(F.col("rows") / BUCKET_ROWS)))
     inner = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    sums = rows.join(goals, "skey").groupBy("skey", F.floor(F.col("key") / (1 + F.col("key")) * F.ceil(F.col("rows") / BUCKET_ROWS)).alias("bucket")).agg(F.sum("size").alias("in_bucket"))
+    bucketed = cut.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    sums = cut.groupBy("skey", "bucket").agg(F.sum("size").alias("in_bucket"))
     along = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("skey", "bucket", F.coalesce(F.sum("in_bucket").over(along), F.lit(0)).alias("offset"))
-    out = cut.join(offsets, ["skey", "bucket"])
+    out = bucketed.join(offsets, ["skey", "bucket"])
     epochs = F.expr("if(source_size = 0, 0, cast(floor(target / source_size) as int))")
     out = out.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     selected = F.expr("size > 0 AND 2 * (offset + within) + size <= 2 * rest")
@@ -114,12 +126,9 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     equal in all three are taken alike.
     """
     plan = allot(df, doc_id, text, source, **options)
-    last = plan.groupBy("skey").agg(F.first("epochs").alias("__epochs"), F.max(F.when(F.col("selected"), F.struct("key", "doc_id", "size"))).alias("__last"))
-    last = per_source(last.withColumnRenamed("skey", "__source"))
-    names = df.columns
-    seed = options.get("seed", SEED)
-    whole = df.withColumn("__skey", source_key(source)).withColumn("__size", word_count(text)).withColumn("__weight", quality_weight(text, "__size"))
-    whole = whole.withColumn("__key", draw_key(doc_id, "__weight", seed)).join(last, F.col("__skey") == F.col("__source"))
-    own = F.struct(F.col("__key").alias("key"), F.col(doc_id).alias("doc_id"), F.col("__size").alias("size"))
-    copies = F.when(F.col("__size") > 0, F.col("__epochs") + F.coalesce((own <= F.col("__last")).cast("int"), F.lit(0))).otherwise(0)
-    return whole.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*[F.col(f"`{c}`") for c in names])
+    last = durable(plan.groupBy("skey").agg(F.first("epochs").alias("epochs"), F.max(F.when(F.col("selected"), F.struct("key", "doc_id", "size"))).alias("last")))
+    whole = nested(df, F.col(named(doc_id)).alias("doc_id"), source_key(source).alias("skey"), F.col(named(text)).cast("string").alias("t"))
+    whole = with_source(_drawn(whole, options.get("seed", SEED)).drop("t"), last, "skey")
+    own = F.struct("key", "doc_id", "size")
+    copies = F.when(F.col("size") > 0, F.col("epochs") + F.coalesce((own <= F.col("last")).cast("int"), F.lit(0))).otherwise(0)
+    return unnested(whole.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))), df)

@@ -63,7 +63,7 @@ def licenses_sql() -> str:
 MIXING = rf"""
     WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, coalesce(text, '') AS t FROM documents),
     z AS (SELECT doc_id, skey, t, len(regexp_extract_all(t, '[^ \t-\r]+'))::BIGINT AS size FROM d),
-    k AS (SELECT doc_id, skey, size, -ln((('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null'))[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496)
+    k AS (SELECT doc_id, skey, size, -ln((('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(t)))[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496)
                  / greatest(0.1::DOUBLE, 1 - (length(t) - length(translate(t, '#*$%&|<>!', ''))) / greatest(size, 1)) AS key FROM z),
     s AS (SELECT skey, sum(size)::BIGINT AS source_size FROM k GROUP BY skey),
     w AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY skey) - 1) % 3) + 1]::DOUBLE AS weight, 2::DOUBLE * source_size AS most, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
