@@ -6,8 +6,12 @@ three leaves and their paths, until the root holds no mergeable pair. Distinct
 words new to a worker are encoded side by side, one tree each, level by level
 in numpy; long words one by one. A bounded table of known words keeps results.
 
+The vocabulary is read on the driver and broadcast: some MB, fixed by its file.
+
 Defined results: a null text counts as empty and has no tokens; texts are split
-at the vocabulary's added tokens first, as the tokenizer does.
+at the vocabulary's added tokens first, as the tokenizer does; a file whose added
+tokens take blanks along or are sought in normalised text is refused. Repeated
+rows are encoded alike, very long texts whole; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, utf8
+from .common import named, release, utf8
 
 #: The byte-level pattern of public byte-level vocabularies, with Unicode's blanks.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -51,6 +56,8 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if spec.get("normalizer") or any(x.get(flag) for x in spec["added_tokens"] for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("only plain added tokens without a normalizer are built")
         letters = _alphabet()
         ids = spec["model"]["vocab"]
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -220,7 +227,12 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    return Codec(Vocabulary(path))
+    return Codec(vocabulary(path))
+
+
+@lru_cache(maxsize=4)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
 
 
 def groups(sizes: list[int], most: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
@@ -237,9 +249,10 @@ def groups(sizes: list[int], most: int = GROUP_CHARS) -> Iterator[tuple[int, int
 def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids binary, decoded binary): ids as little-endian unsigned 32-bit
     integers and the text decoded from them, for each row."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)  # for this task only: freed with it
+        own = Codec(shared.value)  # known words are this task's only: freed with it
         for batch in batches:
             column = batch.column(1)
             sizes = [len(x.as_buffer()) for x in column]
@@ -251,5 +264,5 @@ def encode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text")
         del own
         release()
 
-    kind = df.select(F.col(doc_id)).schema[0].dataType.simpleString()
-    return df.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
+    kind = df.select(F.col(named(doc_id))).schema[0].dataType.simpleString()
+    return df.select(F.col(named(doc_id)).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
