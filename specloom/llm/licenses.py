@@ -11,7 +11,9 @@ sit in the plan as literals.
 Defined results: a null or empty text has no sentences and no licence; an
 unknown sentence breaks a sequence; a licence found twice is listed once.
 ``n_sentences`` and ``n_known`` count as the SQL does, which ends a sentence at
-every line's end too and knows ``SENTENCES`` only.
+every line's end too and knows ``SENTENCES`` only. Copies and repeated rows are
+scanned alike, very long texts whole; an input column called like an output is
+passed on with an underscore appended.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named, nested, unnested
+
 # Sentences of public licence texts and notices, by identifier.
 SENTENCES = {
     "gpl3-notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -154,8 +158,7 @@ def scan_licenses(df: DataFrame, text: str = "text", rules=None, sentences=None)
         anchored = "true"
     else:
         anchored = f"t rlike {_quoted('(?i)' + '|'.join(ANCHORS))}"
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    inner = df.select(F.struct(*columns).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
+    inner = nested(df, F.coalesce(F.col(named(text)).cast("string"), F.lit("")).alias("t"))
     clean = "lower(trim(regexp_replace(x, '[^A-Za-z0-9]+', ' ')))"
     lows = min(map(len, known))
     inner = inner.withColumn("s", F.expr(f"filter(split(t, {_quoted(ENDS)}), x -> x rlike '[^ \\t\\x0B\\f\\r]')"))
@@ -169,4 +172,5 @@ def scan_licenses(df: DataFrame, text: str = "text", rules=None, sentences=None)
     step = "if(contains(a.seq, r.ids), named_struct('seq', replace(a.seq, r.ids, '|'), 'names', array_append(a.names, r.name), 'kinds', array_append(a.kinds, r.kind)), a)"
     start = f"named_struct('seq', sequence, 'names', {empty}, 'kinds', {empty})"
     inner = inner.withColumn("hit", F.expr(f"if(sequence <> '|', aggregate(array({table}), {start}, (a, r) -> {step}), {start})"))
-    return inner.select("row.*", F.expr("cast(size(s) as bigint)").alias("n_sentences"), "n_known", "sequence", F.expr("array_distinct(hit.names)").alias("licences"), F.expr("array_distinct(hit.kinds)").alias("kinds"))
+    out = {"n_sentences": F.expr("cast(size(s) as bigint)"), "n_known": F.col("n_known"), "sequence": F.col("sequence")}
+    return unnested(inner, df, **out, licences=F.expr("array_distinct(hit.names)"), kinds=F.expr("array_distinct(hit.kinds)"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import named, utf8
 
 UNIT = 192
 RATE, UP, DOWN = 24_000, 2, 3
@@ -158,8 +158,8 @@ def audio(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
                 arrays = [pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), spans))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["doc_id", "n_bytes", "media", "tensors", "n_frames", "segments"])
 
-    kind = df.select(F.col(doc_id)).schema[0].dataType.simpleString()
-    return df.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, SCHEMA.format(kind=kind))
+    kind = df.select(F.col(named(doc_id))).schema[0].dataType.simpleString()
+    return df.select(F.col(named(doc_id)).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, SCHEMA.format(kind=kind))
 
 
 def feature(tensor_stream: bytes, n_frames: int, n_segments: int) -> str:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, durable, utf8
+from .common import crc_bucket, durable, named, utf8
 
 FEATURES, SEED, RIDGE, WIDTH = 256, 11, 1e-3, 3.0
 #: Out-of-fold scores are counted on this many steps between -0.5 and 1.5.
@@ -71,8 +71,8 @@ def statistics_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
             rows = [statistics(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    kind = df.select(F.col(doc_id)).schema[0].dataType.simpleString()
-    return df.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, f"doc_id {kind}, x array<double>")
+    kind = df.select(F.col(named(doc_id))).schema[0].dataType.simpleString()
+    return df.select(F.col(named(doc_id)).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, f"doc_id {kind}, x array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

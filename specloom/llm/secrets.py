@@ -7,7 +7,9 @@ rule's mirrored automaton walking back, no further than the rule's last match,
 and the expression itself then confirms the span and its least lengths.
 
 Defined results: a null or empty text has no spans; spans are in code points,
-end exclusive, by start and then rule order; repeated rows are scanned alike.
+end exclusive, by start and then rule order; repeated rows are scanned alike. A
+very long text is one block of its own, scanned in lanes, all of it. Extra columns
+are not read by ``scan_secrets`` and are passed on by ``redact``.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import automaton
-from .common import release, utf8
+from .common import named, release, utf8
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 #: Texts are joined into blocks of about this many bytes for a pass.
@@ -115,7 +117,19 @@ class Scanner:
                 last = m.end()
                 if m.end(rule.group) - m.start(rule.group) >= rule.least:
                     spans.append((m.start(), r, m.end()))
-        return [(self.rules[r].kind, len(text[:s].decode("utf-8", "replace")), len(text[:e].decode("utf-8", "replace"))) for s, r, e in sorted(spans)]
+        at = code_points(text, [x for s, _, e in spans for x in (s, e)])
+        return [(self.rules[r].kind, at[s], at[e]) for s, r, e in sorted(spans)]
+
+
+def code_points(text: bytes, places: list[int]) -> dict[int, int]:
+    """The code points before each byte offset, counted in one walk over the text."""
+    data, out, last, count = np.frombuffer(text, np.int8), {}, 0, 0
+    for at in sorted(set(places)):
+        # Continuation bytes are 0x80 to 0xBF: below -64 as signed ones.
+        count += int(np.count_nonzero(data[last:at] >= -64))
+        out[at] = count
+        last = at
+    return out
 
 
 @lru_cache(maxsize=4)
@@ -160,8 +174,8 @@ def scan_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rule
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
         release()
 
-    id_kind = df.select(F.col(doc_id)).schema[0].dataType.simpleString()
-    return df.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, f"doc_id {id_kind}, spans {SPANS}")
+    id_kind = df.select(F.col(named(doc_id))).schema[0].dataType.simpleString()
+    return df.select(F.col(named(doc_id)).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, f"doc_id {id_kind}, spans {SPANS}")
 
 
 def redact(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

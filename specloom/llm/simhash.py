@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, release, utf8
+from .common import durable, named, release, utf8
 
 SEED = 42
 #: Hashes of a text are counted in blocks of this many.
@@ -68,8 +68,8 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
         release()
 
-    kind = df.select(F.col(doc_id)).schema[0].dataType.simpleString()
-    return df.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, f"doc_id {kind}, fp long")
+    kind = df.select(F.col(named(doc_id))).schema[0].dataType.simpleString()
+    return df.select(F.col(named(doc_id)).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def ball_links(nodes: DataFrame, radius_bits: int = 1) -> DataFrame:
@@ -128,11 +128,11 @@ def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", fps: D
     near copies to SimHash's. An id stays once for each component that it is the first of.
     """
     if fps is None:
-        fps = durable(fingerprints(df.select(F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th")).alias("at"), F.col(text)), "at", text).select("doc_id.*", "fp"))
+        fps = durable(fingerprints(df.select(F.struct(F.col(named(doc_id)).alias("doc_id"), F.xxhash64(text).alias("th")).alias("at"), F.col(text)), "at", text).select("doc_id.*", "fp"))
     found = fps.join(rooted(fps, links).select("fp", "root"), "fp")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
     firsts = found.groupBy("root").agg(F.min(order).alias("at")).select(F.col("at.doc_id").alias("kept_id"), F.col("at.th").alias("kept_th"))
-    same = F.col(doc_id).eqNullSafe(F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_th"))
+    same = F.col(named(doc_id)).eqNullSafe(F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_th"))
     kept = df.join(firsts, same, "left_semi")
     # Repeats of a kept row have its id and text; the join has already dealt them alike.
     one = Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(F.xxhash64(*df.columns))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, release, utf8
+from .common import crc_bucket, named, release, utf8
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIMS, CHAR_DIMS, CHAR_BUCKETS, ATTENTION = 8, 7, 6, 4096, 8
@@ -311,14 +311,14 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
 def sample(df: DataFrame, labels: DataFrame, learn: Column, doc_id: str, text: str, docs: int, chars: int) -> list:
     """At most ``docs`` labelled texts of each class, of at most ``chars`` characters."""
     known = labels.where(learn & F.col("y").isNotNull()).groupBy("doc_id").agg(F.max(F.col("y").cast("int")).alias("y"))
-    short = df.where(F.length(text) <= chars).select(F.col(doc_id).alias("doc_id")).join(known, "doc_id").distinct()
+    short = df.where(F.length(text) <= chars).select(F.col(named(doc_id)).alias("doc_id")).join(known, "doc_id").distinct()
     chosen = [short.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs) for c in (0, 1)]
     picked = chosen[0].union(chosen[1]).collect()
     spark = df.sparkSession
     if len({r.y for r in picked}) < 2:
         return []
     ids = spark.createDataFrame(picked, "doc_id long, y int" if not picked else short.select("doc_id", "y").schema)
-    rows = df.where(F.length(text) <= chars).select(F.col(doc_id).alias("doc_id"), utf8(text).alias("t")).join(F.broadcast(ids), "doc_id")
+    rows = df.where(F.length(text) <= chars).select(F.col(named(doc_id)).alias("doc_id"), utf8(text).alias("t")).join(F.broadcast(ids), "doc_id")
     return sorted((str(r.doc_id), bytes(r.t), r.y) for r in rows.dropDuplicates(["doc_id"]).collect())
 
 
@@ -331,7 +331,7 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id",
 def score(df: DataFrame, network: Network | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score): one row for each row."""
     if network is None:
-        return df.select(F.col(doc_id).alias("doc_id"), F.lit(0.0).alias("score"))
+        return df.select(F.col(named(doc_id)).alias("doc_id"), F.lit(0.0).alias("score"))
     shared = df.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,8 +343,8 @@ def score(df: DataFrame, network: Network | None, doc_id: str = "doc_id", text:
         del own
         release()
 
-    kind = df.select(F.col(doc_id)).schema[0].dataType.simpleString()
-    return df.select(F.col(doc_id).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, f"doc_id {kind}, score double")
+    kind = df.select(F.col(named(doc_id))).schema[0].dataType.simpleString()
+    return df.select(F.col(named(doc_id)).alias("doc_id"), utf8(text).alias("t")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def keep_clean(df: DataFrame, network: Network | None, text: str = "text", cut: float = 0.5) -> DataFrame:
