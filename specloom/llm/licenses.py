@@ -71,6 +71,28 @@ PUBLISHED = {
     "as-is-full": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl21-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "gpl2-redistribute": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl21-redistribute": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "apache2-title": "Apache License Version 2.0, January 2004",
+    "mpl2-title": "Mozilla Public License Version 2.0",
+    "mpl2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "boost-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "eclipse2-title": "Eclipse Public License - v 2.0",
+    "cc0-title": "CC0 1.0 Universal",
+    "cc-by-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-sa-notice": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nd-notice": "Licensed under CC BY-ND 4.0.",
 }
 PUBLISHED_RULES = (
     ("BSD-3-Clause", "permissive", ("bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse")),
@@ -78,10 +100,39 @@ PUBLISHED_RULES = (
     ("MIT", "permissive", ("mit-grant-full", "mit-keep")),
     ("MIT", "permissive", ("mit-grant-full",)),
     ("GPL-3.0", "copyleft", ("gpl3-title",)),
+    ("GPL-2.0", "copyleft", ("gpl2-title",)),
+    ("GPL-2.0", "copyleft", ("gpl2-redistribute",)),
+    ("LGPL-2.1", "copyleft", ("lgpl21-title",)),
+    ("LGPL-2.1", "copyleft", ("lgpl21-redistribute",)),
+    ("LGPL-3.0", "copyleft", ("lgpl3-title",)),
+    ("LGPL-3.0", "copyleft", ("lgpl3-redistribute",)),
+    ("AGPL-3.0", "copyleft", ("agpl3-title",)),
+    ("AGPL-3.0", "copyleft", ("agpl3-redistribute",)),
+    ("Apache-2.0", "permissive", ("apache2-title",)),
+    ("MPL-2.0", "copyleft", ("mpl2-notice",)),
+    ("MPL-2.0", "copyleft", ("mpl2-title",)),
+    ("ISC", "permissive", ("isc-grant",)),
+    ("0BSD", "permissive", ("0bsd-grant",)),
+    ("Unlicense", "public domain", ("unlicense",)),
+    ("BSL-1.0", "permissive", ("boost-title",)),
+    ("EPL-2.0", "copyleft", ("eclipse2-title",)),
+    ("CC0-1.0", "public domain", ("cc0-title",)),
+    ("CC-BY-4.0", "permissive", ("cc-by-work",)),
+    ("CC-BY-SA-4.0", "copyleft", ("cc-by-sa-work",)),
+    ("CC-BY-SA-4.0", "copyleft", ("cc-by-sa-notice",)),
+    ("CC-BY-NC-4.0", "restricted", ("cc-by-nc-work",)),
+    ("CC-BY-ND-4.0", "restricted", ("cc-by-nd-notice",)),
     ("MIT", "permissive", ("mit-title",)),
     ("MIT", "permissive", ("mit-title-the",)),
 )
-#: Each known sentence has one of these words; other texts need no search.
+# Identifiers of the SPDX list by kind; "SPDX-License-Identifier: X" names X. Those of SENTENCES are there.
+SPDX = {
+    "permissive": "0BSD AFL-3.0 Artistic-2.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 ISC MIT-0 MS-PL NCSA PostgreSQL PSF-2.0 Python-2.0 Unicode-3.0 UPL-1.0 X11 Zlib",
+    "copyleft": "AGPL-3.0-only AGPL-3.0-or-later CC-BY-SA-3.0 CC-BY-SA-4.0 CDDL-1.0 CDDL-1.1 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GPL-2.0-only GPL-2.0-or-later GPL-3.0-or-later LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MPL-1.1 MPL-2.0 MS-RL OSL-3.0",
+    "public domain": "CC0-1.0 Unlicense WTFPL",
+    "restricted": "BUSL-1.1 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 Elastic-2.0 SSPL-1.0",
+}
+#: Most known sentences have one of these words; texts without need no search for them.
 ANCHORS = ("licens", "permission", "software", "redistribut", "copyright")
 #: Ends of paragraphs, sentences and lines in a normalised text.
 PARAGRAPH, SENTENCE, LINE = "|", "~", "^"
@@ -98,6 +149,16 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _gate(sentences) -> str:
+    """SQL, true of any lower-case text ``low`` that holds one of ``sentences``: an anchor, or a sentence without any as a whole."""
+    own = sorted({normalised(x) for x in sentences if not re.search("|".join(ANCHORS), normalised(x))})
+    tests = [f"contains(low, {_quoted(x)})" for x in ANCHORS]
+    for x in own:
+        first, *_ = words = x.split()
+        tests.append(f"(contains(low, {_quoted(first)}) AND low rlike {_quoted('(?<![a-z0-9])' + '[^a-z0-9]+'.join(words) + '(?![a-z0-9])')})")
+    return " OR ".join(tests)
+
+
 def identifiers(sentences: dict[str, str] = SENTENCES) -> tuple[dict[str, str], dict[str, str]]:
     """Identifier of each normalised sentence; and each entry's own sequence of them.
 
@@ -139,11 +200,19 @@ def _marked(t: str) -> str:
     return f"regexp_replace({out}, '(?<=[|~^])[0-9]{{1,2}}[~^]', '')"
 
 
-def _sequence(t: str, known: dict[str, str]) -> str:
+def _mark(identifier: str) -> str:
+    """An identifier as it stands in a sequence: no later pattern finds it again."""
+    return "{SPDX" + identifier[4:] + "}" if identifier.startswith("spdx:") else "{" + identifier.upper() + "}"
+
+
+def _sequence(t: str, known: dict[str, str], spdx: tuple[str, ...] = ()) -> str:
     """SQL for the identifiers in ``t``, each in braces; ``|`` stands for anything unknown."""
     out = _marked(t)
+    if spdx:
+        ids = "|".join(sorted((normalised(x) for x in spdx), key=lambda x: (-len(x), x)))
+        out = f"regexp_replace({out}, {_quoted('(?<=[|~^])spdx license identifier[ ~^](' + ids + ')(?=[|~^])')}, '{{SPDX:$1}}')"
     for name, whole in sorted(known.items(), key=lambda x: (-len(normalised(x[1])), x[0])):
-        out = f"regexp_replace({out}, {_quoted('(?<=[|~^])' + _pattern(whole) + '(?=[|~^])')}, {_quoted('{' + name.upper() + '}')})"
+        out = f"regexp_replace({out}, {_quoted('(?<=[|~^])' + _pattern(whole) + '(?=[|~^])')}, {_quoted(_mark(name))})"
     out = f"regexp_replace({out}, '[|~^]+(?=\\\\{{)|(?<=\\\\}})[|~^]+', '')"
     return f"regexp_replace({out}, '(^|\\\\}})[^{{}}]+', '$1|')"
 
@@ -153,21 +222,21 @@ def scan_licenses(df: DataFrame, text: str = "text", rules=None, sentences=None)
     known, _ = identifiers(sentences or SENTENCES)
     published = sentences or SENTENCES | PUBLISHED
     # A longer rule of the published texts goes before the rules that it contains.
-    rules = rules or PUBLISHED_RULES[:1] + RULES + PUBLISHED_RULES[1:]
-    if any(not re.search("|".join(ANCHORS), normalised(x)) for x in [*published.values(), *known]):
-        anchored = "true"
-    else:
-        anchored = f"t rlike {_quoted('(?i)' + '|'.join(ANCHORS))}"
+    listed = () if sentences else tuple(x for ids in SPDX.values() for x in ids.split())
+    kinds = {x: kind for kind, ids in SPDX.items() for x in ids.split()}
+    rules = rules or PUBLISHED_RULES[:1] + RULES + PUBLISHED_RULES[1:] + tuple((x, kinds[x], (f"spdx:{normalised(x)}",)) for x in listed)
+    anchored, countable = _gate(published.values()), _gate(known)
     inner = nested(df, F.coalesce(F.col(named(text)).cast("string"), F.lit("")).alias("t"))
+    inner = inner.withColumn("low", F.lower("t")).withColumn("anchored", F.expr(anchored)).withColumn("countable", F.expr(countable)).drop("low")
     clean = "lower(trim(regexp_replace(x, '[^A-Za-z0-9]+', ' ')))"
     lows = min(map(len, known))
     inner = inner.withColumn("s", F.expr(f"filter(split(t, {_quoted(ENDS)}), x -> x rlike '[^ \\t\\x0B\\f\\r]')"))
     names = ", ".join(map(_quoted, known))
     # Cleaned first: a lookup over the cleaning itself would repeat it.
     counted = f"size(filter(transform(s, x -> if(char_length(x) < {lows}, '', {clean})), y -> y IN ({names})))"
-    inner = inner.withColumn("n_known", F.expr(f"cast({counted} as bigint)"))
-    inner = inner.withColumn("sequence", F.expr(f"if({anchored}, {_sequence('t', published)}, '|')"))
-    table = ", ".join(f"named_struct('ids', {_quoted(''.join('{' + i.upper() + '}' for i in ids))}, 'name', {_quoted(name)}, 'kind', {_quoted(kind)})" for name, kind, ids in rules)
+    inner = inner.withColumn("n_known", F.expr(f"cast(if(countable, {counted}, 0) as bigint)"))
+    inner = inner.withColumn("sequence", F.expr(f"if(anchored, {_sequence('t', published, listed)}, '|')"))
+    table = ", ".join(f"named_struct('ids', {_quoted(''.join(_mark(i) for i in ids))}, 'name', {_quoted(name)}, 'kind', {_quoted(kind)})" for name, kind, ids in rules)
     empty = "cast(array() as array<string>)"
     step = "if(contains(a.seq, r.ids), named_struct('seq', replace(a.seq, r.ids, '|'), 'names', array_append(a.names, r.name), 'kinds', array_append(a.kinds, r.kind)), a)"
     start = f"named_struct('seq', sequence, 'names', {empty}, 'kinds', {empty})"
