@@ -12,7 +12,9 @@ found by alternating large and small stars over links, checkpointed per round.
 
 Defined results: a text without words has fingerprint zero and is linked like
 any other; rows with a null id take part but never name a component, which is
-null only if all its ids are null; repeated rows each get a result row.
+null only if all its ids are null; repeated rows each get a result row; a very
+long text is hashed whole, in blocks. Extra columns are not read by ``components``
+and are passed on, whatever their names, by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, named, release, utf8
+from .common import durable, named, nested, release, unnested, utf8
 
 SEED = 42
 #: Hashes of a text are counted in blocks of this many.
@@ -121,19 +123,28 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     return fps.join(rooted(fps), "fp").select("doc_id", "fp", "component_id")
 
 
+def text_key(text: str = "text") -> Column:
+    """The SHA-256 of a text, null as empty: equal keys stand for equal texts."""
+    return F.unhex(F.sha2(utf8(text), 256))
+
+
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", fps: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
-    """The first row of each component of ``df``: the least id (null last), then the least text hash.
+    """The first row of each component of ``df``: the least id (null last), then the least text key.
 
-    ``fps(doc_id, fp, th)``, th the text's xxhash64, and ``links(a, b)`` between fingerprints add other
-    near copies to SimHash's. An id stays once for each component that it is the first of.
+    ``fps(doc_id, th, fp)``, th the text's key, and ``links(a, b)`` between fingerprints add other
+    near copies to SimHash's. A row is kept by id and text together, so an id stays once for each
+    component that it is the first of, and another text under that id is judged by itself. Of
+    repeated rows of the kept text that with the least other columns stays. Whole rows are
+    shuffled once, by id and text key; all else is narrow.
     """
     if fps is None:
-        fps = durable(fingerprints(df.select(F.struct(F.col(named(doc_id)).alias("doc_id"), F.xxhash64(text).alias("th")).alias("at"), F.col(text)), "at", text).select("doc_id.*", "fp"))
+        keyed = df.select(F.struct(F.col(named(doc_id)).alias("doc_id"), text_key(text).alias("th")).alias("at"), F.col(named(text)).alias("text"))
+        fps = durable(fingerprints(keyed, "at").select("doc_id.*", "fp"))
     found = fps.join(rooted(fps, links).select("fp", "root"), "fp")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
     firsts = found.groupBy("root").agg(F.min(order).alias("at")).select(F.col("at.doc_id").alias("kept_id"), F.col("at.th").alias("kept_th"))
-    same = F.col(named(doc_id)).eqNullSafe(F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_th"))
-    kept = df.join(firsts, same, "left_semi")
-    # Repeats of a kept row have its id and text; the join has already dealt them alike.
-    one = Window.partitionBy(doc_id, F.xxhash64(text)).orderBy(F.xxhash64(*df.columns))
-    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+    whole = nested(df, F.col(named(doc_id)).alias("own_id"), text_key(text).alias("own_th"))
+    kept = whole.join(firsts, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_th") == F.col("kept_th")), "left_semi")
+    rest = F.to_json(F.struct(*[F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(df.columns) if c not in (doc_id, text)], F.lit(0).alias("end")))
+    one = Window.partitionBy("own_id", "own_th").orderBy(rest)
+    return unnested(kept.withColumn("nth", F.row_number().over(one)).where("nth = 1"), df)

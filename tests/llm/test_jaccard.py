@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from specloom.llm import jaccard, simhash
 
@@ -7,13 +9,66 @@ def brute_shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def test_links_equal_brute_force(spark, sf):
+def near(a, b):
+    return bool(a and b) and 5 * len(a & b) >= 4 * len(a | b)
+
+
+def groups(nodes, pairs):
+    """The components as a set of frozen sets."""
+    own = {x: {x} for x in nodes}
+    for a, b in pairs:
+        if own[a] is not own[b]:
+            own[a] |= own[b]
+            for x in own[b]:
+                own[x] = own[a]
+    return {frozenset(x) for x in own.values()}
+
+
+def brute_groups(texts):
+    """Components of fingerprints over the pairs of texts at the threshold."""
+    sets = [(simhash.fingerprint((t or "").encode()), brute_shingles(t)) for t in texts]
+    pairs = [(f, g) for i, (f, a) in enumerate(sets) for g, b in sets[:i] if f != g and near(a, b)]
+    return groups([f for f, _ in sets], pairs)
+
+
+def found_groups(docs):
+    rows = [(r.a % 2**64, r.b % 2**64) for r in jaccard.links(docs, jaccard.marks(docs)).collect()]
+    return groups([simhash.fingerprint((r.text or "").encode()) for r in docs.collect()], rows)
+
+
+def test_links_join_what_brute_force_joins(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    sets = [(simhash.fingerprint((r.text or "").encode()), brute_shingles(r.text)) for r in docs.collect()]
-    near = lambda a, b: bool(a and b) and 5 * len(a & b) >= 4 * len(a | b)
-    want = {frozenset((f, g)) for i, (f, a) in enumerate(sets) for g, b in sets[:i] if f != g and near(a, b)}
-    got = {frozenset((r.a % 2**64, r.b % 2**64)) for r in jaccard.links(docs, jaccard.marks(docs)).collect()}
-    assert got == want and any(len(p) == 2 and (min(p) ^ max(p)).bit_count() > 2 for p in want)
+    want = brute_groups([r.text for r in docs.collect()])
+    assert found_groups(docs) == want and any(len(g) > 1 for g in want)
+
+
+def test_chains_and_rims(spark):
+    """Groups whose members are near each other but not the bucket's first, and chains of edits."""
+    rnd = random.Random(3)
+    texts = []
+    for g in range(6):
+        words = [f"g{g}w{i}" for i in range(120)]
+        for k in range(40):
+            words = list(words)
+            if k % 3:
+                words[rnd.randrange(120)] = f"e{g}x{k}"
+            texts.append(" ".join(words))
+            texts.append(" ".join(words[: 120 - rnd.randrange(25)]))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert found_groups(df) == brute_groups(texts)
+
+
+def test_group_of_near_copies_needs_one_pair_each(spark):
+    """One edit in each of many copies: the rim is empty after the first comparison."""
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:k], "edit", *base[k + 1 :]]) for k in range(200)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    marked = jaccard.marks(df).cache()
+    members = jaccard.cells(marked.selectExpr("k", "n", "bands")).cache()
+    star = members.where("k <> first").select("first", "k").distinct()
+    placed = members.selectExpr("band", "k", "n", "first", "0.0D AS d")
+    assert star.count() < 25 * len(texts)
+    assert jaccard.left_over(placed, star.selectExpr("first AS a", "k AS b")).count() == 0
 
 
 def test_stage_drops_near_copies(spark, sf):
@@ -22,3 +77,10 @@ def test_stage_drops_near_copies(spark, sf):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     kept = corpus_pipeline.near_duplicates(spark, df, sf)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4]
+
+
+def test_odd_rows(spark, odd):
+    texts = [r.text for r in odd.collect()]
+    assert found_groups(odd) == brute_groups(texts)
+    empty = odd.limit(0)
+    assert jaccard.links(empty, jaccard.marks(empty)).count() == 0

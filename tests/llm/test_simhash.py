@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -58,13 +59,32 @@ def test_chains_and_balls(spark, seed):
     assert [roots.get(x, x) for x in fps] == [fps[k] for k in brute_components(fps)]
 
 
+def brute_keep(rows):
+    """The kept rows, by (id, text): per component the least id (None last), then the least text key."""
+    order = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).digest())
+    fps = [brute_fingerprint(r[1]) for r in rows]
+    first = {}
+    for row, root in zip(rows, brute_components(fps)):
+        first[root] = min(first.get(root, row), row, key=order)
+    return sorted((str(i), t or "") for i, t in first.values())
+
+
 def test_keep_first(spark, odd):
     kept = simhash.keep_first(odd)
     assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and None in ids
-    found = {r.doc_id: r.component_id for r in simhash.components(odd).collect() if r.doc_id is not None}
-    assert set(ids) - {None} == set(found.values())
+    want = brute_keep([(r.doc_id, r.text) for r in odd.collect()])
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == want
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_keep_first_with_repeated_and_null_ids(spark, seed):
+    rnd = random.Random(seed)
+    texts = [" ".join(f"{p}{i}" for i in range(30)) for p in "abcdef"] + ["", None, "one", "A0 " + " ".join(f"a{i}" for i in range(1, 30))]
+    rows = [(rnd.choice([None, 1, 2, 3, 4]), rnd.choice(texts)) for _ in range(40)]
+    df = spark.createDataFrame([(*r, k, "n") for k, r in enumerate(rows)], "doc_id long, text string, kept_id long, __n string")
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == brute_keep(rows)
 
 
 def test_keep_first_of_each_component(spark):
