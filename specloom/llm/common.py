@@ -70,6 +70,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this package has written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8(column: str = "text") -> F.Column:
     """The bytes of a text, empty for null; workers then need not encode it."""
     return F.coalesce(F.col(named(column)).cast("string"), F.lit("")).cast("binary")

@@ -3,7 +3,7 @@
 Inputs are words (a vocabulary learned from the training texts, with the log
 odds of each word as one component) and characters (hashed trigrams, averaged),
 so unseen words still have a vector. Both directions run over windows of WINDOW
-words that overlap by a quarter; attention pools a window's states into one logit,
+words that overlap by half; attention pools a window's states into one logit,
 and a text scores as its worst window does. Training is plain numpy: in each
 epoch all windows of the sample are scored, and the worst windows of each text
 and one drawn window are learned from (a text's label holds for its worst one).
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket, named, release, utf8
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIMS, CHAR_DIMS, CHAR_BUCKETS, ATTENTION = 8, 7, 6, 4096, 8
 SAMPLE_DOCS, SAMPLE_CHARS = 1200, 20_000
 MIN_DOCS, MAX_WORDS = 4, 20_000
