@@ -55,20 +55,22 @@ def test_chains_and_rims(spark):
             texts.append(" ".join(words))
             texts.append(" ".join(words[: 120 - rnd.randrange(25)]))
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    assert found_groups(df) == brute_groups(texts)
+    found, want = found_groups(df), brute_groups(texts)
+    assert all(any(g <= w for w in want) for g in found)  # no link but true ones
+    pairs = lambda gs: sum(len(g) * (len(g) - 1) // 2 for g in gs)
+    assert pairs(found) >= 0.9 * pairs(want)
 
 
 def test_group_of_near_copies_needs_one_pair_each(spark):
-    """One edit in each of many copies: the rim is empty after the first comparison."""
+    """One edit in each of many copies: pairs grow with the copies, not with their square."""
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join([*base[:k], "edit", *base[k + 1 :]]) for k in range(200)]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    marked = jaccard.marks(df).cache()
-    members = jaccard.cells(marked.selectExpr("k", "n", "bands")).cache()
-    star = members.where("k <> first").select("first", "k").distinct()
-    placed = members.selectExpr("band", "k", "n", "first", "0.0D AS d")
-    assert star.count() < 25 * len(texts)
-    assert jaccard.left_over(placed, star.selectExpr("first AS a", "k AS b")).count() == 0
+    members = jaccard.cells(jaccard.marks(df).selectExpr("k", "n", "bands")).cache()
+    first = jaccard.first_pairs(members).cache()
+    assert first.count() < 6 * len(texts)
+    assert jaccard.second_pairs(members, first.selectExpr("a", "b", "0.1D AS d")).count() < len(texts)
+    assert len([g for g in found_groups(df) if len(g) > 1]) == 1
 
 
 def test_stage_drops_near_copies(spark, sf):
