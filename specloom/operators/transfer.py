@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import affine
-from .gram import gram
+from ..functions.storage import durable
+from .gram import gram, long_stats
 from .preprocess import multiply
 from .zoo import Registry
 
@@ -126,45 +127,59 @@ def residual_spectrum(slave: DataFrame, master: DataFrame) -> DataFrame:
     return m(slave, "s").join(m(master, "m"), "j").select("j", (F.col("m") - F.col("s")).alias("residual"))
 
 
-def wavelength_shift(axis, slave_mean: np.ndarray, master_mean: np.ndarray, max_shift: float = 5.0) -> float:
-    """Lag of best cosine between mean-centred mean spectra, times the axis step.
+def wavelength_shift(axis, slave: DataFrame, master: DataFrame, max_shift: float = 5.0) -> float:
+    """The lag, in nm, at which the centred mean spectra are most alike (cosine); the least of equal ones.
 
-    The lag moves the slave onto the master: negative for a slave that lies at longer wavelengths.
+    It moves the slave onto the master: negative for a slave that lies at longer wavelengths.
     """
     step = float(np.median(np.diff(axis)))
-    top = math.floor(max_shift / step) if step > 0 else 0
-    if top < 1:
+    most = math.floor(max_shift / step) if step > 0 else 0
+    if most < 1:
         return 0.0
-    a, b = slave_mean - slave_mean.mean(), master_mean - master_mean.mean()
-    best, at = -np.inf, 0
-    for lag in range(-top, top + 1):
-        moved = np.zeros_like(a)
-        if lag >= 0:
-            moved[lag:] = a[: len(a) - lag]
-        else:
-            moved[:lag] = a[-lag:]
-        cosine = moved @ b / (np.linalg.norm(moved) * np.linalg.norm(b) + 1e-12)
-        if cosine > best:
-            best, at = cosine, lag
-    return at * step
+    means = [long_stats(df).select("j", F.col("mean").alias("a")) for df in (slave, master)]
+    own, other = (m.crossJoin(m.agg(F.avg("a").alias("level"))).select("j", (F.col("a") - F.col("level")).alias("a")) for m in means)
+    size = F.broadcast(other.agg(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("size")))
+    lags = own.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).select((F.col("j") + F.col("lag")).alias("j"), "lag", F.col("a").alias("s"))
+    alike = lags.join(other, "j").groupBy("lag").agg(F.sum(F.col("s") * F.col("a")).alias("sm"), F.sum(F.col("s") * F.col("s")).alias("ss")).crossJoin(size)
+    best = alike.select("lag", (F.col("sm") / (F.sqrt("ss") * F.col("size") + 1e-12)).alias("cosine")).orderBy(F.col("cosine").desc(), "lag").first()
+    return best.lag * step
+
+
+@dataclass(frozen=True)
+class Advice:
+    """A method for at least ``samples`` standards and a shift beyond ``shift`` nm."""
+
+    method: str
+    samples: float
+    shift: float = -1.0
+    window: int | None = None
+    align: bool = False
+
+
+#: Shifts beyond this (nm) call for alignment, and standards below this count for a slope and bias only.
+ALIGN_NM, FEW = 0.5, 5
+
+
+def advice(channels: int) -> list[Advice]:
+    """What to use, most demanding first."""
+    return [Advice("align_then_pds", FEW, ALIGN_NM, 5, True), Advice("ds", max(channels, FEW)), Advice("pds", FEW, window=5), Advice("sbc", 0)]
 
 
 def recommend(axis, shift: float, n: int) -> dict:
-    """A method for n standards: by count first, then by shift, then by rank."""
-    if n < 5:
-        method = "sbc"
-    elif abs(shift) > 0.5:
-        method = "align_then_pds"
-    else:
-        method = "ds" if n >= len(axis) else "pds"
-    return {"method": method, "window": 5 if "pds" in method else None, "need_alignment": abs(shift) > 0.5, "shift_nm": shift, "n_samples": n}
+    """The first advice whose thresholds n standards and the shift reach."""
+    found = next(a for a in advice(len(axis)) if n >= a.samples and abs(shift) > a.shift)
+    return {"method": found.method, "window": found.window, "need_alignment": abs(shift) > ALIGN_NM, "shift_nm": shift, "n_samples": n}
+
+
+#: Picks of Kennard-Stone between two tables of running distances.
+PICKS = 16
 
 
 def kennard_stone(df: DataFrame, n_select: int, key: str = "sample_id") -> list:
     """Keys of a maximally spread subset, in key order; ties go to the least key.
 
-    Each step is one native pass that keeps every row's distance to the chosen
-    set; the first row is the farthest from all, from sums instead of pairs.
+    Each step is one native pass over every row's distance to the chosen set,
+    kept as a column every PICKS picks; the first row is the farthest from all, from sums instead of pairs.
     """
     from .spectra import literal_distance
 
@@ -176,10 +191,15 @@ def kennard_stone(df: DataFrame, n_select: int, key: str = "sample_id") -> list:
     # Sum of squared distances to all rows: n |x|^2 - 2 x.s + sum |x|^2.
     spread = F.aggregate(F.zip_with("x", F.array(*map(F.lit, s.tolist())), lambda v, t: n * v * v - 2 * v * t), F.lit(ss), lambda a, v: a + v)
     first = df.select(key, "x", spread.alias("d")).orderBy(F.col("d").desc(), key).first()
-    chosen = [(first[0], first["x"])]
+    chosen = [first[0]]
+    rows = df.select(key, "x", F.lit(math.inf).alias("near"))
+    nearest, last = F.col("near"), first["x"]
     while len(chosen) < n_select:
-        nearest = F.least(*[literal_distance(x) for _, x in chosen]) if len(chosen) > 1 else literal_distance(chosen[0][1])
-        rest = df.where(~F.col(key).isin([k for k, _ in chosen]))
-        r = rest.select(key, "x", nearest.alias("d")).orderBy(F.col("d").desc(), key).first()
-        chosen.append((r[0], r["x"]))
-    return sorted(k for k, _ in chosen)
+        nearest = F.least(nearest, literal_distance(last))
+        if len(chosen) % PICKS == 0:
+            # The running minimum becomes a column, so that no pick is measured again.
+            rows, nearest = durable(rows.select(key, "x", nearest.alias("near"))), F.col("near")
+        r = rows.select(key, "x", nearest.alias("d")).where(~F.col(key).isin(chosen)).orderBy(F.col("d").desc(), key).first()
+        chosen.append(r[0])
+        last = r["x"]
+    return sorted(chosen)
