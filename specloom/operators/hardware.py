@@ -114,3 +114,34 @@ def evaluate(measured: dict[str, float], limits: dict[str, float] = LIMITS) -> d
     """Pass flags of the figures supplied; only finite figures with a limit are judged."""
     judged = {k: v <= limits[k] for k, v in measured.items() if k in limits and v is not None and math.isfinite(v)}
     return {"metrics": measured, "passed": judged, "overall": all(judged.values()) if judged else None}
+
+
+def evaluate_instrument(axis, dark: DataFrame | None = None, blank: DataFrame | None = None, signal: DataFrame | None = None, filters: DataFrame | None = None, certified: list[tuple[float, float]] = (), blocked: list[float] = (), line: tuple[list[float], float] | None = None, ideal: float = 0.0, limits: dict[str, float] = LIMITS) -> dict:
+    """All figures that the measurements given allow, and their flags.
+
+    ``dark``, ``blank`` and ``signal`` are repeats of spectra, ``filters`` repeats of the
+    reference filter: its peaks, the absorbances ``certified`` (nm, value) and the
+    transmittances at ``blocked`` are taken from its mean spectrum; ``line`` is a
+    spectrum with a lamp line and that line's wavelength.
+    """
+    found: dict[str, float] = {}
+    if dark is not None:
+        found |= dark_noise(dark).first().asDict()
+    if blank is not None:
+        found |= baseline_flatness(blank, ideal).first().asDict()
+    if signal is not None:
+        found["snr"] = signal_to_noise(signal)
+    if filters is not None:
+        means = long_stats(filters).select(F.lit(0).alias("sample_id"), "j", F.col("mean").alias("a"))
+        nm = F.element_at(F.array(*[F.lit(float(v)) for v in axis]), F.col("j") + 1)
+        peak = wavelength_accuracy(means.withColumn("nm", nm)).first()
+        if peak:
+            found["wavelength_accuracy"] = peak["wavelength_accuracy"]
+        mean = [r.a for r in means.orderBy("j").collect()]
+        if certified:
+            found["photometric_accuracy"] = photometric_accuracy(axis, mean, list(certified))
+        if blocked:
+            found["stray_light"] = stray_light(axis, [100 * 10**-a for a in mean], list(blocked))
+    if line is not None:
+        found["resolution"] = resolution(axis, *line)
+    return evaluate(found, limits)

@@ -9,12 +9,39 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_ppf, chi2_sf, f_ppf, f_sf, norm_ppf, t_ppf
 
 
+#: About so many rows share a bucket when a rank is sought.
+RANK_ROWS = 4096
+
+
+def order_statistics(df: DataFrame, ranks: dict[str, Column], group: str | None = None, v: str = "v") -> DataFrame:
+    """([group,] n and a column for each of ``ranks``): values at ranks from 0, given over ``n``.
+
+    Values are cut into buckets by range, buckets are counted, and only those
+    that hold a rank are sorted: no group is sorted in one task. Nulls and NaN
+    have no rank.
+    """
+    key = F.col(group) if group else F.lit(0)
+    rows = df.select(key.alias("g"), F.col(v).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    span = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    many = F.ceil(F.col("n") / RANK_ROWS)
+    bucket = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * many), many - 1)).otherwise(F.lit(0)).cast("long")
+    placed = rows.join(span, "g").select("g", "v", "n", bucket.alias("b"))
+    counts = placed.groupBy("g", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    upto = F.coalesce(F.sum("c").over(Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()]))
+    wanted = counts.withColumn("before", upto).select("g", "b", "n", "c", "before", asked.alias("q")).where("q.rank >= before AND q.rank < before + c")
+    wanted = wanted.select("g", "b", "n", "q.name", (F.col("q.rank") - F.col("before") + 1).alias("at"))
+    nth = placed.join(wanted.select("g", "b").distinct(), ["g", "b"], "left_semi").select("g", "b", "v", F.row_number().over(Window.partitionBy("g", "b").orderBy("v")).alias("at"))
+    hit = wanted.join(nth, ["g", "b", "at"]).groupBy("g", "n").agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks])
+    return hit.withColumnRenamed("g", group) if group else hit.drop("g")
+
+
 def group_variances(df: DataFrame, group: str = "group", v: str = "v") -> DataFrame:
     return df.groupBy(group).agg(F.count(v).alias("n"), F.var_samp(v).alias("variance"))
 
@@ -39,7 +66,8 @@ def bartlett(df: DataFrame, alpha: float = 0.05, group: str = "group", v: str =
 
 def levene(df: DataFrame, alpha: float = 0.05, group: str = "group", v: str = "v") -> dict:
     """Around the medians: a one-way analysis of the absolute deviations."""
-    medians = df.groupBy(group).agg(F.percentile(v, F.lit(0.5)).alias("__m"))
+    middle = {"lower": F.floor((F.col("n") - 1) / 2), "upper": F.floor(F.col("n") / 2)}
+    medians = order_statistics(df, middle, group, v).select(group, ((F.col("lower") + F.col("upper")) / 2).alias("__m"))
     z = df.join(medians, group).select(group, F.abs(F.col(v) - F.col("__m")).alias("z"))
     s = z.groupBy(group).agg(F.count("z").alias("n"), F.avg("z").alias("m"), F.var_pop("z").alias("q"))
     r = s.agg(F.count("*"), F.sum("n"), F.sum(F.col("n") * F.col("m")), F.sum(F.col("n") * F.col("m") * F.col("m")), F.sum(F.col("n") * F.col("q"))).first()
@@ -100,11 +128,18 @@ def consistency_report(df: DataFrame, alpha: float = 0.05, group: str = "group",
 
 def mean_interval(df: DataFrame, confidence: float = 0.95, sigma: float | None = None, v: str = "v") -> tuple[float, float]:
     n, mean, sd = df.agg(F.count(v), F.avg(v), F.stddev_samp(v)).first()
+    if not n:
+        return None, None
     q = 1 - (1 - confidence) / 2
-    half = (norm_ppf(q) * sigma if sigma else t_ppf(q, n - 1) * sd) / math.sqrt(n)
+    half = norm_ppf(q) * sigma / math.sqrt(n) if sigma is not None else _t_half(q, n, sd) / math.sqrt(n)
     return mean - half, mean + half
 
 
+def _t_half(q: float, n: int, sd: float | None) -> float:
+    """The t quantile times the deviation; a single value has no spread."""
+    return t_ppf(q, n - 1) * sd if n > 1 else 0.0
+
+
 def tolerance_interval(df: DataFrame, content: float = 0.95, confidence: float = 0.95, kind: str = "content", v: str = "v") -> tuple[float, float]:
     """``content``, ``expectation`` or ``nonparametric`` (order statistics)."""
     n, mean, sd, low, high = df.agg(F.count(v), F.avg(v), F.stddev_samp(v), F.min(v), F.max(v)).first()
@@ -116,10 +151,9 @@ def tolerance_interval(df: DataFrame, content: float = 0.95, confidence: float =
     elif kind == "expectation":
         half = z * sd
     elif kind == "nonparametric":
-        k = min(n, math.ceil(n * content))
-        first = (n - k) // 2
-        ends = df.select(F.col(v).alias("v")).orderBy("v").offset(first).limit(1).first(), df.select(F.col(v).alias("v")).orderBy("v").offset(first + k - 1).limit(1).first()
-        return ends[0].v, ends[1].v
+        outside = (n - min(n, math.ceil(n * content))) // 2
+        r = order_statistics(df, {"low": F.lit(outside), "high": F.col("n") - 1 - outside}, None, v).first()
+        return r.low, r.high
     else:
         raise ValueError("kind must be content, expectation or nonparametric")
     return mean - half, mean + half
@@ -127,10 +161,13 @@ def tolerance_interval(df: DataFrame, content: float = 0.95, confidence: float =
 
 def prediction_interval(df: DataFrame, confidence: float = 0.95, n_future: int = 1, v: str = "v") -> tuple[float, float]:
     n, mean, sd = df.agg(F.count(v), F.avg(v), F.stddev_samp(v)).first()
-    half = t_ppf(1 - (1 - confidence) / 2, n - 1) * sd * math.sqrt(1 / n_future + 1 / n)
+    if not n:
+        return None, None
+    half = _t_half(1 - (1 - confidence) / 2, n, sd) * math.sqrt(1 / n_future + 1 / n)
     return mean - half, mean + half
 
 
 def precision_summary(df: DataFrame, confidence: float = 0.95, v: str = "v") -> dict:
     n, mean, sd = df.agg(F.count(v), F.avg(v), F.stddev_samp(v)).first()
+    sd = sd or 0.0
     return {"n": n, "mean": mean, "sd": sd, "rsd": sd / abs(mean) if mean else float(np.nan), "ci": mean_interval(df, confidence, None, v), "ti": tolerance_interval(df, confidence=confidence, v=v)}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import bound, dot, literal
 from ..functions.special import chi2_ppf, f_ppf
+from ..functions.storage import durable
 from .gram import gram
 
 
@@ -107,28 +108,33 @@ def explained_variance(df: DataFrame) -> np.ndarray:
     return values / values.sum()
 
 
-def flag_outliers(df: DataFrame, n_components: int = 5, alpha: float = 0.05, by: str = "any", model: Mspc | None = None) -> DataFrame:
-    """All rows with their ratio to the limit, worst first; none is deleted."""
+def judged(df: DataFrame, n_components: int = 5, alpha: float = 0.05, by: str = "any", model: Mspc | None = None) -> DataFrame:
+    """All rows with their ratio to the limit, unordered."""
     model = model or fit(df, n_components, alpha)
     out = model.monitor(df)
     t2, spe = F.col("t2") / F.col("t2_limit"), F.col("spe") / F.col("spe_limit")
     ratio = {"t2": t2, "spe": spe, "any": F.greatest(t2, spe)}.get(by)
     if ratio is None:
         raise ValueError("by must be t2, spe or any")
-    out = out.withColumn("ratio", ratio).withColumn("outlier", F.col("ratio") > 1)
+    return out.withColumn("ratio", ratio).withColumn("outlier", F.col("ratio") > 1)
+
+
+def flag_outliers(df: DataFrame, n_components: int = 5, alpha: float = 0.05, by: str = "any", model: Mspc | None = None) -> DataFrame:
+    """All rows with their ratio to the limit, worst first; none is deleted."""
+    out = judged(df, n_components, alpha, by, model)
     return out.orderBy(F.col("ratio").desc(), *(["sample_id"] if "sample_id" in df.columns else []))
 
 
 def clean_loop(df: DataFrame, rounds: int = 3, key: str = "sample_id", **options) -> tuple[DataFrame, list[int]]:
-    """Flag, remove, refit, until no row is flagged; also how many went each round."""
+    """Flag, remove, refit, until no row is flagged; also how many keys went each round.
+
+    The flagged keys stay a table, so any number of them may go.
+    """
     gone = []
     for _ in range(rounds):
-        flagged = flag_outliers(df, **options).where("outlier").select(key)
-        ids = [r[0] for r in flagged.limit(100_001).collect()]
-        if len(ids) > 100_000:
-            raise ValueError("more than 100000 rows flagged: check the model first")
-        gone.append(len(ids))
-        if not ids:
+        flagged = durable(judged(df, **options).where("outlier").select(key).distinct())
+        gone.append(flagged.count())
+        if not gone[-1]:
             break
-        df = df.join(df.sparkSession.createDataFrame([(i,) for i in ids], flagged.schema), key, "left_anti")
+        df = df.join(flagged, key, "left_anti")
     return df, gone

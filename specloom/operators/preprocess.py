@@ -57,6 +57,22 @@ SPECS = {
 }
 
 
+#: Kernels of registered operations, (rows, p) to (rows, q).
+KERNELS: dict[str, Callable[..., np.ndarray]] = {}
+
+
+def register_op(name: str, family: str, **defaults):
+    """Registers ``kernel(x, **parameters)`` over rows as an operation of chains; a name is given once."""
+
+    def put(kernel: Callable[..., np.ndarray]) -> Callable[..., np.ndarray]:
+        if name in SPECS:
+            raise KeyError(f"operation {name!r} exists")
+        SPECS[name], KERNELS[name] = Spec(name, defaults, family), kernel
+        return kernel
+
+    return put
+
+
 def list_ops(family: str | None = None) -> list[str]:
     return sorted(s.name for s in SPECS.values() if family in (None, s.family))
 
@@ -179,11 +195,17 @@ def apply_step(df: DataFrame, step: dict, state: dict) -> DataFrame:
             t = dot(F.col("x"), literal(w))
             df = df.withColumn("x", bound(t, _deflated(literal(p))))
         return df.withColumn("x", affine(F.col("x"), [1.0] * len(state["mean"]), state["mean"]))
+    if op in KERNELS:
+        # The kernel travels with the task: workers have not registered it.
+        kernel, given = KERNELS[op], {k: v for k, v in step.items() if k != "op"}
+        return batched(df, lambda rows: kernel(rows, **given))
     return batched(df, lambda rows: apply_rows(rows, step, state, rows.shape[1]))
 
 
 def apply_rows(x: np.ndarray, step: dict, state: dict, p: int) -> np.ndarray:
     op = step["op"]
+    if op in KERNELS:
+        return KERNELS[op](x, **{k: v for k, v in step.items() if k != "op"})
     matrix = linear_matrix(step, p)
     if matrix is not None:
         return x @ matrix.T
@@ -265,9 +287,16 @@ def fit(chain: list[dict], df: DataFrame, p: int) -> Fitted:
 
 
 def global_standardize(df: DataFrame, column: str = "x") -> DataFrame:
-    """All cells of the table to mean 0 and population sd 1, by one broadcast row."""
-    sums = df.agg(F.sum(F.size(column)).alias("n"), F.sum(F.aggregate(column, F.lit(0.0), lambda a, v: a + v)).alias("s"), F.sum(F.aggregate(column, F.lit(0.0), lambda a, v: a + v * v)).alias("ss"))
-    stats = sums.select((F.col("s") / F.col("n")).alias("__m"), F.sqrt(F.col("ss") / F.col("n") - (F.col("s") / F.col("n")) ** 2).alias("__d"))
+    """All cells of the table to mean 0 and population sd 1, by one broadcast row.
+
+    Each row gives its size, mean and squares around it; the native variance adds
+    them up around the common mean, so a large mean costs no digits.
+    """
+    m = moments(F.col(column))
+    rows = df.select(bound(m, lambda s: s).alias("m")).select("m.*")
+    total = rows.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("__m"))
+    around = F.col("m2") + F.col("n") * (F.col("mean") - F.col("__m")) * (F.col("mean") - F.col("__m"))
+    stats = rows.crossJoin(F.broadcast(total.select("__m"))).agg(F.first("__m").alias("__m"), F.sqrt(F.sum(around) / F.sum("n")).alias("__d"))
     scaled = F.transform(F.col(column), lambda v: (v - F.col("__m")) / F.when(F.col("__d") > 0, F.col("__d")).otherwise(1.0))
     return df.crossJoin(F.broadcast(stats)).withColumn(column, scaled).drop("__m", "__d")
 

@@ -1,15 +1,15 @@
 """Control charts and other ordered operators over ``(series, seq, value)``.
 
 A series is partitioned by its id and ordered by ``seq``; sums run as window
-frames. CUSUM has a closed form in running sums; EWMA's recursion has not (its
-powers overflow), so each series streams through one grouped-map task in
-order, holding its values only.
+frames. CUSUM has a closed form in running sums, EWMA one within blocks of a
+series. Numbering a series sorts it in one task, which may spill.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,19 +67,32 @@ def ewma_values(x: np.ndarray, lam: float, k: float, center: float, sd: float) -
 
 
 def ewma(df: DataFrame, lam: float = 0.2, k: float = 3.0, target: float | None = None, series: str = "series", seq: str = "seq", value: str = "value") -> DataFrame:
-    """(series, seq, value, ewma, lcl, ucl, alarm) with time-varying limits."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-
-    def chart(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(seq, kind="stable")
-        x = part[value].to_numpy(float)
-        center = float(x.mean()) if target is None else float(target)
-        sd = float(x.std(ddof=1)) if len(x) > 1 else 0.0
-        z, half = ewma_values(x, lam, k, center, sd)
-        return part[[series, seq, value]].assign(ewma=z, lcl=center - half, ucl=center + half, alarm=np.abs(z - center) > half)
-
-    schema = f"{series} {kinds[series]}, {seq} {kinds[seq]}, {value} double, ewma double, lcl double, ucl double, alarm boolean"
-    return df.select(series, seq, F.col(value).cast("double").alias(value)).groupBy(series).applyInPandas(chart, schema)
+    """(series, seq, value, ewma, lcl, ucl, alarm) with time-varying limits.
+
+    A series is cut into blocks so long that what a block's start weighs at its
+    end is below 1e-30 of it: within a block the recursion is a running sum of
+    value / (1 - lam)^i, and only the end of the block before is carried over.
+    """
+    whole, order = Window.partitionBy(series), _order(series, seq)
+    fade = 1.0 - lam
+    center = F.avg(value).over(whole) if target is None else F.lit(float(target))
+    spread = F.coalesce(F.stddev_samp(value).over(whole), F.lit(0.0))
+    out = df.select(series, seq, F.col(value).cast("double").alias(value))
+    out = out.select("*", center.alias("__c"), spread.alias("__s"), F.row_number().over(order).alias("__i"))
+    if fade <= 0:
+        out = out.withColumn("ewma", F.col(value))
+    else:
+        size = math.ceil(30 * math.log(10) / -math.log(fade))
+        out = out.withColumn("__b", F.floor((F.col("__i") - 1) / size)).withColumn("__p", (F.col("__i") - 1) % size + 1)
+        run = Window.partitionBy(series, "__b").orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        power = F.pow(F.lit(fade), F.col("__p"))
+        out = out.withColumn("__own", lam * power * F.sum(F.col(value) / power).over(run))
+        ends = out.where(F.col("__p") == size).select(F.col(series).alias("__k"), (F.col("__b") + 1).alias("__n"), F.col("__own").alias("__e"))
+        out = out.join(ends, F.col(series).eqNullSafe(F.col("__k")) & (F.col("__b") == F.col("__n")), "left")
+        out = out.withColumn("ewma", F.col("__own") + power * F.when(F.col("__b") == 0, F.col("__c")).otherwise(F.col("__e")))
+    half = k * F.col("__s") * F.sqrt(F.lit(lam / (2 - lam)) * (1 - F.pow(F.lit(max(fade, 0.0)), 2 * F.col("__i"))))
+    out = out.withColumn("__h", half)
+    return out.select(series, seq, value, "ewma", (F.col("__c") - F.col("__h")).alias("lcl"), (F.col("__c") + F.col("__h")).alias("ucl"), (F.abs(F.col("ewma") - F.col("__c")) > F.col("__h")).alias("alarm"))
 
 
 def arl0(k: float) -> float:

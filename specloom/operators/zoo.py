@@ -1,8 +1,8 @@
 """Model registry: linear and latent models from Grams, the rest as estimators.
 
 Kernel and iterative models work on the calibration set, which is a few hundred
-reference measurements by nature; it is fetched with a checked bound. Trees and
-generalised linear models are the library's distributed ones.
+reference measurements by nature; it is fetched with a checked bound. Trees are
+the library's distributed ones and are fitted on the table itself.
 """
 
 from __future__ import annotations
@@ -429,6 +429,12 @@ class Trees(Estimator):
         self.model = make(seed=0, **{**defaults, **self.params}).fit(rows)
         return self
 
+    def load(self, path: str) -> Trees:
+        from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
+
+        self.model = {"rf": RandomForestRegressionModel, "lgbm": GBTRegressionModel}[self.kind].load(path)
+        return self
+
     def transform(self, df: DataFrame, out: str = "pred") -> DataFrame:
         from pyspark.ml.functions import array_to_vector
 

@@ -48,11 +48,17 @@ def predict_parameters(df: DataFrame, models: dict[str, list[tuple[list[float],
     return df.withColumn("TN", F.greatest("TN", "AN")) if {"TN", "AN"} <= set(models) else df
 
 
-def predict_branch(df: DataFrame, clear: dict, turbid: dict, limits: dict[str, tuple[float, float]] = RANGE_LIMITS) -> DataFrame:
-    """Chooses the model set by the batch's mean turbidity; ``clear`` holds the turbidity model.
+def predict_branch(df: DataFrame, clear: dict, wide: dict, limits: dict[str, tuple[float, float]] = RANGE_LIMITS) -> DataFrame:
+    """Chooses the model set by the batch's mean turbidity, as the ``wide`` set's model has it.
 
-    One aggregate decides, so the batch is read twice and never collected.
+    A batch with any value above 1 takes KMNO from the wide set in either case.
+    One aggregate decides, so the batch is read twice and never collected; an
+    empty batch counts as clear.
     """
-    (coef, intercept), *_ = clear["TUR"]
-    mean = df.agg(F.avg(guard(dot(F.col("x"), literal(coef)) + intercept, limits["TUR"]))).first()[0]
-    return predict_parameters(df, clear if mean is None or mean <= TURBIDITY_BRANCH else turbid, limits)
+    (coef, intercept), *_ = wide["TUR"]
+    turbidity = guard(dot(F.col("x"), literal(coef)) + intercept, limits["TUR"])
+    mean, top = df.agg(F.avg(turbidity), F.max(F.array_max("x"))).first()
+    models = dict(clear if mean is None or mean <= TURBIDITY_BRANCH else wide)
+    if top is not None and top > 1 and "KMNO" in wide:
+        models["KMNO"] = wide["KMNO"]
+    return predict_parameters(df, models, limits)

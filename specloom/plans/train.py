@@ -23,7 +23,7 @@ from ..operators.preprocess import fit as fit_chain
 from ..operators.selection import quadratic_rmse
 from ..operators.sequences import day_folds, kfold
 from ..operators.zoo import MODELS, Trees, build_model, calibration
-from .cards import ModelCard, data_fingerprint
+from .cards import ModelCard, Wrapped, data_fingerprint
 
 
 def assign_folds(df: DataFrame, folds: int = 5, seed: int = 0, key: str = "sample_id") -> DataFrame:
@@ -81,6 +81,18 @@ def rows_cv(x: np.ndarray, y: np.ndarray, key: str, params: dict, folds: int, se
     return float(np.mean(out))
 
 
+def frame_rmse(model: Trees, df: DataFrame) -> float:
+    e = F.col("pred") - F.col("y")
+    return float(model.transform(df, "pred").agg(F.sqrt(F.avg(e * e))).first()[0])
+
+
+def trees_cv(df: DataFrame, key: str, params: dict, folds: int, seed: int) -> float:
+    """The same for trees, on tables: folds by the key's hash."""
+    dealt = assign_folds(df, folds, seed)
+    errors = [frame_rmse(build_model(key, **params).fit_frame(dealt.where(F.col("fold") != f)), own) for f in range(folds) if not (own := dealt.where(F.col("fold") == f)).isEmpty()]
+    return float(np.mean(errors))
+
+
 def train_model(df: DataFrame, axis: list[float], label: str, model_key: str = "pls", chain: list[dict] = (), model_params: dict | None = None, param: WaterParam | None = None, folds: int = 5, cv: str = "kfold", cv_window: int | None = None, seed: int = 0, instrument_id: str | None = None, calibration_upper: float | None = None) -> ModelCard:
     """A card of ``df(sample_id, x, y[, day_idx])``: rows without a finite y go, the chain is fitted on the rest."""
     df = df.where(F.col("y").isNotNull() & ~F.isnan("y"))
@@ -100,30 +112,18 @@ def _train(ready, df, fitted, axis, label, key, params, param, folds, cv, cv_win
             params["n_components"] = select_n_components(splits, key, params=params)
         coef, intercept = solve(key, whole, params)
         rmse_cv, rmse_fit = cv_rmse(splits, key, params), quadratic_rmse(whole, coef, intercept)
+    elif isinstance(model := build_model(key, **params), Trees):
+        estimator = Wrapped(model.fit_frame(ready), key)
+        rmse_cv, rmse_fit = trees_cv(ready, key, params, folds, seed), frame_rmse(model, ready)
     else:
         x, y = calibration(ready)
         rmse_cv = rows_cv(x, y, key, params, folds, seed)
-        estimator = Centred(build_model(key, **params), key).fit(x, y)
+        estimator = Wrapped(model, key).fit(x, y)
         rmse_fit = float(np.sqrt(np.mean((estimator.predict(x) - y) ** 2)))
     theoretical = param.theoretical_upper(upper) if param else upper
     return ModelCard(key, label, fitted.steps, {"steps": fitted.steps, "p": fitted.p, "state": fitted.state}, list(map(float, axis)), None if coef is None else coef.tolist(), float(intercept), params, {"rmse_cv": rmse_cv, "rmse_fit": rmse_fit}, param.lower_bound if param else None, param.review_upper if param else None, theoretical, instrument_id, data_fingerprint(df), estimator=estimator)
 
 
-class Centred:
-    """An estimator on centred spectra and a z-scored target, inverted on prediction."""
-
-    def __init__(self, inner, key: str):
-        self.inner, self.raw = inner, key in ("poisson", "gamma") or isinstance(inner, Trees)
-
-    def fit(self, x, y):
-        self.mx, self.my, self.sy = (0.0, 0.0, 1.0) if self.raw else (x.mean(0), y.mean(), y.std() or 1.0)
-        self.inner.fit(x - self.mx, (y - self.my) / self.sy)
-        return self
-
-    def predict(self, x):
-        return self.inner.predict(np.asarray(x, float) - self.mx) * self.sy + self.my
-
-
 def sweep(df: DataFrame, axis: list[float], label: str, model_keys=("pls", "ridge", "lasso", "ols"), chain=(), **options) -> list[ModelCard]:
     """Cards of several models on one chain, by cross-validated error."""
     cards = sweep_grid(df, axis, label, model_keys, [chain], **options)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -43,8 +43,9 @@ def read_wide_csv(spark: SparkSession, path: str, prefix: str = "wavelength_", s
     if digested_prefix:
         arrays.append(F.array(*[F.col(f"`{c}`").cast("double") for c in numbered_columns(raw.columns, digested_prefix)]).alias("x_digested"))
     named = [F.col(f"`{src}`").cast("double").alias(out) for out, src in parse_labels(list(labels)).items()]
-    # A stable id: the row's own content and day; rows of a file have no order of their own.
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns])
+    # A stable id: the row's own content, and which of its repeats it is; rows of a file have no order of their own.
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns])
+    key = F.xxhash64(content, F.row_number().over(Window.partitionBy(content).orderBy(content)))
     out = raw.select(key.alias("sample_id"), F.col(f"`{day}`").cast("int").alias("day_idx"), *arrays, *named)
     return out, [start + step * (int(c[len(prefix) :]) - 1) for c in waves]
 

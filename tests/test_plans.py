@@ -96,13 +96,15 @@ def test_candidates(spark, data):
         serve.fusion_weights([])
 
 
-@pytest.mark.parametrize("key", ["krr", "rf"])
-def test_other_models_serve(data, key):
+@pytest.mark.parametrize("key", ["krr", "rf", "gam"])
+def test_other_models_serve(spark, data, key, tmp_path):
     c = train.train_model(data[0], list(AXIS), "TN", key, [], {"rf": {"numTrees": 5, "maxDepth": 3}}.get(key), folds=2)
     out = train.raw_predictions(c, data[0]).select("y", "y_pred").collect()
     assert np.corrcoef([r.y for r in out], [r.y_pred for r in out])[0, 1] > 0.5
-    with pytest.raises(TypeError):
-        c.to_json()
+    cards.save_cards(spark, [c], f"{tmp_path}/stored")
+    (back,) = cards.load_cards(spark, f"{tmp_path}/stored")
+    again = train.raw_predictions(back, data[0]).select("y_pred").collect()
+    assert back.model_type == c.model_type and np.allclose([r.y_pred for r in again], [r.y_pred for r in out])
 
 
 def test_guarded_prediction(data, card):
@@ -160,6 +162,14 @@ def test_river(spark):
     flat = [([0.0] * 101, v) for v in (10.0, 3.0, 0.001)]
     out = river.predict_branch(df, {"TUR": [flat[0]], "TN": [flat[2]], "AN": [flat[1]]}, {"TUR": [flat[0]]}).first()
     assert (out.TUR, out.TN, out.AN) == (10.0, 3.0, 3.0)
+    constant = lambda v: [([0.0] * 101, v)]
+    clear = {"TUR": constant(1.0), "KMNO": constant(2.0), "TN": constant(4.0)}
+    wide = {"TUR": constant(50.0), "KMNO": constant(6.0), "TN": constant(5.0), "AN": constant(1.0)}
+    turbid = river.predict_branch(df, clear, wide).first()
+    assert (turbid.TUR, turbid.KMNO, turbid.TN) == (50.0, 6.0, 5.0)  # the wide set's turbidity decides
+    still = wide | {"TUR": constant(10.0)}
+    low, high = (df.withColumn("x", F.transform("x", lambda v: v * 0 + level)) for level in (0.5, 1.5))
+    assert river.predict_branch(low, clear, still).first().KMNO == 2.0 and river.predict_branch(high, clear, still).first().KMNO == 6.0
     j = tables.result_json(spark.createDataFrame([(1, 7, 1.5)], "sample_id long, id long, TN double")).first()
     assert json.loads(j.json)["item"][0] == {"id": 7, "TN": 1.5}
 
