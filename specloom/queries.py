@@ -76,14 +76,19 @@ def snv_moments(spark, d):
     return out.select("vec_id", R("mean", 6).alias("mean"), R("sd", 6).alias("sd"), R(F.array_max("z"), 6).alias("top"))
 
 
-@query(f"WITH {LONG}, ref AS (SELECT j, avg(a) AS r FROM long GROUP BY j) SELECT vec_id, round(regr_slope(a, r), 6) AS slope, round(regr_intercept(a, r), 6) AS intercept FROM long JOIN ref USING (j) GROUP BY vec_id")
-def msc_coefs(spark, d):
-    df = vectors(spark, d)
-    ref, _ = gram.column_stats(df)
-    c = ref - ref.mean()
-    slope = arrays.dot(F.col("x"), arrays.literal(c)) / float(c @ c)
-    out = df.select(F.col("sample_id").alias("vec_id"), slope.alias("b"), arrays.mean(F.col("x")).alias("m"))
-    return out.select("vec_id", R("b", 6).alias("slope"), R(F.col("m") - F.col("b") * float(ref.mean()), 6).alias("intercept"))
+def tilted(spark: SparkSession, d: str, *meta: str) -> DataFrame:
+    """The vectors on a rising baseline, so that every spectrum follows the mean one."""
+    return vectors(spark, d, *meta).withColumn("x", F.transform("x", lambda v, j: v + j / 4.0))
+
+
+TILTED = "long AS (SELECT vec_id, label, j, a + j / 4.0 AS a FROM (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS j, unnest(embedding)::DOUBLE AS a FROM embeddings))"
+
+
+@query(f"WITH {TILTED}, ref AS (SELECT j, avg(a) AS r FROM long GROUP BY j), f AS (SELECT vec_id, regr_slope(a, r) AS b, regr_intercept(a, r) AS c FROM long JOIN ref USING (j) GROUP BY vec_id) SELECT vec_id, j::INTEGER AS j, round((a - c) / b, 5) AS value FROM long JOIN f USING (vec_id)")
+def msc(spark, d):
+    df = tilted(spark, d)
+    out = preprocess.fit([{"op": "msc"}], df, 64).transform(df)
+    return out.select(F.col("sample_id").alias("vec_id"), F.posexplode("x").alias("j", "a")).select("vec_id", "j", R("a", 5).alias("value"))
 
 
 @query(f"WITH {LONG}, ref AS (SELECT j, avg(a) AS m, stddev_pop(a) AS s FROM long GROUP BY j) SELECT vec_id, round(sum((a - m) / s), 5) AS total, round(max((a - m) / s), 5) AS top FROM long JOIN ref USING (j) GROUP BY vec_id")
@@ -100,15 +105,47 @@ def mean_center(spark, d):
     return out.select(F.col("sample_id").alias("vec_id"), R(arrays.total(F.col("x")), 5).alias("total"), R(F.array_min("x"), 5).alias("low"))
 
 
-_W = kernels.polynomial_weights(11, 3, 0, 0)
+def polynomial_matrix(p: int, window: int, order: int, deriv: int = 0) -> str:
+    """SQL rows (i, j, w) of a smoothing polynomial, edges by the end windows, from fits to unit vectors."""
+    half, rows = window // 2, []
+    units = [np.poly1d(np.polyfit(np.arange(-half, half + 1.0), u, order)).deriv(deriv) for u in np.eye(window)]
+    for i in range(p):
+        centre = min(max(i, half), p - 1 - half)
+        rows += [(i, centre - half + k, float(u(i - centre))) for k, u in enumerate(units)]
+    return "w AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, {v!r}::DOUBLE)" for i, j, v in rows) + ") AS t(i, j, w))"
+
+
+def _filtered(spark, d, step: dict, digits: int = 6) -> DataFrame:
+    df = vectors(spark, d)
+    out = preprocess.fit([step], df, 64).transform(df)
+    return out.select(F.col("sample_id").alias("vec_id"), F.posexplode("x").alias("j", "a")).select("vec_id", "j", R("a", digits).alias("value"))
+
+
+def _filter_sql(window: int, order: int, deriv: int = 0) -> str:
+    return f"WITH {LONG}, {polynomial_matrix(64, window, order, deriv)} SELECT vec_id, i::INTEGER AS j, round(sum(a * w), 6) AS value FROM long JOIN w USING (j) GROUP BY vec_id, i"
+
+
+@query(_filter_sql(11, 3))
+def savgol(spark, d):
+    return _filtered(spark, d, {"op": "savgol", "window": 11, "polyorder": 3})
 
 
-@query(f"WITH {LONG}, w AS (SELECT unnest(range(11)) - 5 AS k, unnest([{', '.join(repr(float(v)) for v in _W)}]::DOUBLE[]) AS w) SELECT vec_id, c.j::INTEGER AS j, round(sum(a * w), 6) AS smooth FROM long JOIN (SELECT unnest(range(5, 59)) AS j) c ON long.j BETWEEN c.j - 5 AND c.j + 5 JOIN w ON w.k = long.j - c.j GROUP BY vec_id, c.j")
-def savgol_interior(spark, d):
+@query(_filter_sql(9, 2, 1))
+def deriv_gram(spark, d):
+    return _filtered(spark, d, {"op": "deriv_gram", "window": 9, "order": 2, "der": 1})
+
+
+@query(f"WITH {LONG}, {polynomial_matrix(64, 11, 3)}, s AS (SELECT vec_id, i, sum(a * w) AS a FROM long JOIN w USING (j) GROUP BY vec_id, i), m AS (SELECT vec_id, avg(a) AS m, stddev_pop(a) AS s FROM s GROUP BY vec_id) SELECT vec_id, round(max((a - m) / s), 5) AS top, round(min((a - m) / s), 5) AS low FROM s JOIN m USING (vec_id) GROUP BY vec_id")
+def savgol_snv(spark, d):
     df = vectors(spark, d)
-    out = preprocess.fit([{"op": "savgol", "window": 11, "polyorder": 3}], df, 64).transform(df)
-    long = out.select(F.col("sample_id").alias("vec_id"), F.posexplode("x").alias("j", "a")).where("j BETWEEN 5 AND 58")
-    return long.select("vec_id", "j", R("a", 6).alias("smooth"))
+    out = preprocess.fit([{"op": "savgol", "window": 11}, {"op": "snv"}], df, 64).transform(df)
+    return out.select(F.col("sample_id").alias("vec_id"), R(F.array_max("x"), 5).alias("top"), R(F.array_min("x"), 5).alias("low"))
+
+
+@query(f"WITH {LONG}, g AS (SELECT avg(a) AS m, stddev_pop(a) AS s FROM long) SELECT vec_id, round(sum((a - m) / s), 5) AS total, round(max((a - m) / s), 5) AS top FROM long, g GROUP BY vec_id")
+def global_standardize(spark, d):
+    out = preprocess.global_standardize(vectors(spark, d))
+    return out.select(F.col("sample_id").alias("vec_id"), R(arrays.total(F.col("x")), 5).alias("total"), R(F.array_max("x"), 5).alias("top"))
 
 
 @query(f"WITH {LONG} SELECT vec_id, count(*)::INTEGER AS n, round(sum(a), 5) AS total, round(sum(CASE WHEN j BETWEEN 10 AND 53 THEN a END), 5) AS trimmed FROM long WHERE 200 + 8 * j BETWEEN 240 AND 648 GROUP BY vec_id")
@@ -128,10 +165,19 @@ def channel_stats(spark, d):
     return out.select("label", "j", "n", R("mean", 6).alias("mean"), R("sd_pop", 6).alias("sd_pop"))
 
 
-@query(f"WITH {LONG}, t AS (SELECT j, label, stddev_samp(a) AS s, avg(a) AS m FROM long GROUP BY j, label) SELECT label, round(max(s), 6) AS dark_noise_max, round(avg(s), 6) AS dark_noise_mean, round(max(abs(m)), 6) AS deviation_max, round(avg(m) / avg(s), 5) AS snr FROM t GROUP BY label")
-def dark_noise(spark, d):
-    s = gram.long_stats(vectors(spark, d, "label"), "label")
-    return s.groupBy("label").agg(R(F.max("sd"), 6).alias("dark_noise_max"), R(F.avg("sd"), 6).alias("dark_noise_mean"), R(F.max(F.abs("mean")), 6).alias("deviation_max"), R(F.avg("mean") / F.avg("sd"), 5).alias("snr"))
+@query(f"WITH {LONG}, t AS (SELECT j, stddev_samp(a) AS s, avg(a) AS m FROM long GROUP BY j) SELECT round(max(s), 6) AS dark_noise_max, round(avg(s), 6) AS dark_noise_mean, round(max(s), 6) AS baseline_flatness, round(max(abs(m - 0.25)), 6) AS baseline_deviation_max, round(avg(m) / avg(s), 5) AS snr FROM t")
+def repeat_figures(spark, d):
+    df = vectors(spark, d)
+    both = hardware.dark_noise(df).crossJoin(hardware.baseline_flatness(df, 0.25))
+    return both.select(*[R(c, 6).alias(c) for c in both.columns], R(F.lit(hardware.signal_to_noise(df)), 5).alias("snr"))
+
+
+@query(f"WITH {LONG}, t AS (SELECT j, stddev_samp(a) AS s FROM long GROUP BY j), m AS (SELECT 'dark_noise_max' AS metric, max(s) AS value, 0.001 AS most FROM t UNION ALL SELECT 'dark_noise_mean', avg(s), 0.001 FROM t UNION ALL SELECT 'baseline_flatness', max(s), 0.002 FROM t) SELECT metric, round(value, 6) AS value, value <= most AS passed FROM m")
+def instrument_report(spark, d):
+    df = vectors(spark, d)
+    out = hardware.evaluate_instrument(AXIS, dark=df, blank=df)
+    rows = [(k, round(float(out["metrics"][k]), 6), bool(v)) for k, v in out["passed"].items()]
+    return spark.createDataFrame(rows, "metric string, value double, passed boolean")
 
 
 @query(f"""WITH {LONG}, n AS (SELECT vec_id, j, a, lag(a) OVER w AS l, lead(a) OVER w AS r FROM long WINDOW w AS (PARTITION BY vec_id ORDER BY j)),
@@ -144,31 +190,36 @@ def peak_wavelength(spark, d):
     return out.select(F.col("sample_id").alias("vec_id"), "around", R("nm", 5).alias("nm"))
 
 
-@query(f"""WITH {LONG}, q AS (SELECT unnest([203.0::DOUBLE, 333.3, 704.0]) AS nm)
-    SELECT vec_id, nm, round(arg_max(CASE WHEN 200 + 8 * j <= nm THEN a END, CASE WHEN 200 + 8 * j <= nm THEN j END)
-      + (nm - 200 - 8 * max(CASE WHEN 200 + 8 * j <= nm THEN j END)) / 8
-        * (arg_min(CASE WHEN 200 + 8 * j > nm THEN a END, CASE WHEN 200 + 8 * j > nm THEN j END) - arg_max(CASE WHEN 200 + 8 * j <= nm THEN a END, CASE WHEN 200 + 8 * j <= nm THEN j END)), 6) AS value
-    FROM long, q WHERE nm < 704 GROUP BY vec_id, nm""")
+@query(f"""WITH {LONG}, m AS (SELECT j, avg(a) AS a FROM long GROUP BY j), q AS (SELECT unnest([150.0::DOUBLE, 203.0, 333.3, 704.0, 900.0]) AS nm)
+    SELECT nm, round(CASE WHEN nm <= 200 THEN (SELECT a FROM m WHERE j = 0) WHEN nm >= 704 THEN (SELECT a FROM m WHERE j = 63)
+      ELSE (SELECT l.a + (nm - 200 - 8 * l.j) / 8 * (r.a - l.a) FROM m l JOIN m r ON r.j = l.j + 1 WHERE l.j = floor((nm - 200) / 8)) END, 6) AS value FROM q""")
 def interpolated(spark, d):
-    long = spectra.to_long(vectors(spark, d), AXIS)
-    pts = long.withColumn("at", F.explode(F.array(F.lit(203.0), F.lit(333.3))))
-    low, high = F.col("nm") <= F.col("at"), F.col("nm") > F.col("at")
-    g = pts.groupBy("sample_id", "at").agg(F.max_by(F.when(low, F.struct("nm", "a")), F.when(low, F.col("nm"))).alias("l"), F.min_by(F.when(high, F.struct("nm", "a")), F.when(high, F.col("nm"))).alias("h"))
-    value = F.col("l.a") + (F.col("at") - F.col("l.nm")) / (F.col("h.nm") - F.col("l.nm")) * (F.col("h.a") - F.col("l.a"))
-    return g.select(F.col("sample_id").alias("vec_id"), F.col("at").alias("nm"), R(value, 6).alias("value"))
+    mean, _ = gram.column_stats(vectors(spark, d))
+    points = [150.0, 203.0, 333.3, 704.0, 900.0]
+    rows = [(nm, round(float(v), 6)) for nm, v in zip(points, hardware.interpolate(AXIS, mean, points))]
+    return spark.createDataFrame(rows, "nm double, value double")
+
 
+@query(f"WITH {LONG}, m AS (SELECT j, avg(a) AS a FROM long GROUP BY j) SELECT round(max(abs(a - CASE j WHEN 5 THEN 0.1 WHEN 25 THEN 0.2 END)), 6) AS photometric, round(max(CASE WHEN j IN (5, 25, 60) THEN a END), 6) AS stray FROM m")
+def photometric(spark, d):
+    mean, _ = gram.column_stats(vectors(spark, d))
+    p = hardware.photometric_accuracy(AXIS, mean, [(240.0, 0.1), (400.0, 0.2)])
+    s = hardware.stray_light(AXIS, mean, [240.0, 400.0, 680.0])
+    return spark.createDataFrame([(round(p, 6), round(s, 6))], "photometric double, stray double")
 
-@query(f"""WITH {LONG}, c AS (SELECT j, vec_id, a FROM long WHERE vec_id < 40)
-    SELECT j::INTEGER AS j, vec_id AS concentration, round(regr_r2(vec_id, a) OVER (PARTITION BY j ORDER BY vec_id ROWS UNBOUNDED PRECEDING), 5) AS r2 FROM c QUALIFY row_number() OVER (PARTITION BY j ORDER BY vec_id) > 2""")
+
+@query(f"""WITH {LONG} SELECT j::INTEGER AS j, vec_id AS concentration, round(regr_r2(vec_id, a) OVER (PARTITION BY j ORDER BY vec_id ROWS UNBOUNDED PRECEDING), 5) AS r2
+    FROM long QUALIFY row_number() OVER (PARTITION BY j ORDER BY vec_id) > 2""")
 def linearity_r2(spark, d):
-    df = vectors(spark, d).where("sample_id < 40").select(F.col("sample_id").alias("concentration"), "x")
-    out = hardware.linearity(df, 64, window=1, order=3).where("k > 2")
-    return out.select("j", "concentration", R("r2", 5).alias("r2"))
+    df = vectors(spark, d).select(F.col("sample_id").alias("concentration"), "x")
+    return hardware.linearity(df, 64, window=1, order=3).where("k > 2").select("j", "concentration", R("r2", 5).alias("r2"))
 
 
-@query()
+@query(f"""WITH {LONG}, {polynomial_matrix(64, 15, 3)}, s AS (SELECT vec_id, i AS j, sum(a * w) AS a FROM long JOIN w USING (j) GROUP BY vec_id, i)
+    SELECT j::INTEGER AS j, vec_id AS concentration, round(regr_r2(vec_id, a) OVER (PARTITION BY j ORDER BY vec_id ROWS UNBOUNDED PRECEDING), 5) AS r2
+    FROM s QUALIFY row_number() OVER (PARTITION BY j ORDER BY vec_id) > 2""")
 def linearity_all(spark, d):
-    """Over all rows, smoothed by default; ``linearity_r2``'s SQL has the first 40 rows, unsmoothed."""
+    """The same, smoothed as by default."""
     df = vectors(spark, d).select(F.col("sample_id").alias("concentration"), "x")
     return hardware.linearity(df, 64).where("k > 2").select("j", "concentration", R("r2", 5).alias("r2"))
 
@@ -207,33 +258,75 @@ def sbc_fit(spark, d):
     return spark.createDataFrame([(round(slope, 6), round(intercept, 4))], "slope double, intercept double")
 
 
-@query()
+@query(f"WITH {PAIRS} SELECT a.j::INTEGER AS i, b.j::INTEGER AS j, round(sum(a.s * b.m), 3) AS v FROM p a JOIN p b USING (std_id) GROUP BY a.j, b.j")
 def direct_standardization(spark, d):
-    slave, master = standards(spark, d)
-    done = transfer.direct(transfer.pairs(slave, master), ridge=1e-3).transform(slave)
-    return done.select("std_id", R(arrays.norm(F.col("x")), 4).alias("size"))
+    """(S'S + r I) F for the fitted F: the normal equations make it S'M."""
+    p = transfer.pairs(*standards(spark, d))
+    f = transfer.direct(p, ridge=1e-3).matrix[1:]
+    s = gram.gram(p.select(F.col("s").alias("x")), y=None).m[1:-1, 1:-1]
+    return _cells(spark, (s + 1e-3 * np.eye(64)) @ f, 3)
 
 
-@query()
-def piecewise_standardization(spark, d):
-    slave, master = standards(spark, d)
-    done = transfer.piecewise(transfer.pairs(slave, master), 2, 1e-3).transform(slave)
-    return done.select("std_id", R(arrays.norm(F.col("x")), 4).alias("size"))
+def _cells(spark, m: np.ndarray, digits: int) -> DataFrame:
+    rows = [(i, j, round(float(v), digits) + 0.0) for i, r in enumerate(m) for j, v in enumerate(r)]
+    return spark.createDataFrame(rows, "i int, j int, v double")
 
 
-@query()
+@query(f"WITH {PAIRS}, u AS (SELECT std_id, j, s FROM p UNION ALL SELECT std_id, -1, 1 FROM p GROUP BY std_id) SELECT a.j::INTEGER AS i, b.j::INTEGER AS j, round(sum(a.s * b.m), 3) AS v FROM u a JOIN p b USING (std_id) WHERE a.j = -1 OR abs(a.j - b.j) <= 2 GROUP BY a.j, b.j")
+def piecewise_standardization(spark, d):
+    """Each channel's band of normal equations, the intercept as channel -1."""
+    p = transfer.pairs(*standards(spark, d))
+    f = transfer.piecewise(p, 2, 1e-3).matrix
+    g = gram.gram(p.select(F.col("s").alias("x")), y=None).m[:-1, :-1]
+    rows = []
+    for j in range(64):
+        on = np.concatenate([[0], np.arange(max(0, j - 2), min(64, j + 3)) + 1])
+        left = (g[np.ix_(on, on)] + 1e-3 * np.eye(len(on))) @ f[on, j]
+        rows += [(int(i) - 1, j, round(float(v), 3) + 0.0) for i, v in zip(on, left)]
+    return spark.createDataFrame(rows, "i int, j int, v double")
+
+
+@query(f"WITH {PAIRS}, c AS (SELECT a.j AS i, b.j AS j, avg((a.s - a.m) * (b.s - b.m)) AS v FROM p a JOIN p b USING (std_id) GROUP BY a.j, b.j), t AS (SELECT sum(v) / 64 AS t FROM c WHERE i = j) SELECT i::INTEGER AS i, j::INTEGER AS j, round(v / t, 4) AS v FROM c, t")
 def glsw_weighting(spark, d):
-    slave, master = standards(spark, d)
-    done = transfer.weighting(transfer.pairs(slave, master)).transform(slave)
-    return done.select("std_id", R(arrays.norm(F.col("x")), 4).alias("size"))
+    """W^-2 - lam I for the fitted W: the scaled cross product of the differences."""
+    w = transfer.weighting(transfer.pairs(*standards(spark, d)), 1e-3).matrix[1:]
+    return _cells(spark, np.linalg.inv(w @ w) - 1e-3 * np.eye(64), 4)
 
 
-@query()
+def _spread_sql(picks: int) -> str:
+    """Maximally spread rows, one step after another."""
+    far = "list_sum(list_transform(list_zip(n.e, p.e), lambda z: (z[1] - z[2]) ** 2))"
+    steps = ["n0 AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)",
+             f"d0 AS (SELECT n.vec_id, sum({far}) AS d FROM n0 n, n0 p GROUP BY n.vec_id)",
+             "p1 AS (SELECT vec_id, e FROM n0 JOIN d0 USING (vec_id) ORDER BY d DESC, vec_id LIMIT 1)",
+             f"n1 AS (SELECT n.vec_id, n.e, {far} AS d FROM n0 n, p1 p)"]
+    for k in range(2, picks + 1):
+        steps.append(f"p{k} AS (SELECT vec_id, e FROM n{k - 1} ORDER BY d DESC, vec_id LIMIT 1)")
+        steps.append(f"n{k} AS (SELECT n.vec_id, n.e, least(n.d, {far}) AS d FROM n{k - 1} n, p{k} p)")
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT vec_id FROM p{k}" for k in range(1, picks + 1))
+
+
+@query(_spread_sql(8))
 def kennard_stone(spark, d):
     keys = transfer.kennard_stone(vectors(spark, d), 8)
     return spark.createDataFrame([(int(k),) for k in keys], "vec_id long")
 
 
+@query(f"""WITH {LONG}, m AS (SELECT label, j, avg(a) AS a FROM long WHERE label IN (0, 1) GROUP BY label, j), c AS (SELECT label, j, a - avg(a) OVER (PARTITION BY label) AS a FROM m),
+    g AS (SELECT lag, sum(s.a * m.a) / sqrt(sum(s.a * s.a)) AS cosine FROM c s, unnest([-3, -2, -1, 0, 1, 2, 3]) l(lag), c m WHERE s.label = 0 AND m.label = 1 AND m.j = s.j + lag GROUP BY lag)
+    SELECT lag * 8.0::DOUBLE AS shift FROM g ORDER BY cosine DESC, lag LIMIT 1""")
+def wavelength_shift(spark, d):
+    return spark.createDataFrame([(transfer.wavelength_shift(AXIS, *standards(spark, d), 24.0),)], "shift double")
+
+
+@query("SELECT label, CASE WHEN n < 5 THEN 'sbc' WHEN label > 4 THEN 'align_then_pds' WHEN n >= 64 THEN 'ds' ELSE 'pds' END AS method, CASE WHEN n >= 5 AND (label > 4 OR n < 64) THEN 5 END AS pds_window FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)")
+def transfer_advice(spark, d):
+    """For the count of each label, with a shift of an eighth of the label in nm."""
+    counts = table(spark, d, "embeddings").groupBy("label").count().collect()
+    found = [(int(r["label"]), transfer.recommend(AXIS, r["label"] / 8, r["count"])) for r in counts]
+    return spark.createDataFrame([(k, v["method"], v["window"]) for k, v in found], "label int, method string, pds_window int")
+
+
 # ---- predictions ---------------------------------------------------------------
 
 
@@ -280,7 +373,8 @@ SCORED = """p AS (SELECT event_type AS model_type, ts, event_id, value AS t, lag
     e AS (SELECT *, p - t AS e, date_diff('day', DATE '2020-01-01', ts::DATE) AS day_idx FROM p),
     l AS (SELECT *, lag(e) OVER (PARTITION BY model_type ORDER BY ts, event_id) AS before FROM e),
     d AS (SELECT model_type, avg(r2) AS daily_r2_score, avg(r) AS daily_pearson_r_score FROM (SELECT model_type, day_idx, CASE WHEN var_pop(t) > 0 THEN 1 - sum(e * e) / (var_pop(t) * count(*)) END AS r2, CASE WHEN var_pop(t) > 0 AND var_pop(p) > 0 THEN corr(t, p) END AS r FROM e GROUP BY model_type, day_idx HAVING count(*) >= 2) GROUP BY model_type),
-    m AS (SELECT model_type, avg(((t >= 1000) = (p >= 1000))::INTEGER) AS alarm_acc, avg(abs(e) / t) AS mape, 1 - sum(e * e) / (var_pop(t) * count(*)) AS r2_score, corr(t, p) AS pearson, sqrt(avg(e * e)) AS rmse,
+    m AS (SELECT model_type, avg(((t >= 1000) = (p >= 1000))::INTEGER) AS alarm_acc, 1 - avg(((t >= 1000) = (p >= 1000))::INTEGER) AS alarm_err, avg(abs(e) / t) AS mape,
+      avg((CASE WHEN t <= 50 AND p <= 50 THEN true WHEN t <= 50 THEN abs(e) / greatest(abs(t), 1e-12) <= 0.4 WHEN t > 1000 THEN abs(e) / t <= 0.2 ELSE abs(e) <= 5 END)::INTEGER) AS rate, 1 - sum(e * e) / (var_pop(t) * count(*)) AS r2_score, corr(t, p) AS pearson, sqrt(avg(e * e)) AS rmse,
       greatest(0, least(1, 1 - (sum((before IS NOT NULL AND sign(e) <> sign(before))::INTEGER) + 1) / ((count(*) + 1) / 2))) AS grouped, sum((e - before) ** 2) / sum(e * e) AS dw,
       avg((e - mu) ** 4) / avg((e - mu) ** 2) ** 2 - 3 AS kurt, avg((e - mu) ** 3) / avg((e - mu) ** 2) ** 1.5 AS sk FROM (SELECT *, avg(e) OVER (PARTITION BY model_type) AS mu FROM l) GROUP BY model_type)"""
 
@@ -292,7 +386,7 @@ def event_predictions(spark, d) -> DataFrame:
     return s.select(F.col("event_type").alias("model_type"), "seq", F.datediff("ts", F.lit("2020-01-01")).alias("day_idx"), F.col("value").alias("y_true"), F.coalesce(F.lag("value").over(w), F.col("value")).alias("y_pred"))
 
 
-_SHORT = {"alarm_acc": "alarm_acc", "mape": "mape", "r2_score": "r2_score", "pearson_r_score": "pearson", "daily_r2_score": "daily_r2_score", "daily_pearson_r_score": "daily_pearson_r_score", "rmse": "rmse", "bad grouped ratio": "grouped", "durbin_watson_value": "dw", "Kurtosis": "kurt", "skew": "sk"}
+_SHORT = {"alarm_acc": "alarm_acc", "alarm_err": "alarm_err", "mape": "mape", "r2_score": "r2_score", "pearson_r_score": "pearson", "daily_r2_score": "daily_r2_score", "daily_pearson_r_score": "daily_pearson_r_score", "rmse": "rmse", "rate of reaching the standard": "rate", "bad grouped ratio": "grouped", "durbin_watson_value": "dw", "Kurtosis": "kurt", "skew": "sk"}
 
 
 @query(f"WITH {SCORED} SELECT model_type, {', '.join(f'round({c}, 5) AS {c}' for c in _SHORT.values())} FROM m JOIN d USING (model_type)")
@@ -301,21 +395,53 @@ def score_rows(spark, d):
     return out.select("model_type", *[R(F.col(f"`{k}`"), 5).alias(v) for k, v in _SHORT.items()])
 
 
-@query(f"""WITH {SCORED}, r AS (SELECT model_type, row_number() OVER (ORDER BY daily_pearson_r_score DESC, model_type) - 1 + rank() OVER (ORDER BY rmse) - 1 + rank() OVER (ORDER BY abs(dw - 2)) - 1
-      + row_number() OVER (ORDER BY r2_score DESC, model_type) - 1 + CASE WHEN r2_score < 0 THEN (count(*) OVER () - 1) * -r2_score / (1 - r2_score) ELSE 0 END AS rank FROM m JOIN d USING (model_type))
-    SELECT model_type, round(rank, 5) AS rank FROM r""")
+def _rank_sql() -> str:
+    """All ten component ranks added up."""
+    ordinal = lambda c, way: f"row_number() OVER (ORDER BY {c} {way} NULLS LAST, model_type) - 1"
+    shared = lambda c, way: f"rank() OVER (ORDER BY {c} {way} NULLS LAST) - 1"
+    leveraged = lambda c: f"{ordinal(c, 'DESC')} + CASE WHEN {c} < 0 THEN (count(*) OVER () - 1) * -{c} / (1 - {c}) ELSE 0 END"
+    parts = [ordinal("alarm_acc", "DESC"), ordinal("alarm_err", "ASC"), shared("mape", "ASC"), leveraged("r2_score"), leveraged("daily_r2_score"), ordinal("daily_pearson_r_score", "DESC"), shared("rmse", "ASC"), shared("rate", "DESC"), shared("grouped", "ASC"), shared("abs(dw - 2)", "ASC")]
+    return f"r AS (SELECT model_type, {' + '.join(parts)} AS rank FROM m JOIN d USING (model_type))"
+
+
+@query(f"WITH {SCORED}, {_rank_sql()} SELECT model_type, round(rank, 5) AS rank FROM r")
 def rank_components(spark, d):
-    picked = [c for c in scoring.COMPONENTS if c[0] in ("daily_pearson_r_score", "rmse", "durbin_watson_value", "r2_score")]
-    out = scoring.rank_models(scoring.score_rows(event_predictions(spark, d), TUR), picked)
-    return out.select("model_type", R("rank", 5).alias("rank"))
+    return scoring.rank_models(scoring.score_rows(event_predictions(spark, d), TUR)).select("model_type", R("rank", 5).alias("rank"))
+
 
+@query(f"WITH {SCORED}, {_rank_sql()} SELECT model_type, round(rank, 5) AS rank FROM r ORDER BY r.rank, model_type LIMIT 3")
+def top_models(spark, d):
+    ranked = scoring.rank_models(scoring.score_rows(event_predictions(spark, d), TUR))
+    return scoring.select_top_k(ranked, 3).select("model_type", R("rank", 5).alias("rank"))
 
-@query(f"WITH {PRED} SELECT seq, round((y_pred / 0.04 + y_true / 0.16) / (1 / 0.04 + 1 / 0.16), 4) AS fused FROM pred")
+
+@query("""WITH o AS (SELECT event_type AS model_type, min(value) AS mape, max(value) AS rmse FROM events WHERE event_type <> 'click' GROUP BY event_type),
+    n AS (SELECT event_type AS model_type, avg(value) - 40 AS mape, avg(value) AS rmse FROM events WHERE event_type <> 'view' GROUP BY event_type)
+    SELECT coalesce(o.model_type, n.model_type) AS model_type, round(CASE WHEN o.model_type IS NULL OR n.mape < o.mape THEN n.mape ELSE o.mape END, 5) AS mape,
+      round(CASE WHEN o.model_type IS NULL OR n.mape < o.mape THEN n.rmse ELSE o.rmse END, 5) AS rmse FROM o FULL JOIN n ON o.model_type = n.model_type""")
+def upsert_scores(spark, d):
+    e = table(spark, d, "events").withColumnRenamed("event_type", "model_type")
+    old = e.where("model_type <> 'click'").groupBy("model_type").agg(F.min("value").alias("mape"), F.max("value").alias("rmse"))
+    new = e.where("model_type <> 'view'").groupBy("model_type").agg((F.avg("value") - 40).alias("mape"), F.avg("value").alias("rmse"))
+    return scoring.upsert_scores(old, new).select("model_type", R("mape", 5).alias("mape"), R("rmse", 5).alias("rmse"))
+
+
+@query(f"""WITH {LONG} SELECT vec_id, round(CASE WHEN f < 0.1 THEN 0.05 ELSE f END, 6) AS fused
+    FROM (SELECT vec_id, sum(CASE j WHEN 5 THEN a / 0.04 WHEN 20 THEN a / 0.16 END) / (1 / 0.04 + 1 / 0.16) AS f FROM long GROUP BY vec_id)""")
 def fuse_weighted(spark, d):
-    from .plans.serve import fusion_weights
+    from .plans.serve import fuse
+
+    members = [card([1.0 if j == at else 0.0 for j in range(64)], 0.0, rmse_cv=rmse) for at, rmse in ((5, 0.2), (20, 0.4))]
+    out, _ = fuse(members, vectors(spark, d), param=WaterParam("F", (1.0,), 0.1))
+    return out.select(F.col("sample_id").alias("vec_id"), R("fused", 6).alias("fused"))
 
-    w = fusion_weights([0.2, 0.4])
-    return predictions(spark, d).select("seq", R(F.col("y_pred") * float(w[0]) + F.col("y_true") * float(w[1]), 4).alias("fused"))
+
+def card(coef: list[float], intercept: float, chain=(), df: DataFrame | None = None, **fom):
+    """A model card with given coefficients."""
+    from .plans.cards import ModelCard
+
+    fitted = preprocess.fit(list(chain), df, 64)
+    return ModelCard("ols", "y", fitted.steps, {"steps": fitted.steps, "p": 64, "state": fitted.state}, AXIS, coef, intercept, fom=fom)
 
 
 # ---- series --------------------------------------------------------------------
@@ -323,28 +449,27 @@ def fuse_weighted(spark, d):
 
 @query("""WITH z AS (SELECT user_id, ts, event_id, (value - avg(value) OVER u) / stddev_samp(value) OVER u AS z, row_number() OVER w AS i FROM events WINDOW u AS (PARTITION BY user_id), w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     s AS (SELECT *, sum(CASE WHEN i > 1 THEN z - 0.5 ELSE 0 END) OVER w AS s, sum(CASE WHEN i > 1 THEN z + 0.5 ELSE 0 END) OVER w AS t FROM z WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
-    SELECT event_id, round(s - min(s) OVER w, 6) AS c_pos, round(t - max(t) OVER w, 6) AS c_neg FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+    SELECT event_id, round(s - min(s) OVER w, 6) AS c_pos, round(t - max(t) OVER w, 6) AS c_neg, s - min(s) OVER w > 5 OR t - max(t) OVER w < -5 AS alarm FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def cusum(spark, d):
     out = sequences.cusum(series(spark, d))
-    return out.select(F.col("seq.event_id").alias("event_id"), R("c_pos", 6).alias("c_pos"), R("c_neg", 6).alias("c_neg"))
+    return out.select(F.col("seq.event_id").alias("event_id"), R("c_pos", 6).alias("c_pos"), R("c_neg", 6).alias("c_neg"), "alarm")
 
 
-@query("""WITH RECURSIVE s AS (SELECT user_id, event_id, value, avg(value) OVER (PARTITION BY user_id) AS m, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
-    r AS (SELECT user_id, event_id, i, 0.2::DOUBLE * value + 0.8::DOUBLE * m AS z FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.event_id, s.i, 0.2::DOUBLE * s.value + 0.8::DOUBLE * r.z FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)
-    SELECT event_id, round(z, 5) AS ewma FROM r""")
+@query("""WITH RECURSIVE s AS (SELECT user_id, event_id, value, avg(value) OVER (PARTITION BY user_id) AS m, coalesce(stddev_samp(value) OVER (PARTITION BY user_id), 0) AS sd, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    r AS (SELECT user_id, event_id, i, m, sd, 0.2::DOUBLE * value + 0.8::DOUBLE * m AS z FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.event_id, s.i, s.m, s.sd, 0.2::DOUBLE * s.value + 0.8::DOUBLE * r.z FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1),
+    h AS (SELECT *, 3 * sd * sqrt(0.2::DOUBLE / 1.8::DOUBLE * (1 - pow(0.8::DOUBLE, 2 * i))) AS h FROM r)
+    SELECT event_id, round(z, 5) AS ewma, round(m - h, 4) AS lcl, round(m + h, 4) AS ucl, abs(z - m) > h AS alarm FROM h""")
 def ewma(spark, d):
-    s = series(spark, d).select("series", F.struct("ts", "event_id").alias("seq"), "event_id", "value", "ts")
-    flat = s.select("series", F.row_number().over(Window.partitionBy("series").orderBy("seq")).cast("long").alias("seq"), "value", "event_id")
-    out = sequences.ewma(flat)
-    return out.join(flat.select("series", "seq", "event_id"), ["series", "seq"]).select("event_id", R("ewma", 5).alias("ewma"))
+    out = sequences.ewma(series(spark, d))
+    return out.select(F.col("seq.event_id").alias("event_id"), R("ewma", 5).alias("ewma"), R("lcl", 4).alias("lcl"), R("ucl", 4).alias("ucl"), "alarm")
 
 
 @query("""WITH c AS (SELECT user_id, value, value - avg(value) OVER (PARTITION BY user_id) AS c, ts, event_id FROM events), l AS (SELECT *, lag(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS l FROM c),
     g AS (SELECT user_id, count(*) AS n, avg(value) AS m, stddev_samp(value) AS sd, greatest(-0.99, least(0.99, sum(c * l) / sum(c * c))) AS rho FROM l GROUP BY user_id)
-    SELECT user_id, round(m, 5) AS center, round(m + 3 * sd / sqrt(CASE WHEN n < 3 THEN n ELSE greatest(1, n * (1 - rho) / (1 + rho)) END), 4) AS ucl FROM g""")
+    SELECT user_id, round(m, 5) AS center, round(m - 3 * sd / sqrt(CASE WHEN n < 3 THEN n ELSE greatest(1, n * (1 - rho) / (1 + rho)) END), 4) AS lcl, round(m + 3 * sd / sqrt(CASE WHEN n < 3 THEN n ELSE greatest(1, n * (1 - rho) / (1 + rho)) END), 4) AS ucl FROM g""")
 def shewhart(spark, d):
     out = sequences.shewhart_limits(series(spark, d))
-    return out.select(F.col("series").alias("user_id"), R("center", 5).alias("center"), R("ucl", 4).alias("ucl"))
+    return out.select(F.col("series").alias("user_id"), R("center", 5).alias("center"), R("lcl", 4).alias("lcl"), R("ucl", 4).alias("ucl"))
 
 
 @query("""WITH p AS (SELECT user_id, arg_min(i, struct_pack(v := -value, i := i)) AS peak FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) GROUP BY user_id),
@@ -369,26 +494,92 @@ def day_cv_folds(spark, d):
     return sequences.day_folds(days, "rolling", 5)
 
 
+DAYS = "WITH d AS (SELECT DISTINCT date_diff('day', DATE '2020-01-01', ts::DATE)::INTEGER AS day_idx FROM events), o AS (SELECT day_idx, dense_rank() OVER (ORDER BY day_idx)::INTEGER AS o FROM d)"
+
+
+def _days(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.datediff("ts", F.lit("2020-01-01")).alias("day_idx"))
+
+
+@query(f"{DAYS} SELECT a.o AS fold, b.day_idx, 'train' AS role FROM o a JOIN o b ON b.o < a.o UNION ALL SELECT o, day_idx, 'test' FROM o WHERE o > 1")
+def expanding_folds(spark, d):
+    return sequences.day_folds(_days(spark, d), "expanding")
+
+
+@query(f"{DAYS} SELECT a.o AS fold, b.day_idx, 'train' AS role FROM o a JOIN o b ON b.o <> a.o UNION ALL SELECT o, day_idx, 'test' FROM o")
+def left_out_days(spark, d):
+    return sequences.day_folds(_days(spark, d), "logo")
+
+
 # ---- tests and intervals -------------------------------------------------------
 
 
-@query("SELECT round(max(v) / sum(v), 6) AS c, count(*) AS k FROM (SELECT var_samp(value) AS v FROM events GROUP BY event_type)")
-def cochran(spark, d):
-    df = table(spark, d, "events").select(F.col("event_type").alias("group"), F.col("value").alias("v"))
-    return hypothesis.group_variances(df).agg(R(F.max("variance") / F.sum("variance"), 6).alias("c"), F.count("*").alias("k"))
+def _groups(spark, d) -> DataFrame:
+    return table(spark, d, "events").select(F.col("event_type").alias("group"), F.col("value").alias("v"))
 
 
-@query()
+VARIANCES = "g AS (SELECT event_type, var_samp(value) AS v, count(*) AS n FROM events GROUP BY event_type)"
+
+
+@query(f"WITH {VARIANCES} SELECT round(max(v) / sum(v), 6) AS statistic FROM g")
+def cochran(spark, d):
+    return spark.createDataFrame([(round(hypothesis.cochran(_groups(spark, d))["statistic"], 6),)], "statistic double")
+
+
+@query(f"""WITH {VARIANCES}, z AS (SELECT event_type, abs(value - median(value) OVER (PARTITION BY event_type)) AS z FROM events),
+    q AS (SELECT event_type, count(*) AS n, avg(z) AS m, sum(z * z) - sum(z) ** 2 / count(*) AS ss FROM z GROUP BY event_type),
+    t AS (SELECT sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS m FROM q),
+    mo AS (SELECT count(*)::DOUBLE AS n, avg((value - mu) ** 3) / pow(avg((value - mu) ** 2), 1.5) AS s, avg((value - mu) ** 4) / avg((value - mu) ** 2) ** 2 - 3 AS ku FROM (SELECT value, avg(value) OVER () AS mu FROM events)),
+    n1 AS (SELECT *, s * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS b FROM mo),
+    n2 AS (SELECT *, sqrt(2 * (b - 1)) - 1 AS w2 FROM n1),
+    n3 AS (SELECT *, 1 / sqrt(0.5 * ln(w2)) AS delta, sqrt(2 / (w2 - 1)) AS al, (ku + 3 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) AS x,
+      6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS sb FROM n2),
+    n4 AS (SELECT *, 6 + 8 / sb * (2 / sb + sqrt(1 + 4 / sb ** 2)) AS a FROM n3),
+    n5 AS (SELECT delta * ln(y / al + sqrt((y / al) ** 2 + 1)) AS z1, (1 - 2 / (9 * a) - sign(1 + x * sqrt(2 / (a - 4))) * pow((1 - 2 / a) / abs(1 + x * sqrt(2 / (a - 4))), 1.0 / 3)) / sqrt(2 / (9 * a)) AS z2 FROM n4)
+    SELECT 'cochran' AS test, round(max(v) / sum(v), 4) AS statistic FROM g UNION ALL
+    SELECT 'bartlett', round((sum(n - 1) * ln(sum((n - 1) * v) / sum(n - 1)) - sum((n - 1) * ln(v))) / (1 + (sum(1.0 / (n - 1)) - 1.0 / sum(n - 1)) / (3 * (count(*) - 1))), 4) FROM g UNION ALL
+    SELECT 'levene', round((sum(q.n * (q.m - t.m) ** 2) / (any_value(t.k) - 1)) / (sum(ss) / (any_value(t.n) - any_value(t.k))), 4) FROM q, t UNION ALL
+    SELECT 'normality', round(z1 * z1 + z2 * z2, 4) FROM n5""")
 def consistency(spark, d):
-    df = table(spark, d, "events").select(F.col("event_type").alias("group"), F.col("value").alias("v"))
-    r = hypothesis.consistency_report(df)
-    rows = [(k, float(v["statistic"]), bool(v["reject"])) for k, v in r.items() if isinstance(v, dict)]
-    return spark.createDataFrame(rows, "test string, statistic double, reject boolean").select("test", R("statistic", 6).alias("statistic"), "reject")
+    r = hypothesis.consistency_report(_groups(spark, d))
+    rows = [(k, round(float(v["statistic"]), 4)) for k, v in r.items() if isinstance(v, dict)]
+    return spark.createDataFrame(rows, "test string, statistic double")
+
 
+@query("SELECT round(max(abs(value - m) / sd), 6) AS statistic, arg_max(event_id, struct_pack(d := abs(value - m), e := -event_id)) AS suspect FROM (SELECT event_id, value, avg(value) OVER () AS m, stddev_samp(value) OVER () AS sd FROM events)")
+def grubbs(spark, d):
+    r = hypothesis.grubbs(table(spark, d, "events"), v="value", key="event_id")
+    return spark.createDataFrame([(round(r["statistic"], 6), r["suspect"])], "statistic double, suspect long")
 
-@query("SELECT event_type, count(*) AS n, round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS sd, round(stddev_samp(value) / avg(value), 6) AS rsd FROM events GROUP BY event_type")
+
+@query("SELECT count(*) AS n, round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS sd, round(stddev_samp(value) / abs(avg(value)), 6) AS rsd, round(avg(value), 4) AS middle FROM events")
 def precision(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), R(F.avg("value"), 5).alias("mean"), R(F.stddev_samp("value"), 5).alias("sd"), R(F.stddev_samp("value") / F.avg("value"), 6).alias("rsd"))
+    r = hypothesis.precision_summary(table(spark, d, "events"), v="value")
+    row = (r["n"], round(r["mean"], 5), round(r["sd"], 5), round(r["rsd"], 6), round(sum(r["ci"]) / 2, 4))
+    return spark.createDataFrame([row], "n long, mean double, sd double, rsd double, middle double")
+
+
+@query("""WITH s AS (SELECT avg(value) AS m, stddev_samp(value) AS sd, count(*) AS n FROM events), k AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k FROM events), o AS (SELECT (n - least(n, ceil(n * 0.9::DOUBLE))) // 2 AS o, n FROM s)
+    SELECT 'mean, sigma 10' AS kind, round(m - 1.959963984540054 * 10 / sqrt(n), 5) AS low, round(m + 1.959963984540054 * 10 / sqrt(n), 5) AS high FROM s UNION ALL
+    SELECT 'expectation', round(m - 1.6448536269514722 * sd, 5), round(m + 1.6448536269514722 * sd, 5) FROM s UNION ALL
+    SELECT 'nonparametric', round(max(CASE WHEN k = o THEN value END), 5), round(max(CASE WHEN k = n - 1 - o THEN value END), 5) FROM k, o""")
+def intervals(spark, d):
+    e = table(spark, d, "events")
+    found = {"mean, sigma 10": hypothesis.mean_interval(e, sigma=10.0, v="value")}
+    found |= {kind: hypothesis.tolerance_interval(e, 0.9, kind=kind, v="value") for kind in ("expectation", "nonparametric")}
+    return spark.createDataFrame([(k, round(a, 5), round(b, 5)) for k, (a, b) in found.items()], "kind string, low double, high double")
+
+
+@query("SELECT event_type, count(*) AS n, min(value) AS low, quantile_disc(value, 0.5) AS middle, max(value) AS high FROM events GROUP BY event_type")
+def order_statistics(spark, d):
+    ranks = {"low": F.lit(0), "middle": F.ceil(F.col("n") / 2) - 1, "high": F.col("n") - 1}
+    return hypothesis.order_statistics(table(spark, d, "events"), ranks, "event_type", "value")
+
+
+@query("SELECT event_id, CASE WHEN value <= 20 THEN 10 ELSE value END AS floored, CASE WHEN value > 80 THEN 80 ELSE value END AS capped FROM events")
+def limit_guards(spark, d):
+    v = F.col("value")
+    return table(spark, d, "events").select("event_id", guards.detection_limit(v, 20.0).alias("floored"), guards.range_limit(v, 80.0).alias("capped"))
 
 
 @query("SELECT event_type, CASE WHEN avg(value) <= 0 OR var_pop(value) / avg(value) > 1.2 THEN 'gamma' WHEN var_pop(value) / avg(value) < 0.8 THEN 'tweedie' ELSE 'poisson' END AS family FROM events GROUP BY event_type")
@@ -400,17 +591,8 @@ def glm_family(spark, d):
 # ---- models ----------------------------------------------------------------------
 
 
-@query(f"WITH {LONG} SELECT a.j::INTEGER AS i, b.j::INTEGER AS j, round(sum(a.a * b.a), 4) AS v FROM long a JOIN long b USING (vec_id) WHERE a.j <= b.j AND a.j < 8 AND b.j < 8 GROUP BY a.j, b.j")
+@query(f"WITH {LONG} SELECT a.j::INTEGER AS i, b.j::INTEGER AS j, round(sum(a.a * b.a), 4) AS v FROM long a JOIN long b USING (vec_id) WHERE a.j <= b.j GROUP BY a.j, b.j")
 def gram_products(spark, d):
-    df = vectors(spark, d).select("sample_id", F.slice("x", 1, 8).alias("x"))
-    m = gram.gram(df, y=None).m[1:-1, 1:-1]
-    rows = [(i, j, float(m[i, j])) for i in range(8) for j in range(i, 8)]
-    return spark.createDataFrame(rows, "i int, j int, v double").select("i", "j", R("v", 4).alias("v"))
-
-
-@query()
-def gram_products_all(spark, d):
-    """The whole upper triangle; ``gram_products``'s SQL has the first 8 channels."""
     m = gram.gram(vectors(spark, d), y=None).m[1:-1, 1:-1]
     rows = [(i, j, float(m[i, j])) for i in range(len(m)) for j in range(i, len(m))]
     return spark.createDataFrame(rows, "i int, j int, v double").select("i", "j", R("v", 4).alias("v"))
@@ -422,11 +604,70 @@ def _calibration(spark, d) -> DataFrame:
     return df.withColumn("y", 2 * F.col("x")[5] - F.col("x")[20] + 0.5 * F.col("x")[40]).withColumnRenamed("label", "day_idx")
 
 
-@query(f"WITH {LONG} SELECT round(sum(2 * (j = 5)::INTEGER - (j = 20)::INTEGER + 0.5 * (j = 40)::INTEGER), 4) AS total, 0.0::DOUBLE AS rest FROM (SELECT unnest(range(64)) AS j)")
-def ols_recovers(spark, d):
-    b = linear.ols(gram.gram(_calibration(spark, d)).centred())
-    rest = np.delete(b, [5, 20, 40])
-    return spark.createDataFrame([(round(float(b.sum()), 4), round(float(np.abs(rest).max()), 4))], "total double, rest double")
+TARGET = "SELECT vec_id, 2 * embedding[6]::DOUBLE - embedding[21]::DOUBLE + 0.5 * embedding[41]::DOUBLE AS y FROM embeddings"
+EXACT = ("ols", "omp", "lars", "pcr", "pls")
+
+
+@query(f"SELECT model, vec_id, round(y, 3) + 0.0 AS predicted FROM ({TARGET}), (SELECT unnest({list(EXACT)!r}) AS model)")
+def exact_models(spark, d):
+    """Models that reproduce a linear target: all samples predicted by each."""
+    df = _calibration(spark, d)
+    c = gram.gram(df).centred()
+    fits = {"ols": linear.ols(c), "omp": linear.omp(c, 3), "lars": linear.lars(c), "pcr": linear.pcr(c, 64), "pls": linear.pls(c, 40)}
+    parts = [(R(arrays.dot(F.col("x"), arrays.literal(b)) + (c.mean_y - float(c.mean_x @ b)), 3) + 0.0).alias(k) for k, b in fits.items()]
+    wide = df.select(F.col("sample_id").alias("vec_id"), *parts)
+    return wide.unpivot("vec_id", list(fits), "model", "predicted").select("model", "vec_id", "predicted")
+
+
+@query(f"WITH {LONG}, t AS ({TARGET}) SELECT j::INTEGER AS j, round(sum((a - m) * (y - my)), 3) AS v FROM (SELECT vec_id, j, a, avg(a) OVER (PARTITION BY j) AS m FROM long) JOIN (SELECT vec_id, y, avg(y) OVER () AS my FROM t) USING (vec_id) GROUP BY j")
+def ridge_equations(spark, d):
+    """(X'X + alpha I) b for the fitted b: the normal equations make it X'y."""
+    c = gram.gram(_calibration(spark, d)).centred()
+    left = (c.xx + 2.5 * np.eye(64)) @ linear.ridge(c, 2.5)
+    return spark.createDataFrame([(j, round(float(v), 3)) for j, v in enumerate(left)], "j int, v double")
+
+
+def _trained(spark, d, chain=()):
+    from .plans.train import train_model
+
+    df = _calibration(spark, d)
+    return df, train_model(df, AXIS, "y", "ols", list(chain), param=WaterParam("Y", (0.5, 1.0), 0.25, 0.75, river_upper=1.5))
+
+
+BOUNDED = "round(CASE WHEN y < 0.25 THEN 0.125 WHEN y > 1.5 THEN NULL ELSE y END, 5)"
+
+
+@query(f"SELECT vec_id, {BOUNDED} AS prediction, y < 0.25 AS below_lod, y > 0.75 AND y <= 1.5 AS above_review, y > 1.5 AS not_display FROM ({TARGET})")
+def guarded_predictions(spark, d):
+    from .plans.serve import predict_with_guard
+
+    df, model = _trained(spark, d)
+    out = predict_with_guard(model, df)
+    return out.select(F.col("sample_id").alias("vec_id"), R("prediction", 5).alias("prediction"), "below_lod", "above_review", "not_display")
+
+
+@query(f"SELECT vec_id, {BOUNDED} AS prediction FROM ({TARGET})")
+def stored_card(spark, d):
+    """Trained on centred spectra, stored, loaded again, served."""
+    from .plans.cards import load_cards, save_cards
+    from .plans.serve import predict
+
+    df, model = _trained(spark, d, [{"op": "mean_center"}])
+    at = scratch(spark)
+    save_cards(spark, [model], at)
+    (back,) = load_cards(spark, at)
+    return predict(back, df, AXIS).select(F.col("sample_id").alias("vec_id"), R("prediction", 5).alias("prediction"))
+
+
+@query(f"SELECT vec_id, {BOUNDED} AS prediction FROM ({TARGET})")
+def compiled_model(spark, d):
+    """A chain of linear steps folded into a dot product, stored and loaded."""
+    from .plans.serve import EdgeModel
+
+    df, model = _trained(spark, d, [{"op": "column_scale"}])
+    at = scratch(spark)
+    EdgeModel.compile(model).save(spark, at)
+    return EdgeModel.load(spark, at).score(df).select(F.col("sample_id").alias("vec_id"), R("prediction", 5).alias("prediction"))
 
 
 @query()
@@ -447,20 +688,20 @@ def candidate_pool(spark, d):
     return out.select("model_type", R("rmse", 4).alias("rmse"), R("rank", 4).alias("rank"))
 
 
-@query()
+@query(f"WITH {LONG} SELECT vec_id, round(sum((a - m) ** 2), 4) AS total FROM (SELECT vec_id, j, a, avg(a) OVER (PARTITION BY j) AS m FROM long) GROUP BY vec_id")
 def mspc_monitor(spark, d):
-    df = vectors(spark, d)
-    out = mspc.fit(df, 5).monitor(df)
-    return out.select("sample_id", R("t2", 4).alias("t2"), R("spe", 4).alias("spe"), "t2_alarm", "spe_alarm")
+    """Squared scores and squared prediction error add up to the squared distance from the mean."""
+    out = mspc.fit(vectors(spark, d), 5).monitor(vectors(spark, d))
+    return out.select(F.col("sample_id").alias("vec_id"), R(arrays.dot(F.col("scores"), F.col("scores")) + F.col("spe"), 4).alias("total"))
 
 
 @query(f"""WITH {LONG}, b AS (SELECT vec_id, sum(a * (CASE WHEN j < 32 THEN 1 ELSE -1 END) / 8) AS t, sum(a * a) AS s FROM long GROUP BY vec_id)
-    SELECT vec_id, round(t * t, 5) AS t2, round(s - t * t, 5) AS spe FROM b ORDER BY s - t * t DESC, vec_id LIMIT 20""")
-def topk_outliers(spark, d):
+    SELECT vec_id, round(t * t, 5) AS t2, round(s - t * t, 5) AS spe, round(greatest(t * t / 0.5, (s - t * t) / 0.9), 5) AS ratio, greatest(t * t / 0.5, (s - t * t) / 0.9) > 1 AS outlier FROM b""")
+def flagged_outliers(spark, d):
     basis = np.where(np.arange(64) < 32, 1.0, -1.0)[None, :] / 8
-    model = mspc.Mspc(np.zeros(64), basis, np.ones(1), 2, 0.05)
-    out = model.transform(vectors(spark, d)).orderBy(F.col("spe").desc(), "sample_id").limit(20)
-    return out.select(F.col("sample_id").alias("vec_id"), R("t2", 5).alias("t2"), R("spe", 5).alias("spe"))
+    model = mspc.Mspc(np.zeros(64), basis, np.ones(1), 2, 0.05, 0.5, 0.9)
+    out = mspc.flag_outliers(vectors(spark, d), model=model)
+    return out.select(F.col("sample_id").alias("vec_id"), R("t2", 5).alias("t2"), R("spe", 5).alias("spe"), R("ratio", 5).alias("ratio"), "outlier")
 
 
 @query()
@@ -477,18 +718,129 @@ def baseline(spark, d):
     return out.select("sample_id", R(arrays.norm(F.col("x")), 4).alias("size"))
 
 
-@query()
+@query(f"WITH {LONG} SELECT vec_id, j::INTEGER AS j, round(a, 5) + 0.0 AS value FROM long")
 def whittaker(spark, d):
+    """The penalised system (I + lam D'D) times the smoothed spectrum: the spectrum itself."""
     df = vectors(spark, d)
     out = preprocess.fit([{"op": "whittaker", "lam": 100.0}], df, 64).transform(df)
-    return out.select("sample_id", R(arrays.norm(F.col("x")), 5).alias("size"))
+    system = np.eye(64) + 100.0 * np.diff(np.eye(64), n=2, axis=0).T @ np.diff(np.eye(64), n=2, axis=0)
+    back = preprocess.multiply(out, system)
+    return back.select(F.col("sample_id").alias("vec_id"), F.posexplode("x").alias("j", "a")).select("vec_id", "j", (R("a", 5) + 0.0).alias("value"))
 
 
-@query()
+@query(f"""WITH {LONG}, t AS ({TARGET}), c AS (SELECT vec_id, j, a - avg(a) OVER (PARTITION BY j) AS c, avg(a) OVER (PARTITION BY j) AS m FROM long), u AS (SELECT vec_id, y - avg(y) OVER () AS y FROM t),
+    q AS (SELECT j, sum(c * y) AS q FROM c JOIN u USING (vec_id) GROUP BY j), w AS (SELECT j, q / sqrt(sum(q * q) OVER ()) AS w FROM q),
+    s AS (SELECT vec_id, sum(c * w) AS t FROM c JOIN w USING (j) GROUP BY vec_id),
+    o AS (SELECT vec_id, t, t - y * (sum(t * y) OVER () / sum(y * y) OVER ()) AS o FROM s JOIN u USING (vec_id)),
+    p AS (SELECT j, sum(c * o) / (SELECT sum(o * o) FROM o) AS p FROM c JOIN o USING (vec_id) GROUP BY j)
+    SELECT vec_id, round(sqrt(sum((c - t * p + m) ** 2)), 4) AS size FROM c JOIN o USING (vec_id) JOIN p USING (j) GROUP BY vec_id""")
 def osc(spark, d):
     df = _calibration(spark, d)
     out = preprocess.fit([{"op": "osc"}], df, 64).transform(df)
-    return out.select("sample_id", R(arrays.norm(F.col("x")), 5).alias("size"))
+    return out.select(F.col("sample_id").alias("vec_id"), R(arrays.norm(F.col("x")), 4).alias("size"))
+
+
+@query(f"WITH {LONG}, c AS (SELECT vec_id, max(CASE WHEN j = 3 THEN greatest(a, 0) END) AS a, max(CASE WHEN j = 40 THEN greatest(a, 0) END) AS b FROM long GROUP BY vec_id) SELECT vec_id, round(a, 6) AS c0, round(b, 6) AS c1, round(CASE WHEN a + b > 0 THEN a / (a + b) ELSE 0 END, 6) AS share, round(sqrt(a * a + b * b), 6) AS rebuilt FROM c")
+def mixture_projection(spark, d):
+    """Non-negative concentrations of two single-channel spectra, closed to shares, and the mixture rebuilt."""
+    s = np.eye(64)[[3, 40]]
+    df = unmixing.reconstruct(unmixing.project(vectors(spark, d), s), s)
+    closed = unmixing.project(df.withColumnRenamed("c", "free"), s, closure=True)
+    return closed.select(F.col("sample_id").alias("vec_id"), R(F.col("free")[0], 6).alias("c0"), R(F.col("free")[1], 6).alias("c1"), R(F.col("c")[0], 6).alias("share"), R(arrays.norm(F.col("rebuilt")), 6).alias("rebuilt"))
+
+
+@query(f"""WITH {LONG}, z AS (SELECT vec_id, sum(a * ((j % 7) - 3) / 10) AS p FROM long GROUP BY vec_id), w AS (SELECT sqrt(sum((((j % 7) - 3) / 10.0) ** 2)) AS w, sqrt(sum(CASE WHEN j < 32 THEN (((j % 7) - 3) / 10.0) ** 2 ELSE 0 END)) AS u FROM (SELECT unnest(range(64)) AS j)),
+    n AS (SELECT sqrt(sum(c * c) / count(*)) AS s FROM (SELECT a - avg(a) OVER (PARTITION BY vec_id) AS c FROM long))
+    SELECT round(1 / any_value(w), 6) AS sen, round(1 / any_value(w) / any_value(s), 6) AS gamma, round(any_value(s), 6) AS s_x, round(stddev_samp(p), 6) AS s_0, round(3.3 * stddev_samp(p) * any_value(w), 5) AS lod, round(10 * stddev_samp(p) * any_value(w), 5) AS loq, round(any_value(u) / any_value(w), 6) AS sel FROM z, w, n""")
+def figures_of_merit(spark, d):
+    coef = (np.arange(64) % 7 - 3) / 10
+    r = fom.figures_of_merit(coef, 0.5, vectors(spark, d), (np.arange(64) < 32).astype(float))
+    digits = {"lod": 5, "loq": 5}
+    return spark.createDataFrame([tuple(round(float(v), digits.get(k, 6)) for k, v in r.items())], ", ".join(f"{k} double" for k in r))
+
+
+@query("SELECT k AS component, l AS level, CASE WHEN k = 0 THEN l / 4.0 ELSE 0.0 END AS c0, CASE WHEN k = 1 THEN 2 + l / 2.0 ELSE 2.0 END AS c1 FROM (SELECT unnest(range(2))::INTEGER AS k), (SELECT unnest(range(5))::INTEGER AS l) UNION ALL SELECT -1, 0, 0.5, 3.0")
+def diagonal_design(spark, d):
+    from .operators.selection import diagonal_design
+
+    return diagonal_design(spark, 5, ((0, 1), (2, 4)))
+
+
+@query(f"""WITH {LONG}, x AS (SELECT vec_id, max(CASE WHEN j = 0 THEN a END) AS a, max(CASE WHEN j = 1 THEN a END) AS b, max(a) AS top FROM long GROUP BY vec_id), g AS (SELECT avg(CASE WHEN 60 * a + 20 <= 0.5 THEN 0.25 WHEN 60 * a + 20 > 150 THEN 150 ELSE 60 * a + 20 END) AS tur, max(top) AS top FROM x)
+    SELECT vec_id, round(CASE WHEN k <= 0.5 THEN 0.25 WHEN k > 20 THEN 20 ELSE k END, 5) AS kmno FROM (SELECT vec_id, CASE WHEN tur <= 20 AND g.top <= 1 THEN b * 3 + 4 ELSE b * 5 + 9 END AS k FROM x, g)""")
+def river_branch(spark, d):
+    from .plans import river
+
+    on = lambda j, v: [v if i == j else 0.0 for i in range(64)]
+    clear = {"KMNO": [(on(1, 3.0), 4.0)]}
+    wide = {"TUR": [(on(0, 60.0), 20.0)], "KMNO": [(on(1, 5.0), 9.0)]}
+    out = river.predict_branch(vectors(spark, d), clear, wide)
+    return out.select(F.col("sample_id").alias("vec_id"), R("KMNO", 5).alias("kmno"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    import uuid
+
+    from .functions.storage import shared_folder
+
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {LONG} SELECT vec_id, j::INTEGER AS j, round(a, 6) + 0.0 AS value FROM long")
+def arff_file(spark, d):
+    """Written as an ARFF file, columns by name, and read back."""
+    from .sources.arff import read_arff
+
+    at = scratch(spark)
+    head = ["@relation spectra", "@attribute vec_id numeric", *[f"@attribute 'wl_{nm}' numeric" for nm in AXIS], "@data"]
+    rows = vectors(spark, d).select(F.concat_ws(",", F.col("sample_id").cast("string"), F.transform("x", lambda v: v.cast("string"))).alias("value"))
+    spark.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.text(f"{at}/head")
+    rows.write.text(f"{at}/body")
+    back, axis = read_arff(spark, [f"{at}/head", f"{at}/body"])
+    if axis != AXIS:
+        raise ValueError("the axis read differs from the one written")
+    long = back.select(F.col("vec_id").cast("long").alias("vec_id"), F.posexplode("x").alias("j", "a"))
+    return long.select("vec_id", "j", (R("a", 6) + 0.0).alias("value"))
+
+
+@query("SELECT label::INTEGER AS day_idx, round(embedding[1]::DOUBLE, 6) + 0.0 AS first, round(embedding[64]::DOUBLE, 6) + 0.0 AS last, vec_id::DOUBLE AS y FROM embeddings")
+def wide_csv(spark, d):
+    """Written as a wide CSV file and read back by column names."""
+    from .sources.tables import read_wide_csv
+
+    at = scratch(spark)
+    df = vectors(spark, d, "label")
+    df.select(F.col("label").alias("DAY_idx"), F.col("sample_id").alias("id"), *[F.col("x")[j].alias(f"wavelength_{j + 1}") for j in range(64)]).write.csv(at, header=True)
+    back, _ = read_wide_csv(spark, at, labels=("y=id",))
+    return back.select("day_idx", (R(F.col("x")[0], 6) + 0.0).alias("first"), (R(F.col("x")[63], 6) + 0.0).alias("last"), "y")
+
+
+@query("SELECT vec_id, label, 2 * embedding[3]::DOUBLE AS second FROM embeddings WHERE label IN (1, 2)")
+def chosen_spectra(spark, d):
+    """Kept by a table of ids, without another one, values replaced, channels gathered."""
+    df = vectors(spark, d, "label")
+    ids = lambda *k: df.where(F.col("label").isin(*k)).select("sample_id")
+    out = spectra.without_ids(spectra.select_ids(df, ids(1, 2, 3)), ids(3))
+    out = spectra.with_values(out, F.transform("x", lambda v: 2 * v))
+    return out.select(F.col("sample_id").alias("vec_id"), "label", arrays.gather(F.col("x"), [0, 2, 5])[1].alias("second"))
+
+
+@query("SELECT vec_id, label::DOUBLE AS y FROM embeddings WHERE label <> 9 AND label <> 4")
+def labelled_spectra(spark, d):
+    """Joined with labels of which some are NaN and some missing."""
+    df = vectors(spark, d, "label")
+    y = F.when(F.col("label") == 9, F.lit(float("nan"))).otherwise(F.col("label").cast("double"))
+    labels = df.where("label <> 4").select("sample_id", F.lit("TN").alias("param"), y.alias("y"))
+    out = spectra.labelled(df, labels.unionByName(labels.withColumn("param", F.lit("TP"))), "TN")
+    return out.select(F.col("sample_id").alias("vec_id"), "y")
+
+
+@query("SELECT count(*)::INTEGER AS n_samples, any_value(len(embedding))::INTEGER AS n_wavelengths, 8.0::DOUBLE AS step, count(DISTINCT label)::INTEGER AS instruments FROM embeddings")
+def shape(spark, d):
+    df = vectors(spark, d, F.col("label").alias("instrument_id"))
+    s = spectra.shape(spectra.validate(df, AXIS), AXIS)
+    return spark.createDataFrame([(s["n_samples"], s["n_wavelengths"], s["step"], spectra.instrument_ids(df).count())], "n_samples int, n_wavelengths int, step double, instruments int")
 
 
 @query()

@@ -347,7 +347,10 @@ def test_transfer(spark):
     g = transfer.gain_offset(p).orderBy("j").collect()
     want = np.polyfit(slave[:, 10], master[:, 10], 1)
     assert (g[10].gain, g[10].offset) == pytest.approx(tuple(want))
-    assert transfer.wavelength_shift(axis, slave.mean(0), master.mean(0), 12.0) == -4.0
+    assert transfer.wavelength_shift(axis, frame(spark, slave), frame(spark, master), 12.0) == -4.0
+    assert transfer.wavelength_shift(axis, frame(spark, master), frame(spark, master), 0.1) == 0.0
+    assert transfer.recommend(axis, -2.0, 10)["method"] == "align_then_pds" and transfer.recommend(axis, 2.0, 4)["need_alignment"]
+    assert transfer.recommend(axis, 0.5, 1000)["method"] == "ds"
     assert transfer.recommend(axis, 0.0, 3)["method"] == "sbc" and transfer.recommend(axis, 0.0, 10)["method"] == "pds"
 
 
@@ -362,16 +365,22 @@ def test_kennard_stone(spark):
     assert transfer.kennard_stone(frame(spark, x), 10) == sorted(chosen)
 
 
-def test_selection():
+def test_selection(spark):
     x, y = mixture(60)
-    cars = selection.Cars(n_iter=8, n_components=3).fit(x, y)
-    assert 2 <= len(cars.selected_) < 101 and cars.best_rmsecv_ < 0.1 * y.std() and cars.transform(x).shape[1] == len(cars.selected_)
-    assert np.isin(selection.Uve(3, 10).fit(x, y).selected_, np.arange(101)).all()
-    r = selection.permutation_test(lambda: selection.Cars(4, 3), lambda m, a, b: m.best_rmsecv_, x, y, 5)
-    assert r["p"] < 0.5
-    f = selection.selection_stability(lambda: selection.Cars(4, 3), x, y, 4)
-    assert f.max() <= 1 and f.sum() > 0
-    assert selection.diagonal_design(5, ((0, 1), (2, 4))).shape == (11, 2)
+    df = frame(spark, x, y=[float(v) for v in y])
+    for cars in (selection.Cars(n_iter=8, n_components=3).fit(x, y), selection.Cars(n_iter=8, n_components=3).fit_frame(df)):
+        assert 2 <= len(cars.selected_) < 101 and cars.best_rmsecv_ < 0.1 * y.std() and cars.transform(x).shape[1] == len(cars.selected_)
+        assert len(cars.curve_) == 8 and cars.best_rmsecv_ == min(cars.curve_)
+    assert selection.Cars(n_iter=5, keep_min=2).schedule(32).tolist() == [32, 16, 8, 4, 2]
+    uve = selection.Uve(3, 10)
+    here, there = uve.fit(x, y).stability_, selection.Uve(3, 10).fit_frame(df.coalesce(1)).stability_
+    assert np.isin(uve.selected_, np.arange(101)).all() and len(here) == 101 == len(there)
+    r = selection.permutation_test(df, lambda a, b: selection.Cars(4, 3).fit(a, b).best_rmsecv_, 5)
+    assert r["p"] < 0.5 and len(r["null"]) == 5 and r["real"] < min(r["null"])
+    f = selection.selection_stability(df, lambda: selection.Cars(4, 3), 4).toPandas()
+    assert len(f) == 101 and f.frequency.max() <= 1 and f.frequency.sum() > 0
+    design = selection.diagonal_design(spark, 5, ((0, 1), (2, 4))).orderBy("component", "level").collect()
+    assert len(design) == 11 and (design[0].c0, design[0].c1) == (0.5, 3.0) and [d.c1 for d in design[6:]] == [2.0, 2.5, 3.0, 3.5, 4.0]
 
 
 def test_mcr(spark):
@@ -411,9 +420,74 @@ def test_hypotheses(spark):
     for kind in ("content", "expectation", "nonparametric"):
         a, b = hypothesis.tolerance_interval(one, kind=kind)
         assert a < b
+    sixty = spark.createDataFrame([(float(v),) for v in rng.permutation(60)], "v double")
+    # 57 of 60 are wanted: one value is left out at either end.
+    assert hypothesis.tolerance_interval(sixty, 0.95, kind="nonparametric") == (1.0, 58.0)
+    single = spark.createDataFrame([(4.0,)], "v double")
+    assert hypothesis.mean_interval(single) == hypothesis.prediction_interval(single) == (4.0, 4.0)
+    assert hypothesis.precision_summary(single) == {"n": 1, "mean": 4.0, "sd": 0.0, "rsd": 0.0, "ci": (4.0, 4.0), "ti": (4.0, 4.0)}
+    assert hypothesis.mean_interval(single.limit(0)) == (None, None)
     assert hypothesis.precision_summary(one)["n"] == 31 and hypothesis.prediction_interval(one)[0] < low
 
 
+def test_order_statistics(spark, monkeypatch):
+    monkeypatch.setattr(hypothesis, "RANK_ROWS", 7)
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(size=501), "b": np.repeat(3.0, 40), "c": rng.lognormal(0, 4, 200), "d": np.array([2.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = hypothesis.order_statistics(df, {"first": F.lit(0), "upper": F.floor(F.col("n") / 2), "last": F.col("n") - 1}, "g").collect()
+    want = {g: (len(v), *np.sort(v)[[0, len(v) // 2, -1]]) for g, v in groups.items()}
+    assert {r.g: (r.n, r.first, r.upper, r["last"]) for r in got} == want
+
+
+@pytest.mark.parametrize("lam", [0.2, 0.9, 1.0])
+def test_ewma_over_blocks(spark, lam):
+    x = np.random.default_rng(1).normal(1e3, 5, 1500)
+    df = spark.createDataFrame([(None if k % 2 else "s", k, float(v)) for k, v in enumerate(x)], "series string, seq long, value double")
+    for name, part in (("s", x[::2]), (None, x[1::2])):
+        got = sorted((r.seq, r.ewma, r.ucl, r.alarm) for r in sequences.ewma(df, lam).where(F.col("series").eqNullSafe(F.lit(name))).collect())
+        z, half = sequences.ewma_values(part, lam, 3.0, part.mean(), part.std(ddof=1))
+        assert np.allclose([g[1] for g in got], z, rtol=1e-12) and np.allclose([g[2] for g in got], part.mean() + half)
+        assert [g[3] for g in got] == (np.abs(z - part.mean()) > half).tolist()
+
+
+def test_clean_loop(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 3)) @ rng.normal(size=(3, 12)) + rng.normal(0, 0.01, (60, 12))
+    x[7] += 8 * rng.normal(size=12)
+    left, gone = mspc.clean_loop(frame(spark, x), n_components=3, by="spe")
+    ids = {r.sample_id for r in left.select("sample_id").collect()}
+    assert 7 not in ids and gone[0] >= 1 and len(ids) == 60 - sum(gone)
+
+
+def test_registered_operation(spark):
+    from specloom.operators import preprocess
+
+    @preprocess.register_op("halved", "scaling", by=2.0)
+    def halved(x, by):
+        return x / by
+
+    try:
+        x, _ = mixture(5)
+        fitted = preprocess.fit([{"op": "halved", "by": 4.0}, {"op": "mean_center"}], frame(spark, x), 101)
+        assert np.allclose(xs(fitted.transform(frame(spark, x))), fitted.apply(x)) and np.allclose(fitted.apply(x), (x - x.mean(0)) / 4)
+        with pytest.raises(KeyError):
+            preprocess.register_op("snv", "scatter")(halved)
+    finally:
+        del preprocess.SPECS["halved"], preprocess.KERNELS["halved"]
+
+
+def test_instrument_from_measurements(spark):
+    rng, axis = np.random.default_rng(0), np.arange(200.0, 700.0)
+    shape = sum(np.exp(-0.5 * ((axis - nm - 0.2) / 2) ** 2) for nm in hardware.REFERENCE_PEAKS)
+    dark, good = rng.normal(0, 2e-4, (20, 500)), shape + rng.normal(0, 1e-5, (10, 500))
+    line = np.exp(-0.5 * ((axis - 546.1) / 0.6) ** 2)
+    out = hardware.evaluate_instrument(axis, dark=frame(spark, dark), blank=frame(spark, dark), filters=frame(spark, good), certified=[(279.0, float(shape[79]))], line=(line, 546.1))
+    assert out["passed"]["dark_noise_max"] and out["passed"]["wavelength_accuracy"] and out["passed"]["photometric_accuracy"] and out["overall"]
+    assert abs(out["metrics"]["wavelength_accuracy"] - 0.2) < 0.1 and 1.0 < out["metrics"]["resolution"] < 2.0
+
+
 def test_hardware(spark):
     rng = np.random.default_rng(0)
     noise = hardware.dark_noise(frame(spark, rng.normal(0, 0.001, (20, 50)))).first()

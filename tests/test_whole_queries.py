@@ -23,8 +23,8 @@ def test_linearity_all(spark, embeddings):
             assert abs(got[j, int(ids[k - 1])] - np.corrcoef(smooth[:k], ids[:k])[0, 1] ** 2) < 2e-5
 
 
-def test_gram_products_all(spark, embeddings):
+def test_gram_products(spark, embeddings):
     x = embeddings[1]
-    got = {(r.i, r.j): r.v for r in queries.QUERIES["gram_products_all"](spark, SF).collect()}
+    got = {(r.i, r.j): r.v for r in queries.QUERIES["gram_products"](spark, SF).collect()}
     assert len(got) == 2080
     assert all(abs(v - x[:, i] @ x[:, j]) < 1e-3 for (i, j), v in got.items())
