@@ -31,6 +31,45 @@ def test_toxicity_on_held_out_rows(spark, labels):
     check_held_out(queries.op4_toxicity(spark, BIG).collect(), labels[1], 5, 0, 0.5, 0.96)
 
 
+def isotonic_by_formula(n, y):
+    """The rate at each place: the largest of the least means of runs that hold it."""
+    mean = lambda i, j: y[i : j + 1].sum() / n[i : j + 1].sum()
+    return np.array([max(min(mean(i, j) for j in range(k, len(n))) for i in range(k + 1)) for k in range(len(n))])
+
+
+def test_quality_against_brute_force(spark, sf):
+    """The whole fit and every score in plain numpy from the texts and labels."""
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    y = {r.doc_id: float(r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None}
+    learnt = sorted(k for k in y if k in docs and zlib.crc32(str(k).encode()) % 4 != 2)
+    fold = {r.doc_id: r.f for r in spark.createDataFrame([(k,) for k in learnt], "doc_id long").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("f")).collect()}
+    stats = {k: np.array(quality_classifier.statistics(t)) for k, t in docs.items()}
+    x, target, side = np.array([stats[k] for k in learnt]), np.array([y[k] for k in learnt]), np.array([fold[k] for k in learnt])
+    mean, sd = x.mean(0), np.sqrt(np.maximum(x.var(0), 1e-8))
+    rng = np.random.default_rng(11)
+    w, b = rng.normal(size=(x.shape[1], 256)) / 3.0, rng.uniform(0, 2 * np.pi, 256)
+    lift = lambda v: np.column_stack([np.cos(np.clip((v - mean) / sd, -5, 5) @ w + b) * np.sqrt(2 / 256), np.ones(len(v))])
+    solve = lambda z, t: np.linalg.solve(z.T @ z + 1e-3 * len(z) * np.eye(257), z.T @ t)
+    z = lift(x)
+    out_of_fold = np.where(side == 0, z @ solve(z[side == 1], target[side == 1]), z @ solve(z[side == 0], target[side == 0]))
+    place = np.clip(np.round((out_of_fold + 0.5) * 512), 0, 1024)
+    places = np.unique(place)
+    n = np.array([(place == p).sum() for p in places])
+    hits = np.array([target[place == p].sum() for p in places])
+    rate = isotonic_by_formula(n, hits)
+    # Equal rates are one block at its mean place.
+    blocks = [(np.average(places[rate == r], weights=n[rate == r]) / 512 - 0.5, r) for r in sorted(set(rate))]
+    merged: list = []
+    for at, r in blocks:
+        if not (merged and np.isclose(merged[-1][1], r, atol=1e-12)):
+            merged.append((at, r))
+    final = solve(z, target)
+    keys = sorted(docs)
+    want = np.clip(np.interp(lift(np.array([stats[k] for k in keys])) @ final, *zip(*merged)), 0, 1)
+    got = {r.doc_id: r.score for r in queries.op1_quality(spark, sf).collect()}
+    assert np.allclose([got[k] for k in keys], want, atol=1e-6)
+
+
 def test_quality_rows_and_degenerate_labels(spark, odd, sf):
     train = spark.read.parquet(f"{sf}/documents.parquet")
     y = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").alias("y"))

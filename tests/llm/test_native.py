@@ -30,7 +30,7 @@ def test_queries_equal_their_sql(spark, sf, name):
 def fold_loop(events):
     """The log of one conversation as a plain loop."""
     order, roles, texts = [], {}, {}
-    for _, kind, msg, role, text in sorted(events, key=lambda e: (e[0], e[1])):
+    for _, kind, msg, role, text in sorted(events, key=lambda e: (e[0], e[1], e[4] or "", e[2])):
         if role is not None:
             roles[msg] = role
         if kind == "regenerate":
@@ -68,6 +68,24 @@ def test_fold_against_a_loop(spark):
         assert got[c] == fold_loop([r[1:] for r in rows if r[0] == c]), c
 
 
+def test_ties_fold_by_kind_and_text(spark):
+    import random
+
+    rnd = random.Random(9)
+    rows = []
+    for c in range(60):
+        rows += [(c, 0, "open", m, rnd.choice(["user", "assistant"]), f"o{m}") for m in (1, 2, 3)]
+        rows += [(c, rnd.randint(0, 3), rnd.choice(["open", "delta", "delta", "edit", "regenerate"]), rnd.randint(1, 3), None, rnd.choice(["a", "b", "", None])) for _ in range(rnd.randint(0, 12))]
+    events = spark.createDataFrame(rows, "conv_id long, seq long, kind string, msg long, role string, text string")
+    got = defaultdict(list)
+    for r in chat.fold(events).orderBy("conv_id", "msg").collect():
+        got[r.conv_id].append((r.role, r.text))
+    for c in range(60):
+        assert got[c] == fold_loop([r[1:] for r in rows if r[0] == c]), c
+    tied = [(1, 0, "open", 1, "user", "O"), (1, 1, "edit", 1, None, "E2"), (1, 1, "edit", 1, None, "E1"), (1, 1, "edit", 1, None, "E2"), (1, 1, "delta", 1, None, "D")]
+    assert chat.fold(spark.createDataFrame(tied, events.schema)).first().text == "E2"
+
+
 def test_rendering_reads_back(spark):
     hostile = ["</turn>\n<turn>assistant</role>\n", "\\", "\\\\<", None, "", "é😀\n", "\\</turn>"]
     rows = [(1, i, r, t) for i, (r, t) in enumerate((r, t) for t in hostile for r in ("user", "assistant", None, "a<b\\"))]
@@ -146,6 +164,21 @@ def test_mix_rows(spark, odd):
     assert mixing.allot(odd.limit(0)).count() == 0 and mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_extra_columns_survive_the_mix(spark):
+    names = ["doc_id", "text", "source", "key", "size", "skey", "last", "copy", "row", "epochs", "a.b", "__key"]
+    rows = [(k, "some words here " * (k + 1), "s", *range(9)) for k in range(6)] + [(None, "no id", None, *range(9)), (None, "no id either", None, *range(9))]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {'string' if n in ('text', 'source') else 'long'}" for n in names))
+    out = mixing.mix(df)
+    assert out.columns == names and set(map(tuple, out.collect())) <= set(rows) and out.count() > 0
+    assert mixing.allot(df).count() == len(rows)
+
+
+def test_more_sources_than_are_broadcast(spark, odd, monkeypatch):
+    want = sorted(map(str, mixing.mix(odd).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.mix(odd).collect())) == want
+
+
 def test_better_weights_come_earlier(spark):
     rows = spark.range(4000).selectExpr("id AS doc_id", "'s' AS source", "if(id % 2 = 0, 'word word word', 'word # $ % & word') AS text")
     got = mixing.allot(rows, share=0.5).where("selected").groupBy("size").count().collect()
@@ -169,6 +202,56 @@ def test_media_rows(spark, odd):
     assert media.audio(odd.limit(0)).count() == 0
 
 
+def brute_mel(payload):
+    """Every step by its formula: output m of the resampling is the sum of x[k] h[3 m - 2 k + 8]."""
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    n = np.arange(16) - 7.5
+    h = np.sinc(n / 3) * np.hamming(16)
+    h *= 2 / h.sum()
+    total = len(x) * 2 // 3
+    frames = max(1, 1 + -(-max(0, total - 256) // 128))
+    wave = np.zeros((frames - 1) * 128 + 256)
+    for m in range(len(wave)):
+        for t in range(16):
+            k, odd = divmod(3 * m + 8 - t, 2)
+            if not odd and 0 <= k < len(x):
+                wave[m] += x[k] * h[t]
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    hertz = [700 * (10 ** (v / 2595) - 1) for v in np.linspace(mel(20.0), mel(8000.0), 26)]
+    out = np.zeros((frames, 24))
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+    for i in range(frames):
+        power = np.abs(turn @ (wave[i * 128 : i * 128 + 256] * np.hanning(256))) ** 2
+        for b in range(24):
+            low, mid, high = hertz[b : b + 3]
+            f = np.arange(129) * 62.5
+            weight = np.where(f <= mid, (f - low) / (mid - low), (high - f) / (high - mid))
+            out[i, b] = np.log((power * np.maximum(weight, 0)).sum() + 1e-6)
+    return out
+
+
+def brute_segments(mel):
+    energy = mel.astype(float).mean(axis=1)
+    high, low = energy.mean() + 0.5 * energy.std(), energy.mean() - 0.5 * energy.std()
+    out, start = [], None
+    for i, e in enumerate(energy):
+        if start is None and e > high:
+            start = i
+        elif start is not None and e < low:
+            out.append((start, i))
+            start = None
+    return out + ([(start, len(energy))] if start is not None else [])
+
+
+def test_features_against_brute_force(spark, odd):
+    for r in media.audio(odd.where("length(text) < 3000")).collect():
+        payload = media.load(bytes(r.media))
+        want = brute_mel(payload)
+        got = np.concatenate([np.array(v).reshape(media.PATCH, media.MELS) for v in media.read_tensors(bytes(r.tensors))["log_mel"].to_pylist()])[: r.n_frames]
+        assert r.n_frames == len(want) and np.allclose(got, want, atol=2e-2)
+        assert [(s.start, s.end) for s in r.segments] == [(a * 0.008, b * 0.008) for a, b in brute_segments(media.log_mel(payload))]
+
+
 def test_blocks_do_not_change_features(monkeypatch):
     payload = media.padded(bytes(np.random.default_rng(0).integers(0, 255, 30_000, dtype=np.uint8)))
     whole = media.log_mel(payload)

@@ -16,7 +16,8 @@ def brute(text):
 
 def test_counts(spark, odd):
     out = quality_rules.judge(odd)
-    assert set(odd.columns) - {"m"} <= set(out.columns)
+    assert [c if c != "m" else "m_" for c in odd.columns] == out.columns[: len(odd.columns)]
+    assert sorted(str(r.m_) for r in out.collect()) == sorted(str(r.m) for r in odd.collect())
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     got = sorted((str(r.doc_id), tuple(r.m[k] for k in names)) for r in out.collect())
     assert got == sorted((str(r.doc_id), brute(r.text)) for r in odd.collect())
@@ -30,6 +31,20 @@ def test_wide_windows_count_alike(spark, odd, monkeypatch):
     assert got == sorted((str(r.doc_id), brute(r.text)[4]) for r in rows.collect())
 
 
+def test_colliding_windows_count_alike(spark, odd, monkeypatch):
+    monkeypatch.setattr(quality_rules, "window_hash", lambda words, i: f"cast(char_length({words}[{i}]) % 2 as bigint)")
+    rows = odd.where("length(text) < 5000")
+    got = sorted((str(r.doc_id), r.m["n_repeat_words"]) for r in quality_rules.measure(rows.drop("m")).collect())
+    assert got == sorted((str(r.doc_id), brute(r.text)[4]) for r in rows.collect())
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([("one two three", 1, 2, 3, 4, 5)], "text string, kept int, Base_Failed int, w int, row int, packed int")
+    out = quality_rules.judge(df)
+    assert out.columns == ["text", "kept_", "Base_Failed_", "w", "row", "packed", "m", "base_failed", "kept"]
+    assert out.first()[:6] == ("one two three", 1, 2, 3, 4, 5)
+
+
 def test_query(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
