@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -93,9 +95,36 @@ def asymmetric_baseline(x: np.ndarray, lam: float = 1e6, d: int = 2, p: float =
 
 # The low-pass decomposition filter of the fourth symlet.
 SYM4 = np.array([-0.07576571478927333, -0.02963552764599851, 0.49761866763201545, 0.8037387518059161, 0.29785779560527736, -0.09921954357684722, -0.012603967262037833, 0.0322231006040427])
-_LOW_D, _LOW_R = SYM4, SYM4[::-1]
-_HIGH_R = SYM4 * (-1.0) ** np.arange(8)
-_HIGH_D = _HIGH_R[::-1]
+
+
+@lru_cache(maxsize=32)
+def wavelet_filter(name: str) -> tuple[float, ...]:
+    """The low-pass decomposition filter: haar, db1 to db12, sym2 to sym4.
+
+    A Daubechies filter with n vanishing moments is the spectral factor of its
+    half-band polynomial whose roots lie inside the unit circle; the first three
+    symlets are the same filters.
+    """
+    if name == "sym4":
+        return tuple(SYM4)
+    found = re.fullmatch(r"(haar|db|sym)(\d*)", name)
+    n = 1 if name == "haar" else int(found[2] or 0) if found and found[1] != "haar" else 0
+    if not 1 <= n <= (3 if name.startswith("sym") else 12) or name == "sym1":
+        raise ValueError(f"no wavelet {name!r}; known: haar, db1 to db12, sym2 to sym4")
+    taps = np.array([1.0])
+    for y in np.roots([math.comb(n - 1 + k, k) for k in range(n - 1, -1, -1)]):
+        pair = np.roots([1, 4 * y - 2, 1])  # y = (2 - z - 1/z) / 4
+        taps = np.convolve(taps, [1, -pair[np.argmin(np.abs(pair))]])
+    for _ in range(n):
+        taps = np.convolve(taps, [1, 1])
+    taps = np.real(taps)
+    return tuple(taps[::-1] * math.sqrt(2) / taps.sum())
+
+
+def _bank(low: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The synthesis filters, low and high, of a decomposition filter."""
+    low_d = np.array(low)
+    return low_d[::-1], low_d * (-1.0) ** np.arange(len(low_d))
 
 
 def _extended(x: np.ndarray, by: int) -> np.ndarray:
@@ -105,38 +134,40 @@ def _extended(x: np.ndarray, by: int) -> np.ndarray:
     return np.concatenate([left, x, right], axis=1)
 
 
-def dwt(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One level: floor((n + 7) / 2) approximation and detail coefficients per row."""
-    n, f = x.shape[1], len(SYM4)
+def dwt(x: np.ndarray, low: tuple[float, ...] = tuple(SYM4)) -> tuple[np.ndarray, np.ndarray]:
+    """One level: floor((n + taps - 1) / 2) approximation and detail coefficients per row."""
+    n, f = x.shape[1], len(low)
     wide = _extended(x, f - 1)
     view = np.lib.stride_tricks.sliding_window_view(wide, f, axis=1)[:, 1 : n + f - 1 : 2]
-    return view @ _LOW_D[::-1], view @ _HIGH_D[::-1]
+    low_r, high_r = _bank(low)
+    return view @ low_r, view @ high_r
 
 
-def idwt(a: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """The inverse of a level: 2 * coefficients - 6 samples."""
-    m, f = a.shape[1], len(SYM4)
+def idwt(a: np.ndarray, d: np.ndarray, low: tuple[float, ...] = tuple(SYM4)) -> np.ndarray:
+    """The inverse of a level: 2 * coefficients - taps + 2 samples."""
+    m, f = a.shape[1], len(low)
+    low_r, high_r = _bank(low)
     up = np.zeros((2, a.shape[0], 2 * m + 2 * f))
     up[0, :, f : f + 2 * m : 2], up[1, :, f : f + 2 * m : 2] = a, d
     view = np.lib.stride_tricks.sliding_window_view(up, f, axis=2)
-    full = view[0] @ _LOW_R[::-1] + view[1] @ _HIGH_R[::-1]
+    full = view[0] @ low_r[::-1] + view[1] @ high_r[::-1]
     return full[:, f - 1 : 2 * m + 1]
 
 
-def wavelet_denoise(x: np.ndarray, level: int = 2, full: bool = False) -> np.ndarray:
+def wavelet_denoise(x: np.ndarray, level: int = 2, full: bool = False, wavelet: str = "sym4") -> np.ndarray:
     """Soft-thresholded details at sigma sqrt(2 ln n), sigma from the finest ones.
 
     The rows keep their length, unless ``full`` asks for all that the inverse gives.
     """
-    n, details, a = x.shape[1], [], np.asarray(x, float)
+    n, details, a, low = x.shape[1], [], np.asarray(x, float), wavelet_filter(wavelet)
     for _ in range(level):
-        a, d = dwt(a)
+        a, d = dwt(a, low)
         details.append(d)
     sigma = np.median(np.abs(details[0]), axis=1) / 0.6745
     limit = (sigma * np.sqrt(2 * np.log(n)))[:, None]
     for d in reversed(details):
         d = np.sign(d) * np.maximum(np.abs(d) - limit, 0)
-        a = idwt(a[:, : d.shape[1]], d)
+        a = idwt(a[:, : d.shape[1]], d, low)
     if full:
         return a
     return a[:, :n] if a.shape[1] >= n else np.pad(a, ((0, 0), (0, n - a.shape[1])), mode="edge")

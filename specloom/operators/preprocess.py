@@ -210,9 +210,7 @@ def apply_rows(x: np.ndarray, step: dict, state: dict, p: int) -> np.ndarray:
     if matrix is not None:
         return x @ matrix.T
     if op == "wavelet":
-        if step["wavelet"] != "sym4":
-            raise CompileError("only sym4 is built")
-        return kernels.wavelet_denoise(x, int(step["level"]))
+        return kernels.wavelet_denoise(x, int(step["level"]), wavelet=step["wavelet"])
     if op == "baseline":
         return x - kernels.asymmetric_baseline(x, float(step["lam"]), int(step["order"]), float(step["p"]), int(step["itermax"]))
     if op == "wlsbaseline":
@@ -281,7 +279,10 @@ def fit(chain: list[dict], df: DataFrame, p: int) -> Fitted:
                 if step["op"] == "column_scale":
                     state["scale"] = np.where(s > 0, s, 1.0).tolist()
         else:
-            linear_matrix(step, p)  # raises now what a bad parameter would raise later
+            # Raise now what a bad parameter would raise later.
+            linear_matrix(step, p)
+            if step["op"] == "wavelet":
+                kernels.wavelet_filter(step["wavelet"])
         out.state.append(state)
     return out
 

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.storage import durable
 from .gram import column_stats, gram
+from .sequences import unimodal
 
 
 def _rows_nnls(x: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -29,24 +31,32 @@ def _rows_nnls(x: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 def simplisma(df: DataFrame, k: int, offset: float = 0.05) -> np.ndarray:
-    """Purest channels by purity times the determinant of their correlations; spectra by least squares."""
+    """Purest channels by purity times the share that the ones taken leave unexplained; spectra by least squares.
+
+    Negative values of the spectra are cut only where the data have none.
+    """
     g = gram(df.select("x"), y=None).m[1:-1, 1:-1]
     mean, sd = column_stats(df)
-    n = df.count()
     alpha = offset * np.abs(mean).max()
-    length = np.sqrt(mean**2 + (sd + alpha) ** 2)
-    around = g / n / np.outer(length, length)
-    purity, chosen = sd / (np.abs(mean) + alpha), []
+    purity, chosen = sd / np.maximum(np.abs(mean) + alpha, 1e-12), []
+    s, share = np.zeros((0, len(mean))), np.ones(len(mean))
     for _ in range(k):
-        weight = np.array([np.linalg.det(around[np.ix_(chosen + [j], chosen + [j])]) if j not in chosen else 0.0 for j in range(len(mean))])
-        chosen.append(int(np.argmax(purity * np.maximum(weight, 0))))
-    # C0 = X[:, chosen]; S0 = (C0'C0)^-1 C0'X, all in the Gram.
-    s = np.linalg.lstsq(g[np.ix_(chosen, chosen)], g[chosen], rcond=None)[0]
-    return normalised(np.maximum(s, 0))
+        score = purity * share
+        score[chosen] = -np.inf
+        chosen.append(int(np.argmax(score)))
+        # C = X[:, chosen]: all least squares on it, (C'C)^-1 C'X, and their residuals are in the Gram.
+        s = np.linalg.lstsq(g[np.ix_(chosen, chosen)], g[chosen], rcond=None)[0]
+        left = np.diag(g) - (g[chosen] * s).sum(0)
+        share = np.sqrt(np.maximum(left, 0) / np.maximum(np.diag(g), 1e-300))
+    return normalised(np.maximum(s, 0) if _lowest(df) >= -1e-12 else s)
+
+
+def _lowest(df: DataFrame) -> float:
+    return df.agg(F.min(F.array_min("x"))).first()[0]
 
 
 def orthogonal_projection(df: DataFrame, k: int) -> np.ndarray:
-    """The spectrum of largest norm, then those least explained by the ones taken."""
+    """The spectrum of largest norm, then those least explained by the ones taken; negative values count as zero."""
     clipped = df.select(F.transform("x", lambda v: F.greatest(v, F.lit(0.0))).alias("x"))
     chosen: list[np.ndarray] = []
     for _ in range(k):
@@ -67,7 +77,7 @@ def orthogonal_projection(df: DataFrame, k: int) -> np.ndarray:
 
         row = clipped.mapInPandas(residual, "d double, x array<double>").agg(F.max_by("x", F.struct("d", "x"))).first()
         chosen.append(np.array(row[0]))
-    return normalised(np.array(chosen))
+    return np.array(chosen)
 
 
 def normalised(s: np.ndarray) -> np.ndarray:
@@ -90,6 +100,17 @@ def project(df: DataFrame, s: np.ndarray, non_negative: bool = True, closure: bo
     return df.withColumn("c", F.pandas_udf(run, "array<double>")(F.col("x")))
 
 
+def single_peaks(df: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(key, x, c) with every concentration rising up to its first maximum and falling after it, in the order of ``key``.
+
+    A component is one series, so a task holds one number of each row.
+    """
+    long = df.select(key, F.posexplode("c").alias("j", "v"))
+    back = F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda q: q["v"])
+    c = unimodal(long, "j", key, "v").groupBy(key).agg(back.alias("c"))
+    return df.drop("c").join(c, key)
+
+
 def reconstruct(df: DataFrame, s: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
@@ -105,52 +126,45 @@ class Resolved:
     rounds: int
 
 
-def mcr_als(df: DataFrame, n_components: int = 3, max_iter: int = 200, tol: float = 1e-7, non_negative: bool = True, closure: bool = False, start: np.ndarray | None = None, seed: int = 0) -> Resolved:
+def mcr_als(df: DataFrame, n_components: int = 3, max_iter: int = 200, tol: float = 1e-7, non_negative: bool = True, closure: bool = False, start: np.ndarray | None = None, seed: int = 0, unimodality: bool = False, key: str = "sample_id") -> Resolved:
     """Alternating least squares from purest channels, or from random spectra where X has negatives.
 
-    Without closure both steps live in Gram space: with W = C-step map, C'C and
-    C'X follow from X'X while no concentration is clipped, so the data are
-    scanned once per round only for the clipped step.
+    The spectra are written once and read by each round, which sums C'C and C'X
+    in one pass. ``unimodality`` lets each concentration rise and fall once in
+    the order of ``key``. The rounds end when the residual of concentrations and
+    normalised spectra stays the same.
     """
-    low = df.agg(F.min(F.array_min("x"))).first()[0]
+    df = durable(df.select(key, "x") if unimodality else df.select("x"))
     if start is None:
         p = df.select(F.size("x")).first()[0]
-        start = simplisma(df, n_components) if low >= -1e-12 else normalised(np.random.default_rng(seed).uniform(size=(n_components, p)))
+        start = simplisma(df, n_components) if _lowest(df) >= -1e-12 else normalised(np.random.default_rng(seed).uniform(size=(n_components, p)))
     s, before, error = start, np.inf, np.inf
     for i in range(1, max_iter + 1):
-        sums = gram(project(df.select("x"), s, non_negative, closure).select(F.concat("c", "x").alias("x")), y=None).m[1:-1, 1:-1]
+        found = project(df, s, non_negative, closure)
+        if unimodality:
+            found = single_peaks(found, key)
+        sums = gram(found.select(F.concat("c", "x").alias("x")), y=None).m[1:-1, 1:-1]
         k = n_components
         cc, cx, xx = sums[:k, :k], sums[:k, k:], float(np.trace(sums[k:, k:]))
         new = np.stack([kernels.nnls_gram(cc, cx[:, j]) for j in range(cx.shape[1])], axis=1) if non_negative else np.linalg.lstsq(cc, cx, rcond=None)[0]
-        error = max(xx - 2 * float((new * cx).sum()) + float((new * (cc @ new)).sum()), 0) ** 0.5
         s = normalised(new)
+        error = max(xx - 2 * float((s * cx).sum()) + float((s * (cc @ s)).sum()), 0) ** 0.5
         if abs(before - error) < tol * max(1.0, before if np.isfinite(before) else 1.0):
             break
         before = error
     return Resolved(s, error, i)
 
 
-def ambiguity(df: DataFrame, fitted: Resolved, n_trials: int = 20, seed: int = 0, **options) -> float:
-    """Mean matched cosine distance of refits from random spectra."""
+def ambiguity(df: DataFrame, fitted: Resolved, n_trials: int = 20, seed: int = 0, max_iter: int = 50, **options) -> float:
+    """Mean cosine distance of each spectrum to its nearest one in refits from random spectra."""
     rng, out = np.random.default_rng(seed), []
     for _ in range(n_trials):
         start = normalised(rng.uniform(size=fitted.spectra.shape))
-        other = mcr_als(df, len(fitted.spectra), start=start, **options).spectra
-        cosine = np.abs(normalised(fitted.spectra) @ normalised(other).T)
-        out.append(1 - _matched(cosine))
+        other = mcr_als(df, len(fitted.spectra), max_iter=max_iter, start=start, **options).spectra
+        out.append(1 - np.abs(normalised(fitted.spectra) @ normalised(other).T).max(axis=1))
     return float(np.clip(np.mean(out), 0, 1))
 
 
-def _matched(cosine: np.ndarray) -> float:
-    """The mean of the greedy best pairing."""
-    c, total = cosine.copy(), 0.0
-    for _ in range(len(c)):
-        i, j = np.unravel_index(np.argmax(c), c.shape)
-        total += c[i, j]
-        c[i, :], c[:, j] = -1, -1
-    return total / len(cosine)
-
-
 def feasible_bands(df: DataFrame, n_points: int = 360, tol: float = 1e-9) -> dict:
     """Rank-two self modelling: rotation angles with non-negative spectra and concentrations, as runs."""
     g = gram(df.select("x"), y=None).m[1:-1, 1:-1]

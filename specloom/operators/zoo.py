@@ -133,11 +133,39 @@ class Reweighted(Estimator):
 @MODELS.register("huber", family="linear")
 @dataclass
 class Huber(Reweighted):
+    """Huber's loss with its own scale: sum of scale + H(r / scale) scale, and alpha times the squared coefficients.
+
+    Coefficients and scale are set in turn, each to the exact minimum for fixed weights.
+    """
+
     epsilon: float = 1.35
+    rounds: int = 500
 
-    def weights(self, r):
-        scale = max(1.4826 * np.median(np.abs(r - np.median(r))), 1e-9)
-        return np.minimum(1, self.epsilon * scale / np.maximum(np.abs(r), 1e-12))
+    def fit(self, x, y):
+        z, self.m, self.s = _standard(np.asarray(x, float))
+        y = np.asarray(y, float)
+        a = np.column_stack([np.ones(len(z)), z])
+        # Centred and scaled for the solver only: the penalty is on coefficients of columns as given.
+        penalty = self.alpha * np.diag(np.concatenate([[0.0], 1 / self.s**2]))
+        b = np.zeros(a.shape[1])
+        b[0] = np.median(y)
+        scale = max(float(np.std(y)), 1e-9)
+        for _ in range(self.rounds):
+            r = np.abs(y - a @ b)
+            near = r <= self.epsilon * scale
+            free = len(y) - self.epsilon**2 * np.count_nonzero(~near)
+            if free > 0:
+                scale = max(float(np.sqrt((r[near] ** 2).sum() / free)), 1e-9)
+            w = np.minimum(1, self.epsilon * scale / np.maximum(r, 1e-300))
+            new = np.linalg.solve(a.T @ (w[:, None] * a) + scale * penalty + 1e-12 * np.eye(len(b)), a.T @ (w * y))
+            done = np.abs(new - b).max() < 1e-10
+            b = new
+            if done:
+                break
+        self.scale_ = scale
+        self.coef_ = b[1:] / self.s
+        self.intercept_ = float(b[0] - self.m @ self.coef_)
+        return self
 
 
 @MODELS.register("quantile", family="linear")
@@ -206,7 +234,10 @@ class Sgd(Estimator):
 
 @dataclass
 class Glm(Estimator):
-    """Penalised Newton steps for a mean exp(eta) or, with an identity link, eta."""
+    """Penalised Newton steps for a mean exp(eta) or, with an identity link, eta.
+
+    The penalty is on coefficients of the columns as given; they are scaled for the solver only.
+    """
 
     power: float = 1.0
     identity: bool = False
@@ -217,7 +248,7 @@ class Glm(Estimator):
         z, self.m, self.s = _standard(np.asarray(x, float))
         y = np.asarray(y, float)
         a = np.column_stack([np.ones(len(z)), z])
-        penalty = self.alpha * len(z) * np.diag([0.0] + [1.0] * z.shape[1])
+        penalty = self.alpha * len(z) * np.diag(np.concatenate([[0.0], 1 / self.s**2]))
         b = np.zeros(a.shape[1])
         b[0] = y.mean() if self.identity else np.log(max(y.mean(), 1e-9))
         for _ in range(self.rounds):
@@ -232,6 +263,7 @@ class Glm(Estimator):
             if done:
                 break
         self.b = b
+        self.coef_ = b[1:] / self.s
         return self
 
     def predict(self, x):

@@ -46,6 +46,24 @@ def test_wavelet_round_trip(n):
     assert f.sum() == pytest.approx(math.sqrt(2)) and f @ f == pytest.approx(1) and f[2:] @ f[:-2] == pytest.approx(0, abs=1e-10)
 
 
+@pytest.mark.parametrize("name", ["haar", "sym3", *[f"db{k}" for k in range(1, 13)]])
+def test_wavelets_by_name(name):
+    low = np.array(kernels.wavelet_filter(name))
+    assert low.sum() == pytest.approx(math.sqrt(2)) and low @ low == pytest.approx(1)
+    # As many moments of the high-pass filter vanish as the name says.
+    high = low * (-1.0) ** np.arange(len(low))
+    assert all(abs(high @ (np.arange(len(low)) / len(low)) ** k) < 1e-8 for k in range(len(low) // 2))
+    x = np.random.default_rng(0).normal(size=(3, 101)).cumsum(1)
+    assert np.allclose(kernels.idwt(*kernels.dwt(x, tuple(low)), tuple(low))[:, :101], x, atol=1e-8)
+
+
+def test_wavelet_names():
+    assert np.allclose(kernels.wavelet_filter("db2"), np.array([1 - 3**0.5, 3 - 3**0.5, 3 + 3**0.5, 1 + 3**0.5]) / (4 * 2**0.5))
+    for name in ("db0", "db13", "sym1", "sym5", "haar2", "x"):
+        with pytest.raises(ValueError):
+            kernels.wavelet_filter(name)
+
+
 def test_wavelet_removes_noise():
     rng, i = np.random.default_rng(0), np.arange(200)
     clean = np.exp(-(((i - 90) / 25) ** 2))

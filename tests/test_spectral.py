@@ -293,6 +293,33 @@ def test_other_models_learn(key):
     assert np.sqrt(np.mean((pred - target) ** 2)) < 0.2 * y.std()
 
 
+def test_huber_is_the_least_of_its_loss():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 4)) * [1, 10, 0.1, 3]
+    y = x @ [1, 0.2, 5, 0] + rng.normal(size=200)
+    y[:10] += 30
+    m = zoo.build_model("huber", alpha=0.5).fit(x, y)
+
+    def loss(p):
+        r = np.abs(y - x @ p[:4] - p[4]) / p[5]
+        return (p[5] * (1 + np.where(r < 1.35, r * r, 2.7 * r - 1.35**2))).sum() + 0.5 * p[:4] @ p[:4]
+
+    at = np.concatenate([m.coef_, [m.intercept_, m.scale_]])
+    assert all(loss(at + 1e-3 * rng.normal(size=6)) > loss(at) for _ in range(200))
+
+
+@pytest.mark.parametrize("key,power", [("poisson", 1), ("gamma", 2), ("tweedie", 0)])
+def test_generalised_models_solve_their_score_equations(key, power):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(150, 3)) * [1, 5, 0.2]
+    y = rng.poisson(np.exp(0.3 + x @ [0.2, 0.05, 1])) + 1.0
+    m = zoo.build_model(key, alpha=0.1).fit(x, y)
+    mu = m.predict(x)
+    slope = 1 if key == "tweedie" else mu
+    assert np.allclose(x.T @ ((y - mu) / mu**power * slope), len(y) * 0.1 * m.coef_, atol=1e-6)
+    assert abs(((y - mu) / mu**power * slope).sum()) < 1e-6
+
+
 def test_registry():
     assert {"ols", "pls", "rf", "gam"} <= set(zoo.MODELS.keys()) and "latent" in zoo.MODELS.families()
     assert zoo.MODELS.keys(family="latent") == ["pcr", "pls"]
@@ -396,6 +423,32 @@ def test_mcr(spark):
     c = np.array([r.c for r in unmixing.project(df, done.spectra, closure=True).collect()])
     assert (c >= 0).all() and np.allclose(c.sum(1), 1)
     assert len(unmixing.orthogonal_projection(df, 2)) == 2
+    assert unmixing.ambiguity(df, done, n_trials=1, max_iter=3) < 0.5
+
+
+def test_purest_channels_by_residuals(spark):
+    x, k = np.abs(mixture(40)[0]), 3
+    alpha = 0.05 * np.abs(x.mean(0)).max()
+    share, on = np.ones(x.shape[1]), []
+    for _ in range(k):
+        score = x.std(0) / (np.abs(x.mean(0)) + alpha) * share
+        score[on] = -1
+        on.append(int(score.argmax()))
+        fit = np.linalg.lstsq(x[:, on], x, rcond=None)[0]
+        share = np.linalg.norm(x - x[:, on] @ fit, axis=0) / np.linalg.norm(x, axis=0)
+    assert np.allclose(unmixing.simplisma(frame(spark, x), k), unmixing.normalised(np.maximum(fit, 0)), atol=1e-6)
+
+
+def test_mcr_with_single_peaks(spark):
+    rng, t = np.random.default_rng(0), np.arange(30)
+    c = np.stack([np.exp(-(((t - m) / 5) ** 2)) for m in (8, 20)], axis=1) + rng.uniform(0, 0.05, (30, 2))
+    s = np.stack([peak(AXIS, a, w) for a, w in ((280, 30), (520, 40))])
+    df = frame(spark, c @ s)
+    done = unmixing.mcr_als(df, 2, max_iter=4, unimodality=True)
+    found = unmixing.single_peaks(unmixing.project(df, done.spectra))
+    for v in np.array([r.c for r in found.orderBy("sample_id").collect()]).T:
+        top = int(v.argmax())
+        assert (np.diff(v[: top + 1]) >= 0).all() and (np.diff(v[top + 1 :]) <= 0).all()
     assert unmixing.feasible_bands(df, 30)["spectra"]
 
 
