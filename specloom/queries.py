@@ -190,6 +190,12 @@ def peak_wavelength(spark, d):
     return out.select(F.col("sample_id").alias("vec_id"), "around", R("nm", 5).alias("nm"))
 
 
+@query(f"WITH p AS ({ORACLES['peak_wavelength'].replace('round(CASE', '(CASE').replace('END, 5)', 'END)')}) SELECT vec_id, round(max(abs(nm - around)), 4) AS worst FROM p GROUP BY vec_id")
+def wavelength_accuracy(spark, d):
+    out = hardware.wavelength_accuracy(spectra.to_long(vectors(spark, d), AXIS), (300.0, 450.0, 600.0), 30.0)
+    return out.select(F.col("sample_id").alias("vec_id"), R("wavelength_accuracy", 4).alias("worst"))
+
+
 @query(f"""WITH {LONG}, m AS (SELECT j, avg(a) AS a FROM long GROUP BY j), q AS (SELECT unnest([150.0::DOUBLE, 203.0, 333.3, 704.0, 900.0]) AS nm)
     SELECT nm, round(CASE WHEN nm <= 200 THEN (SELECT a FROM m WHERE j = 0) WHEN nm >= 704 THEN (SELECT a FROM m WHERE j = 63)
       ELSE (SELECT l.a + (nm - 200 - 8 * l.j) / 8 * (r.a - l.a) FROM m l JOIN m r ON r.j = l.j + 1 WHERE l.j = floor((nm - 200) / 8)) END, 6) AS value FROM q""")
@@ -627,6 +633,32 @@ def ridge_equations(spark, d):
     return spark.createDataFrame([(j, round(float(v), 3)) for j, v in enumerate(left)], "j int, v double")
 
 
+@query(f"WITH {LONG}, t AS ({TARGET}) SELECT model, j::INTEGER AS j, round(sum((a - m) * (y - my)), 3) AS v FROM (SELECT vec_id, j, a, avg(a) OVER (PARTITION BY j) AS m FROM long) JOIN (SELECT vec_id, y, avg(y) OVER () AS my FROM t) USING (vec_id), (SELECT unnest(['lasso', 'elasticnet']) AS model) GROUP BY model, j")
+def sparse_equations(spark, d):
+    """X'Xb and the penalty's slope make up X'y; where a coefficient is zero the slope may be any up to the bound."""
+    c = gram.gram(_calibration(spark, d)).centred()
+    rows = []
+    for model, l1 in (("lasso", 1.0), ("elasticnet", 0.5)):
+        b = linear.SOLVERS[model](c, 0.005, max_iter=10_000, tol=1e-12)
+        bound, left = c.n * 0.005 * l1, c.xx @ b + c.n * 0.005 * (1 - l1) * b
+        slope = np.where(b != 0, bound * np.sign(b), np.clip(c.xy - left, -bound, bound))
+        rows += [(model, j, round(float(v), 3)) for j, v in enumerate(left + slope)]
+    return spark.createDataFrame(rows, "model string, j int, v double")
+
+
+@query(f"WITH {LONG} SELECT model, j::INTEGER AS j, round(sum(a * label), 3) AS v FROM long, (SELECT unnest(['poisson', 'tweedie']) AS model) GROUP BY model, j")
+def score_equations(spark, d):
+    """X'mu + n alpha b for fitted generalised models with their natural links: X'y."""
+    from .operators import zoo
+
+    x, y = zoo.calibration(vectors(spark, d, "label").withColumnRenamed("label", "y"))
+    rows = []
+    for model in ("poisson", "tweedie"):
+        m = zoo.build_model(model, alpha=0.01).fit(x, y)
+        rows += [(model, j, round(float(v), 3)) for j, v in enumerate(x.T @ m.predict(x) + len(y) * 0.01 * m.coef_)]
+    return spark.createDataFrame(rows, "model string, j int, v double")
+
+
 def _trained(spark, d, chain=()):
     from .plans.train import train_model
 
@@ -704,18 +736,65 @@ def flagged_outliers(spark, d):
     return out.select(F.col("sample_id").alias("vec_id"), R("t2", 5).alias("t2"), R("spe", 5).alias("spe"), R("ratio", 5).alias("ratio"), "outlier")
 
 
-@query()
+def _level(m: int, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One wavelet level as matrices: approximation and detail of m samples, and what gives them back."""
+    f, high = len(low), low[::-1] * (-1.0) ** np.arange(1, len(low) + 1)
+    n = (m + f - 1) // 2
+    forward, back = np.zeros((2, n, m)), np.zeros((2, 2 * n - f + 2, n))
+    for k in range(n):
+        for i in range(f):
+            at = 2 * k + 1 - i
+            # Beyond the ends the signal goes on straight.
+            inside = {at: 1.0} if 0 <= at < m else {0: 1.0 - at, 1: float(at)} if at < 0 else {m - 1: 1.0 + at - m + 1, m - 2: float(m - 1 - at)}
+            for j, v in inside.items():
+                forward[:, k, j] += v * low[i], v * high[i]
+            t = 2 * k - f + 2 + i
+            if 0 <= t < back.shape[1]:
+                back[:, t, k] += low[f - 1 - i], high[f - 1 - i]
+    return forward[0], forward[1], back[0], back[1]
+
+
+def _cells_sql(m: np.ndarray, name: str) -> str:
+    i, j = np.nonzero(np.abs(m) > 1e-15)
+    return f"{name} AS (SELECT * FROM (VALUES " + ", ".join(f"({r}, {c}, {float(m[r, c])!r}::DOUBLE)" for r, c in zip(i, j)) + ") AS t(i, j, w))"
+
+
+def _wavelet_sql(low: np.ndarray) -> str:
+    """Two levels: coefficients 0 to 20 are approximations, 21 to 41 coarse and 42 to 76 fine details."""
+    a1, d1, ra1, rd1 = _level(64, low)
+    a2, d2, ra2, rd2 = _level(len(a1), low)
+    up = ra1 @ np.eye(len(a1), len(ra2))
+    back = np.hstack([up @ ra2, up @ rd2, rd1])[:64]
+    coarse, fine = len(a2), 2 * len(a2)
+    return f"""WITH {LONG}, {_cells_sql(np.vstack([a2 @ a1, d2 @ a1, d1]), "w")}, {_cells_sql(back, "b")},
+    c AS (SELECT vec_id, i, sum(a * w) AS c FROM long JOIN w USING (j) GROUP BY vec_id, i),
+    s AS (SELECT vec_id, median(abs(c)) / 0.6745 * sqrt(2 * ln(64)) AS s FROM c WHERE i >= {fine} GROUP BY vec_id),
+    t AS (SELECT vec_id, i AS j, CASE WHEN i < {coarse} THEN c ELSE sign(c) * greatest(abs(c) - s, 0) END AS c FROM c JOIN s USING (vec_id))
+    SELECT vec_id, i::INTEGER AS j, round(sum(c * w), 5) + 0.0 AS value FROM t JOIN b USING (j) GROUP BY vec_id, i"""
+
+
+@query(_wavelet_sql(kernels.SYM4))
 def wavelet_denoise(spark, d):
     df = vectors(spark, d)
     out = preprocess.fit([{"op": "wavelet"}], df, 64).transform(df)
-    return out.select("sample_id", R(arrays.norm(F.col("x")), 5).alias("size"))
+    long = out.select(F.col("sample_id").alias("vec_id"), F.posexplode("x").alias("j", "a"))
+    return long.select("vec_id", "j", (R("a", 5) + 0.0).alias("value"))
 
 
-@query()
+ROUGHNESS = 1e3 * np.diff(np.eye(64), n=2, axis=0).T @ np.diff(np.eye(64), n=2, axis=0)
+
+
+@query(f"WITH {LONG}, {_cells_sql(ROUGHNESS, 'w')} SELECT vec_id, i::INTEGER AS j, round(sum(a * w), 3) + 0.0 AS value FROM long JOIN w USING (j) GROUP BY vec_id, i")
 def baseline(spark, d):
+    """Residuals r of the last round solve W r + K r = K x, the weights by the side on which the round before left them."""
     df = vectors(spark, d)
-    out = preprocess.fit([{"op": "baseline", "lam": 1e3}], df, 64).transform(df)
-    return out.select("sample_id", R(arrays.norm(F.col("x")), 4).alias("size"))
+    rounds = lambda n, rows: preprocess.fit([{"op": "baseline", "lam": 1e3, "itermax": n}], df, 64).transform(rows)
+    before = rounds(9, df.withColumn("raw", F.col("x"))).select("sample_id", F.col("x").alias("before"), F.col("raw").alias("x"))
+    out = rounds(10, before)
+    weighted = F.zip_with("r", "before", lambda v, b: v * F.when(b > 0, 1e-3).otherwise(1 - 1e-3))
+    both = preprocess.multiply(out.withColumn("r", F.col("x")), ROUGHNESS).select("sample_id", F.zip_with("x", weighted, lambda a, b: a + b).alias("x"))
+    long = both.select(F.col("sample_id").alias("vec_id"), F.posexplode("x").alias("j", "a"))
+    return long.select("vec_id", "j", (R("a", 3) + 0.0).alias("value"))
 
 
 @query(f"WITH {LONG} SELECT vec_id, j::INTEGER AS j, round(a, 5) + 0.0 AS value FROM long")
@@ -749,6 +828,42 @@ def mixture_projection(spark, d):
     return closed.select(F.col("sample_id").alias("vec_id"), R(F.col("free")[0], 6).alias("c0"), R(F.col("free")[1], 6).alias("c1"), R(F.col("c")[0], 6).alias("share"), R(arrays.norm(F.col("rebuilt")), 6).alias("rebuilt"))
 
 
+POSITIVE = "long AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS j, abs(unnest(embedding)::DOUBLE) AS a FROM embeddings)"
+
+
+def _positive(spark, d) -> DataFrame:
+    return vectors(spark, d).withColumn("x", F.transform("x", lambda v: F.abs(v)))
+
+
+def _components(spark, s: np.ndarray, digits: int = 5) -> DataFrame:
+    return spark.createDataFrame([(k, j, round(float(v), digits) + 0.0) for k, r in enumerate(s) for j, v in enumerate(r)], "component int, j int, value double")
+
+
+@query(f"""WITH {POSITIVE}, s AS (SELECT j, avg(a) AS m, stddev_pop(a) AS sd, sum(a * a) AS g FROM long GROUP BY j), p AS (SELECT j, g, sd / (m + 0.05::DOUBLE * max(m) OVER ()) AS p FROM s),
+    c1 AS (SELECT j AS c, g FROM p ORDER BY p DESC, j LIMIT 1), x1 AS (SELECT vec_id, a AS u FROM long, c1 WHERE j = c), g1 AS (SELECT j, sum(a * u) AS g1 FROM long JOIN x1 USING (vec_id) GROUP BY j),
+    c2 AS (SELECT p.j AS c, p.g, g1 AS g12 FROM p JOIN g1 USING (j), c1 WHERE p.j <> c1.c ORDER BY p.p * sqrt(1 - g1 * g1 / (p.g * c1.g)) DESC, p.j LIMIT 1),
+    x2 AS (SELECT vec_id, a AS u FROM long, c2 WHERE j = c), g2 AS (SELECT j, sum(a * u) AS g2 FROM long JOIN x2 USING (vec_id) GROUP BY j),
+    r AS (SELECT j, 0 AS component, greatest(0, c2.g * g1 - g12 * g2) AS v FROM g1 JOIN g2 USING (j), c2 UNION ALL SELECT j, 1, greatest(0, c1.g * g2 - g12 * g1) FROM g1 JOIN g2 USING (j), c1, c2)
+    SELECT component::INTEGER AS component, j::INTEGER AS j, round(v / sqrt(sum(v * v) OVER (PARTITION BY component)), 5) + 0.0 AS value FROM r""")
+def purest_channels(spark, d):
+    return _components(spark, unmixing.simplisma(_positive(spark, d), 2))
+
+
+@query("""WITH x AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda v: greatest(v, 0)) AS x FROM embeddings), n AS (SELECT vec_id, x, list_dot_product(x, x) AS q FROM x),
+    a AS (SELECT * FROM n ORDER BY q DESC, vec_id LIMIT 1), b AS (SELECT n.* FROM n, a WHERE n.vec_id <> a.vec_id ORDER BY n.q - list_dot_product(n.x, a.x) ** 2 / a.q DESC, n.vec_id LIMIT 1)
+    SELECT 0 AS component, (generate_subscripts(x, 1) - 1)::INTEGER AS j, round(unnest(x), 5) AS value FROM a UNION ALL SELECT 1, (generate_subscripts(x, 1) - 1)::INTEGER, round(unnest(x), 5) FROM b""")
+def orthogonal_spectra(spark, d):
+    return _components(spark, unmixing.orthogonal_projection(vectors(spark, d), 2))
+
+
+@query(f"""WITH {POSITIVE}, t AS (SELECT vec_id AS i, j, a FROM long WHERE j < 2), p AS (SELECT j, arg_max(i, struct_pack(a := a, i := -i)) AS peak FROM t GROUP BY j)
+    SELECT i AS vec_id, j::INTEGER AS component, round(CASE WHEN i <= peak THEN max(a) OVER (PARTITION BY j ORDER BY i ROWS UNBOUNDED PRECEDING) ELSE max(CASE WHEN i > peak THEN a END) OVER (PARTITION BY j ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END, 6) AS value FROM t JOIN p USING (j)""")
+def single_peaks(spark, d):
+    """Concentrations that rise and fall once along the samples."""
+    found = unmixing.single_peaks(_positive(spark, d).withColumn("c", F.slice("x", 1, 2)))
+    return found.select(F.col("sample_id").alias("vec_id"), F.posexplode("c").alias("component", "v")).select("vec_id", "component", R("v", 6).alias("value"))
+
+
 @query(f"""WITH {LONG}, z AS (SELECT vec_id, sum(a * ((j % 7) - 3) / 10) AS p FROM long GROUP BY vec_id), w AS (SELECT sqrt(sum((((j % 7) - 3) / 10.0) ** 2)) AS w, sqrt(sum(CASE WHEN j < 32 THEN (((j % 7) - 3) / 10.0) ** 2 ELSE 0 END)) AS u FROM (SELECT unnest(range(64)) AS j)),
     n AS (SELECT sqrt(sum(c * c) / count(*)) AS s FROM (SELECT a - avg(a) OVER (PARTITION BY vec_id) AS c FROM long))
     SELECT round(1 / any_value(w), 6) AS sen, round(1 / any_value(w) / any_value(s), 6) AS gamma, round(any_value(s), 6) AS s_x, round(stddev_samp(p), 6) AS s_0, round(3.3 * stddev_samp(p) * any_value(w), 5) AS lod, round(10 * stddev_samp(p) * any_value(w), 5) AS loq, round(any_value(u) / any_value(w), 6) AS sel FROM z, w, n""")
@@ -843,13 +958,131 @@ def shape(spark, d):
     return spark.createDataFrame([(s["n_samples"], s["n_wavelengths"], s["step"], spectra.instrument_ids(df).count())], "n_samples int, n_wavelengths int, step double, instruments int")
 
 
-@query()
-def mcr_spectra(spark, d):
-    df = vectors(spark, d).withColumn("x", F.transform("x", lambda v: F.abs(v)))
-    s = unmixing.mcr_als(df, 3, max_iter=5).spectra
-    return spark.createDataFrame([(k, j, round(float(v), 5)) for k, r in enumerate(s) for j, v in enumerate(r)], "component int, j int, value double")
+@query("WITH c AS (SELECT vec_id, abs(embedding[4]::DOUBLE) AS a, abs(embedding[41]::DOUBLE) AS b FROM embeddings) SELECT vec_id, j::INTEGER AS j, round(a * greatest(0, 1 - abs(j - 18) / 16.0) + b * greatest(0, 1 - abs(j - 44) / 16.0), 6) + 0.0 AS value FROM c, (SELECT unnest(range(64)) AS j)")
+def resolved_mixture(spark, d):
+    """Two overlapping bands mixed, resolved from their mixtures alone, and mixed again."""
+    bands = np.maximum(0, 1 - np.abs(np.arange(64)[None, :] - np.array([[18], [44]])) / 16)
+    c = F.array(F.abs(F.col("x")[3]), F.abs(F.col("x")[40]))
+    mixed = unmixing.reconstruct(vectors(spark, d).select("sample_id", c.alias("c")), bands).select("sample_id", F.col("rebuilt").alias("x"))
+    s = unmixing.mcr_als(mixed, 2).spectra
+    again = unmixing.reconstruct(unmixing.project(mixed, s), s)
+    return again.select(F.col("sample_id").alias("vec_id"), F.posexplode("rebuilt").alias("j", "v")).select("vec_id", "j", (R("v", 6) + 0.0).alias("value"))
 
 
 @query(f"WITH {LONG}, c AS (SELECT vec_id, a - avg(a) OVER (PARTITION BY vec_id) AS c FROM long) SELECT round(sqrt(sum(c * c) / count(*)), 6) AS s_x FROM c")
 def spectral_noise(spark, d):
     return spark.createDataFrame([(round(fom.spectral_noise(vectors(spark, d)), 6),)], "s_x double")
+
+
+# ---- figure data, files ----------------------------------------------------------
+
+
+@query(f"WITH {PAIRS} SELECT std_id, 200.0::DOUBLE + 8 * j AS nm, round(m - s, 6) + 0.0 AS difference FROM p")
+def difference_points(spark, d):
+    from .operators import figures
+
+    out = figures.difference_points(*standards(spark, d), AXIS, "std_id")
+    return out.select(F.col("std_id").cast("long").alias("std_id"), "nm", (R("a", 6) + 0.0).alias("difference"))
+
+
+@query(f"WITH {LONG}, {polynomial_matrix(64, 15, 3, 1)} SELECT vec_id, 200.0::DOUBLE + 8 * i AS nm, round(sum(a * w), 6) + 0.0 AS slope FROM long JOIN w USING (j) GROUP BY vec_id, i")
+def derivative_points(spark, d):
+    from .operators import figures
+
+    out = figures.derivative_points(vectors(spark, d), AXIS)
+    return out.select(F.col("sample_id").alias("vec_id"), "nm", (R("a", 6) + 0.0).alias("slope"))
+
+
+@query(f"WITH {PRED} SELECT seq, round(y_pred - y_true, 5) AS residual FROM pred")
+def fitted_points(spark, d):
+    from .operators import figures
+
+    return figures.fitted_points(predictions(spark, d)).select("seq", R("residual", 5).alias("residual"))
+
+
+@query(f"WITH {SCORED}, {_rank_sql()} SELECT model_type, round(r.rank, 5) AS rank, round(m.rmse, 5) AS rmse FROM r JOIN m USING (model_type)")
+def scoring_file(spark, d):
+    """Scores written as a CSV file, merged into it once more, and read back."""
+    from .sources.tables import read_scores, write_scores
+
+    at = f"{scratch(spark)}/scores"
+    scores = scoring.score_rows(event_predictions(spark, d), TUR)
+    write_scores(scores, at)
+    write_scores(scores.where("model_type <> 'view'"), at, merge=True)
+    return read_scores(spark, at).select("model_type", R("rank", 5).alias("rank"), R("rmse", 5).alias("rmse"))
+
+
+@query("SELECT user_id AS file_id, count(*) AS items, arg_min(value, event_id) AS first_tn, round(sum(value / 2), 4) AS an FROM events GROUP BY user_id")
+def result_files(spark, d):
+    """One JSON result per user, read back."""
+    from .sources.tables import result_json
+
+    e = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("sample_id"), F.col("value").alias("TN"), (F.col("value") / 2).alias("AN"))
+    item = F.from_json("json", "id long, item array<struct<TN: double, AN: double>>")["item"]
+    out = result_json(e).select("file_id", item.alias("item"))
+    return out.select("file_id", F.size("item").cast("long").alias("items"), F.col("item")[0]["TN"].alias("first_tn"), R(F.aggregate("item", F.lit(0.0), lambda a, i: a + i["AN"]), 4).alias("an"))
+
+
+@query(f"WITH {LONG} SELECT count(DISTINCT vec_id) FILTER (label = 3) AS label, count(*) FILTER (a > 0.2) AS x FROM long")
+def missing_values(spark, d):
+    from .sources.tables import missing_counts
+
+    gone = lambda c, test: F.when(~test, c)
+    df = vectors(spark, d, "label").select(gone(F.col("label"), F.col("label") == 3).alias("label"), F.transform("x", lambda v: gone(v, v > 0.2)).alias("x"))
+    return missing_counts(df).select("label", "x")
+
+
+# ---- streams ---------------------------------------------------------------------
+
+
+def event_stream(spark, d) -> DataFrame:
+    at = f"{d}/events.parquet"
+    return spark.readStream.schema(spark.read.parquet(at).schema).parquet(f"{at}*")
+
+
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """All that a stream gives for the files that exist now, by way of the shared folder."""
+    spark = stream.sparkSession
+    at = scratch(spark)
+    # Each batch has its folder, so one that runs again replaces its rows; in complete mode the last holds all.
+    folder = lambda k: f"{at}/rows/batch={k if mode == 'append' else 0}"
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    run.foreachBatch(lambda rows, k: rows.write.mode("overwrite").parquet(folder(k))).start().awaitTermination()
+    return spark.read.parquet(f"{at}/rows").drop("batch")
+
+
+def _forecast() -> list:
+    return [F.col("value").alias("y_true"), (F.col("value") * (0.9 + 0.02 * (F.col("event_id") % 11))).alias("y_pred")]
+
+
+FORECAST = "f AS (SELECT event_id, ts, value AS t, value * (0.9::DOUBLE + 0.02::DOUBLE * (event_id % 11)) AS p FROM events)"
+
+
+@query(f"WITH {FORECAST} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n, round(CASE WHEN var_pop(t) > 0 THEN 1 - sum((t - p) ** 2) / (var_pop(t) * count(*)) END, 5) AS r2 FROM f GROUP BY ALL")
+def stream_daily_acceptance(spark, d):
+    from .streaming import control
+
+    out = drained(control.daily_acceptance(event_stream(spark, d).select("ts", *_forecast())), "complete")
+    return out.select(F.date_format("day.start", "yyyy-MM-dd").alias("day"), "n", R("r2", 5).alias("r2"))
+
+
+@query(f"""WITH {FORECAST}, w AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * k AS start, t >= 100 AS t, p >= 100 AS p FROM f, range(4) r(k))
+    SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn FROM w GROUP BY ALL""")
+def stream_alarm_counts(spark, d):
+    from .streaming import control
+
+    out = drained(control.alarm_counts(event_stream(spark, d).select("ts", *_forecast()), 100.0), "complete")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "tp", "fp", "fn", "tn")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, value, (value - 100) / 60.0::DOUBLE AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS i FROM events),
+    s AS (SELECT *, sum(CASE WHEN i > 1 THEN u - 0.5 ELSE 0 END) OVER w AS s, sum(CASE WHEN i > 1 THEN u + 0.5 ELSE 0 END) OVER w AS t FROM e WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+    c AS (SELECT *, s - min(s) OVER w AS c_pos, t - max(t) OVER w AS c_neg FROM s WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+    r AS (SELECT user_id, i, 0.2::DOUBLE * value + 80 AS z FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, 0.2::DOUBLE * e.value + 0.8::DOUBLE * r.z FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+    SELECT user_id, value, round(c_pos, 5) + 0.0 AS c_pos, round(c_neg, 5) + 0.0 AS c_neg, round(z, 5) AS ewma, c_pos > 5 OR c_neg < -5 AS cusum_alarm, abs(z - 100) > 180 * sqrt(0.2::DOUBLE / 1.8::DOUBLE * (1 - pow(0.8::DOUBLE, 2 * i))) AS ewma_alarm FROM c JOIN r USING (user_id, i)""")
+def stream_control_chart(spark, d):
+    from .streaming import control
+
+    e = event_stream(spark, d).select(F.col("user_id").alias("series"), F.col("ts").cast("timestamp").alias("seq"), "value")
+    out = drained(control.control_chart(e, 100.0, 60.0), "append")
+    return out.select(F.col("series").cast("long").alias("user_id"), "value", *[(R(c, 5) + 0.0).alias(c) for c in ("c_pos", "c_neg", "ewma")], "cusum_alarm", "ewma_alarm")

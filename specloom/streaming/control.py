@@ -41,10 +41,10 @@ def advance(rows: pd.DataFrame, state: tuple, target: float, sd: float, k: float
 
 
 def control_chart(stream: DataFrame, target: float, sd: float, k: float = 0.5, h: float = 5.0, lam: float = 0.2, width: float = 3.0) -> DataFrame:
-    """Charts of ``stream(series, seq timestamp, value)``; rows of a batch are put in order of ``seq``."""
+    """Charts of ``stream(series, seq timestamp, value)``; rows of a batch are put in order of ``seq``, ties of ``value``."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
+        rows = pd.concat(list(parts)).sort_values(["seq", "value"], kind="stable")
         now = state.get if state.exists else (0.0, 0.0, float(target), 0)
         out, after = advance(rows, tuple(now), target, sd, k, h, lam, width)
         state.update(after)
@@ -55,14 +55,19 @@ def control_chart(stream: DataFrame, target: float, sd: float, k: float = 0.5, h
     return rows.groupBy("series").applyInPandasWithState(run, CHART, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def timed(stream: DataFrame, ts: str) -> DataFrame:
+    """``ts`` as a time with a zone (the session's, where it has none), as watermarks ask for."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def daily_acceptance(stream: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
     """(day, n, r2) of ``stream(ts, y_true, y_pred)`` by event day; later rows than ``late`` are closed out."""
-    days = stream.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("day"))
+    days = timed(stream, ts).withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("day"))
     return days.agg(F.count("*").alias("n"), r2(T(), P()).alias("r2"))
 
 
 def alarm_counts(stream: DataFrame, threshold: float, ts: str = "ts", width: str = "1 hour", slide: str = "15 minutes", late: str = "1 hour") -> DataFrame:
     """Counts of agreeing and differing alarms over sliding event windows."""
     t, p = T() >= threshold, P() >= threshold
-    w = stream.withWatermark(ts, late).groupBy(F.window(ts, width, slide).alias("window"))
+    w = timed(stream, ts).withWatermark(ts, late).groupBy(F.window(ts, width, slide).alias("window"))
     return w.agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"))
