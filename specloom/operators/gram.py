@@ -7,7 +7,7 @@ receives one (p + 2)-square matrix per group however many samples there are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,8 +68,11 @@ class Centred:
         return Centred(self.n, self.mean_x[index], self.mean_y, self.xx[np.ix_(index, index)], self.xy[index], self.yy)
 
 
-def grams(df: DataFrame, group: str | None = None, x: str = "x", y: str | None = "y") -> dict:
-    """A Gram for each value of ``group`` (None: one, under None). Groups are folds or days: few."""
+def grams(df: DataFrame, group: str | None = None, x: str = "x", y: str | None = "y", design: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> dict:
+    """A Gram for each value of ``group`` (None: one, under None). Groups are folds or days: few.
+
+    ``design`` makes the matrix whose cross products are summed of a batch's x and y; [1, x, y] without it.
+    """
     cols = [F.col(x).alias("x"), (F.col(y).cast("double") if y and y in df.columns else F.lit(0.0)).alias("y"), (F.col(group) if group else F.lit(0)).cast("long").alias("g")]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,7 +80,8 @@ def grams(df: DataFrame, group: str | None = None, x: str = "x", y: str | None =
         for b in batches:
             if not len(b):
                 continue
-            z = np.column_stack([np.ones(len(b)), np.stack(b["x"].to_numpy()).astype(float), b["y"].to_numpy(float)])
+            xs, ys = np.stack(b["x"].to_numpy()).astype(float), b["y"].to_numpy(float)
+            z = design(xs, ys) if design else np.column_stack([np.ones(len(b)), xs, ys])
             for g in np.unique(b["g"].to_numpy()):
                 own = z[b["g"].to_numpy() == g]
                 sums[int(g)] = sums.get(int(g), 0) + own.T @ own
@@ -96,8 +100,8 @@ def grams(df: DataFrame, group: str | None = None, x: str = "x", y: str | None =
     return {g: Gram(m.reshape(int(len(m) ** 0.5), -1)) for g, m in flat.items()}
 
 
-def gram(df: DataFrame, x: str = "x", y: str | None = "y") -> Gram:
-    found = grams(df, None, x, y)
+def gram(df: DataFrame, x: str = "x", y: str | None = "y", design: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Gram:
+    found = grams(df, None, x, y, design)
     if None not in found:
         raise ValueError("no rows to sum over")
     return found[None]

@@ -2,17 +2,20 @@
 
 Kernel and iterative models work on the calibration set, which is a few hundred
 reference measurements by nature; it is fetched with a checked bound. Trees are
-the library's distributed ones and are fitted on the table itself.
+the library's distributed ones and are fitted on the table itself; generalised
+linear models can be (``fit_frame``), as their steps need cross products only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from . import linear
 
 #: Calibration samples that a non-linear model may fetch to the driver.
@@ -244,20 +247,22 @@ class Glm(Estimator):
     alpha: float = 1.0
     rounds: int = 100
 
-    def fit(self, x, y):
-        z, self.m, self.s = _standard(np.asarray(x, float))
-        y = np.asarray(y, float)
-        a = np.column_stack([np.ones(len(z)), z])
-        penalty = self.alpha * len(z) * np.diag(np.concatenate([[0.0], 1 / self.s**2]))
-        b = np.zeros(a.shape[1])
-        b[0] = y.mean() if self.identity else np.log(max(y.mean(), 1e-9))
+    def weighted(self, x: np.ndarray, y: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rows of [1, z, target] at ``b``, by the root of their weights: their cross products are a Newton step's system."""
+        a = np.column_stack([np.ones(len(x)), (x - self.m) / self.s])
+        eta = a @ b
+        mu = eta if self.identity else np.exp(np.clip(eta, -30, 30))
+        slope = np.ones_like(mu) if self.identity else mu
+        w = slope**2 / np.maximum(np.abs(mu) ** self.power, 1e-12)
+        return np.sqrt(w)[:, None] * np.column_stack([a, eta + (y - mu) / slope])
+
+    def _newton(self, n: float, mean_y: float, cross: Callable[[np.ndarray], np.ndarray]) -> Glm:
+        penalty = self.alpha * n * np.diag(np.concatenate([[0.0], 1 / self.s**2]))
+        b = np.zeros(len(self.s) + 1)
+        b[0] = mean_y if self.identity else np.log(max(mean_y, 1e-9))
         for _ in range(self.rounds):
-            eta = a @ b
-            mu = eta if self.identity else np.exp(np.clip(eta, -30, 30))
-            slope = np.ones_like(mu) if self.identity else mu
-            w = slope**2 / np.maximum(np.abs(mu) ** self.power, 1e-12)
-            target = eta + (y - mu) / slope
-            new = np.linalg.solve(a.T @ (w[:, None] * a) + penalty, a.T @ (w * target))
+            m = cross(b)
+            new = np.linalg.solve(m[:-1, :-1] + penalty, m[:-1, -1])
             done = np.abs(new - b).max() < 1e-9
             b = new
             if done:
@@ -266,6 +271,33 @@ class Glm(Estimator):
         self.coef_ = b[1:] / self.s
         return self
 
+    def fit(self, x, y):
+        x, y = np.asarray(x, float), np.asarray(y, float)
+        _, self.m, self.s = _standard(x)
+
+        def cross(b: np.ndarray) -> np.ndarray:
+            z = self.weighted(x, y, b)
+            return z.T @ z
+
+        return self._newton(len(x), y.mean(), cross)
+
+    def fit_frame(self, df: DataFrame) -> Glm:
+        """The same of a table (x, y) of any length: one scan for the scales, one for each Newton step, rows without a finite y go."""
+        from .gram import column_stats, gram
+
+        rows = df.where(F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double")))
+        self.m, sd = column_stats(rows)
+        self.s = np.where(sd > 0, sd, 1)
+        n, mean = rows.agg(F.count("*"), F.avg("y")).first()
+        if not n:
+            raise ValueError("no rows to fit on")
+        return self._newton(n, mean, lambda b: gram(rows, design=lambda x, y: self.weighted(x, y, b)).m)
+
+    def transform(self, df: DataFrame, out: str = "pred") -> DataFrame:
+        """``df`` with the prediction for its x, a native expression."""
+        eta = arrays.dot(F.col("x"), arrays.literal(self.coef_)) + float(self.b[0] - self.m @ self.coef_)
+        return df.withColumn(out, eta if self.identity else F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), eta))))
+
     def predict(self, x):
         eta = (np.asarray(x, float) - self.m) / self.s @ self.b[1:] + self.b[0]
         return eta if self.identity else np.exp(np.clip(eta, -30, 30))

@@ -651,11 +651,12 @@ def score_equations(spark, d):
     """X'mu + n alpha b for fitted generalised models with their natural links: X'y."""
     from .operators import zoo
 
-    x, y = zoo.calibration(vectors(spark, d, "label").withColumnRenamed("label", "y"))
+    df = vectors(spark, d, "label").withColumnRenamed("label", "y").where("y IS NOT NULL")
     rows = []
     for model in ("poisson", "tweedie"):
-        m = zoo.build_model(model, alpha=0.01).fit(x, y)
-        rows += [(model, j, round(float(v), 3)) for j, v in enumerate(x.T @ m.predict(x) + len(y) * 0.01 * m.coef_)]
+        m = zoo.build_model(model, alpha=0.01).fit_frame(df)
+        g = gram.gram(m.transform(df, "mu"), y="mu")
+        rows += [(model, j, round(float(v), 3)) for j, v in enumerate(g.m[1:-1, -1] + g.n * 0.01 * m.coef_)]
     return spark.createDataFrame(rows, "model string, j int, v double")
 
 

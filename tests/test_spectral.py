@@ -320,6 +320,23 @@ def test_generalised_models_solve_their_score_equations(key, power):
     assert abs(((y - mu) / mu**power * slope).sum()) < 1e-6
 
 
+@pytest.mark.parametrize("key", ["poisson", "gamma", "tweedie"])
+def test_generalised_models_fit_on_tables(spark, key):
+    """The same coefficients as on arrays, rows without a target left out, on a table that may not be fetched."""
+    rng = np.random.default_rng(2)
+    n = zoo.MAX_CALIBRATION + 500
+    x = rng.normal(size=(n, 3)) * [1, 5, 0.2]
+    y = rng.poisson(np.exp(0.3 + x @ [0.2, 0.05, 1])) + 1.0
+    rows = [(a.tolist(), float(b)) for a, b in zip(x, y)] + [([1.0, 1.0, 1.0], None), ([2.0, 1.0, 1.0], float("nan"))]
+    df = spark.createDataFrame(rows, "x array<double>, y double").cache()
+    with pytest.raises(ValueError):
+        zoo.calibration(df)
+    there, here = zoo.build_model(key, alpha=0.1).fit_frame(df), zoo.build_model(key, alpha=0.1).fit(x, y)
+    assert np.allclose(there.coef_, here.coef_, atol=1e-9)
+    got = np.array([r.mu for r in there.transform(df.limit(50), "mu").collect()])
+    assert np.allclose(got, here.predict(x[:50]), atol=1e-8)
+
+
 def test_registry():
     assert {"ols", "pls", "rf", "gam"} <= set(zoo.MODELS.keys()) and "latent" in zoo.MODELS.families()
     assert zoo.MODELS.keys(family="latent") == ["pcr", "pls"]
