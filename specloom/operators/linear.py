@@ -85,29 +85,29 @@ def lars(c: Centred, max_steps: int = 500) -> np.ndarray:
 
 
 def pls_path(c: Centred, n_components: int, scale: bool = True) -> np.ndarray:
-    """(n_components, p): coefficients after each PLS1 component, columns scaled by their sample sd."""
+    """(n_components, p): coefficients after each PLS1 component, columns scaled by their sample sd.
+
+    A direction is made conjugate to all earlier ones twice over, and its step is taken against what is left to
+    explain, computed anew: components past the point of convergence then move the coefficients by rounding only.
+    """
     sd = np.sqrt(np.maximum(np.diag(c.xx), 0) / max(c.n - 1, 1)) if scale else np.ones(len(c.xy))
     sd = np.where(sd > 0, sd, 1.0)
     g, q = c.xx / np.outer(sd, sd), c.xy / sd
-    ws, ps, qs, out, residual = [], [], [], [], q.copy()
+    b, out, floor = np.zeros(len(q)), [], 1e-14 * np.linalg.norm(q)
+    rs, ps = np.zeros((0, len(q))), np.zeros((0, len(q)))
     for _ in range(n_components):
+        residual = q - g @ b
         size = np.linalg.norm(residual)
-        if size < 1e-14:
-            out.append(out[-1] if out else np.zeros(len(q)))
-            continue
-        r = w = residual / size
-        for p, rr in zip(ps, ws):
-            r = r - (p @ w) * rr
-        t = float(r @ g @ r)
-        if t <= 0:
-            out.append(out[-1] if out else np.zeros(len(q)))
-            continue
-        p, beta = g @ r / t, float(r @ q) / t
-        ws.append(r)
-        ps.append(p)
-        qs.append(beta)
-        residual = residual - p * beta * t
-        out.append(np.array(ws).T @ np.array(qs) / sd)
+        if size > floor:
+            r = residual / size
+            for _ in range(2):
+                r = r - (ps @ r) @ rs
+            t = float(r @ g @ r)
+            # Rows are independent only as far as rounding goes: a direction that is all rounding explains nothing.
+            if t > 1e-14 * np.trace(g) * float(r @ r) and np.linalg.norm(r) > 1e-12:
+                b = b + r * (float(r @ residual) / t)
+                rs, ps = np.vstack([rs, r]), np.vstack([ps, g @ r / t])
+        out.append(b / sd)
     return np.array(out)
 
 

@@ -266,6 +266,16 @@ def test_pls_against_nipals(k):
     assert np.allclose(linear.pls(gram.Gram.of(x, y).centred(), k), nipals(x, y, k), atol=1e-9)
 
 
+def test_pls_stays_put_once_it_has_converged():
+    """Components past the last that explains anything: as many samples as make rounding outweigh an absolute floor."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5000, 64))
+    y = x @ np.eye(64)[[5, 20, 40]].T @ [2, -1, 0.5]
+    path = linear.pls_path(gram.Gram.of(x, y).centred(), 60)
+    want = np.eye(64)[[5, 20, 40]].T @ [2, -1, 0.5]
+    assert np.abs(path[25:] - want).max() < 1e-9
+
+
 def test_linear_solvers():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 6))
