@@ -392,12 +392,17 @@ def event_predictions(spark, d) -> DataFrame:
     return s.select(F.col("event_type").alias("model_type"), "seq", F.datediff("ts", F.lit("2020-01-01")).alias("day_idx"), F.col("value").alias("y_true"), F.coalesce(F.lag("value").over(w), F.col("value")).alias("y_pred"))
 
 
+def event_scores(spark, d) -> DataFrame:
+    """Their scores; the SQL divides by zero truths too."""
+    return scoring.score_rows(event_predictions(spark, d), TUR, skip_zeros=False)
+
+
 _SHORT = {"alarm_acc": "alarm_acc", "alarm_err": "alarm_err", "mape": "mape", "r2_score": "r2_score", "pearson_r_score": "pearson", "daily_r2_score": "daily_r2_score", "daily_pearson_r_score": "daily_pearson_r_score", "rmse": "rmse", "rate of reaching the standard": "rate", "bad grouped ratio": "grouped", "durbin_watson_value": "dw", "Kurtosis": "kurt", "skew": "sk"}
 
 
 @query(f"WITH {SCORED} SELECT model_type, {', '.join(f'round({c}, 5) AS {c}' for c in _SHORT.values())} FROM m JOIN d USING (model_type)")
 def score_rows(spark, d):
-    out = scoring.score_rows(event_predictions(spark, d), TUR)
+    out = event_scores(spark, d)
     return out.select("model_type", *[R(F.col(f"`{k}`"), 5).alias(v) for k, v in _SHORT.items()])
 
 
