@@ -417,7 +417,7 @@ def _rank_sql() -> str:
 
 @query(f"WITH {SCORED}, {_rank_sql()} SELECT model_type, round(rank, 5) AS rank FROM r")
 def rank_components(spark, d):
-    return scoring.rank_models(scoring.score_rows(event_predictions(spark, d), TUR)).select("model_type", R("rank", 5).alias("rank"))
+    return scoring.rank_models(event_scores(spark, d)).select("model_type", R("rank", 5).alias("rank"))
 
 
 @query(f"WITH {SCORED}, {_rank_sql()} SELECT model_type, round(rank, 5) AS rank FROM r ORDER BY r.rank, model_type LIMIT 3")
