@@ -422,7 +422,7 @@ def rank_components(spark, d):
 
 @query(f"WITH {SCORED}, {_rank_sql()} SELECT model_type, round(rank, 5) AS rank FROM r ORDER BY r.rank, model_type LIMIT 3")
 def top_models(spark, d):
-    ranked = scoring.rank_models(scoring.score_rows(event_predictions(spark, d), TUR))
+    ranked = scoring.rank_models(event_scores(spark, d))
     return scoring.select_top_k(ranked, 3).select("model_type", R("rank", 5).alias("rank"))
 
 
