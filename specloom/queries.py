@@ -1012,7 +1012,7 @@ def scoring_file(spark, d):
     from .sources.tables import read_scores, write_scores
 
     at = f"{scratch(spark)}/scores"
-    scores = scoring.score_rows(event_predictions(spark, d), TUR)
+    scores = event_scores(spark, d)
     write_scores(scores, at)
     write_scores(scores.where("model_type <> 'view'"), at, merge=True)
     return read_scores(spark, at).select("model_type", R("rank", 5).alias("rank"), R("rmse", 5).alias("rmse"))

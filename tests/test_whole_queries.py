@@ -55,7 +55,7 @@ def differing(spark, name, at):
     return sorted(map(str, map(tuple, got))), sorted(map(str, want))
 
 
-@pytest.mark.parametrize("name", ["score_rows", "rank_components", "top_models"])
+@pytest.mark.parametrize("name", ["score_rows", "rank_components", "top_models", "scoring_file"])
 def test_zero_truths_as_in_sql(spark, zero_values, name):
     got, want = differing(spark, name, zero_values)
     assert got == want
