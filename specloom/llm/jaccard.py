@@ -2,17 +2,16 @@
 
 MinHash bands gather texts in buckets, the shingle sets of both texts decide: a
 pair at similarity 0.8 shares none of the 25 bands of 6 hashes with probability
-0.0005. Only components are wanted, so no bucket proposes all of its pairs: every
-member is compared with the bucket's pivot, the member that shares most buckets
-with most texts (the text that the others are copies of, where there is one). In
-a second round the members outside the bucket's commonest component choose a
-pivot among themselves, which is compared with all members of other components
-that sizes and the triangle inequality allow (1 - similarity is a metric). Pairs
-grow with the members of buckets, never with their square.
-
-Every link that is returned is exact. A link can be lost where neither text is
-a pivot and both lie on the rim of a group (further than 0.2 from two pivots):
-on the table with a group of 2 300 near copies that was 1 of its links.
+0.0005. Texts that buckets connect form a group, whose sets are brought together
+once. There every text is compared with all members of its buckets that are not
+yet in its component and whose sizes allow the threshold, so members of a bucket
+are left uncompared only where links found already join them: no link between
+components of a bucket is lost, and a bucket of copies costs a comparison each.
+A group of more than ``GROUP`` shingles is cut into blocks and each pair of
+blocks compared by a task of its own.
+
+Every link that is returned is exact. They are enough to connect each component,
+not all pairs inside it.
 
 Defined results: equal word sequences count as one text; null, empty and texts of
 fewer than five words have no shingles and are near only their equals; an empty
@@ -39,6 +38,8 @@ REACH = 1 - THRESHOLD + 1e-9
 BANDS, ROWS = 25, 6
 #: Shingles of a text are hashed in blocks of this many.
 BLOCK = 1 << 12
+#: Shingles of a group that one task compares; a larger group is cut into blocks of this many.
+GROUP = 1 << 20
 _FACTORS, _OFFSETS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -87,11 +88,16 @@ def marks(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     return rows.mapInArrow(run, f"doc_id {kind}, th binary, fp long, k long, n long, bands array<long>")
 
 
-def cells(texts: DataFrame) -> DataFrame:
-    """(band, k, n, weight): members of shared buckets of ``texts(k, n, bands)``; a member weighs the sizes of its buckets."""
+def buckets(texts: DataFrame) -> DataFrame:
+    """(band, k, n, c): members of shared buckets of ``texts(k, n, bands)``, and how many share the bucket."""
     spread = texts.select("k", "n", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
-    spread = durable(spread.join(shared, "band"))
+    return durable(spread.join(shared, "band"))
+
+
+def cells(texts: DataFrame) -> DataFrame:
+    """(band, k, n, weight): members of shared buckets of ``texts(k, n, bands)``; a member weighs the sizes of its buckets."""
+    spread = buckets(texts)
     weights = spread.groupBy("k").agg(F.sum("c").alias("weight"))
     return spread.join(weights, "k").select("band", "k", "n", "weight")
 
@@ -151,13 +157,80 @@ def distances(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(second, "b").join(first, "a").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long, d double")
 
 
+def grouped(members: DataFrame, most: int = GROUP) -> DataFrame:
+    """(k, bands, part, whole, i, j, block): the tasks that compare each text of ``members(band, k, n)``.
+
+    A group of up to ``most`` shingles is compared whole, along with others of its ``part``. In a larger one
+    a text goes to the tasks of its block and each other, (i, j), where only pairs across the blocks count.
+    """
+    least = members.groupBy("band").agg(F.min("k").alias("a"))
+    roots = stars(members.join(least, "band").select("a", F.col("k").alias("b"))).withColumnRenamed("node", "k")
+    texts = members.groupBy("k").agg(F.first("n").alias("n"), F.collect_list("band").alias("bands"))
+    texts = durable(texts.join(roots, "k", "left").withColumn("g", F.coalesce("root", "k")).drop("root"))
+    sizes = texts.groupBy("g").agg(F.ceil(F.sum("n") / most).cast("int").alias("blocks"))
+    parts = max(1, -(-(texts.agg(F.sum("n")).first()[0] or 0) // most))
+    whole = F.col("blocks") == 1
+    dealt = texts.join(sizes, "g").withColumn("whole", whole).withColumn("part", F.when(whole, F.pmod(F.xxhash64("g"), F.lit(parts))).otherwise(F.col("g")))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("k", "bands", "part", "whole", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+
+
+def joining(keys: np.ndarray, found: list[np.ndarray], bands: list[list[int]], block: np.ndarray) -> list[tuple[int, int]]:
+    """Links (a, b) that connect the components of texts; of pairs that share a band, across blocks where there are two."""
+    n = len(keys)
+    sizes = np.array([len(s) for s in found], np.int64)
+    ends = np.cumsum(sizes)
+    names, ids = np.unique(np.concatenate(found), return_inverse=True)
+    own = [ids[e - k : e] for e, k in zip(ends, sizes)]
+    held: dict[int, list[int]] = {}
+    for x, each in enumerate(bands):
+        for band in each:
+            held.setdefault(band, []).append(x)
+    shared = {band: np.array(x, np.int64) for band, x in held.items() if len(x) > 1}
+    across = len(np.unique(block)) > 1
+    component, marked, asked, out = np.arange(n), np.zeros(len(names), bool), np.zeros(n, bool), []
+    for x in range(n):
+        for band in bands[x]:
+            if band in shared:
+                asked[shared[band]] = True
+        met = np.flatnonzero(asked)
+        asked[met] = False
+        met = met[(met > x) & (component[met] != component[x])]
+        if across:
+            met = met[block[met] != block[x]]
+        met = met[np.minimum(sizes[met], sizes[x]) >= (1 - REACH) * np.maximum(sizes[met], sizes[x])]
+        marked[own[x]] = True
+        for k in range(0, len(met), 1024):
+            part = met[k : k + 1024]
+            hits = marked[np.concatenate([own[m] for m in part])]
+            both = np.add.reduceat(hits, np.cumsum(sizes[part]) - sizes[part], dtype=np.int64)
+            for m in part[1 - both / (sizes[part] + sizes[x] - both) <= REACH].tolist():
+                if component[m] != component[x]:
+                    component[component == component[m]] = component[x]
+                    out.append((int(keys[x]), int(keys[m])))
+        marked[own[x]] = False
+    return out
+
+
+def connected(tasks: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): links that connect each component of the texts of ``tasks``, whose sets are ``found(k, s)``."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        keys = rows["k"].to_numpy()
+        own = [np.frombuffer(x.as_py(), np.uint64) for x in rows["s"]]
+        pairs = joining(keys, own, rows["bands"].to_pylist(), rows["block"].to_numpy())
+        release()
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+    return tasks.join(found, "k").groupBy("part", "whole", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def links(df: DataFrame, marked: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b): links between SimHash fingerprints that join texts at the threshold to components."""
     one = F.min(F.struct("doc_id", "th", "fp", "n", "bands")).alias("at")
     texts = durable(marked.where("n > 0").groupBy("k").agg(one).select("k", "at", "at.fp", "at.n", "at.bands"))
-    members = durable(cells(texts))
-    found = durable(sets(df, texts, members.select("k").distinct(), doc_id, text))
-    apart = durable(distances(first_pairs(members), found))
-    both = apart.union(distances(second_pairs(members, apart), found)).where(f"d <= {REACH}").select("a", "b")
+    members = buckets(texts)
+    both = connected(grouped(members), sets(df, texts, members.select("k").distinct(), doc_id, text))
     named_a, named_b = texts.select(F.col("k").alias("a"), F.col("fp").alias("fa")), texts.select(F.col("k").alias("b"), F.col("fp").alias("fb"))
     return durable(both.join(named_a, "a").join(named_b, "b").where("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct())

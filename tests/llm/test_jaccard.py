@@ -86,3 +86,46 @@ def test_odd_rows(spark, odd):
     assert found_groups(odd) == brute_groups(texts)
     empty = odd.limit(0)
     assert jaccard.links(empty, jaccard.marks(empty)).count() == 0
+
+
+def rims(groups=6, copies=40, length=120):
+    """Texts that are near each other but mostly not near the text with most buckets."""
+    rnd = random.Random(3)
+    texts = []
+    for g in range(groups):
+        words = [f"g{g}w{i}" for i in range(length)]
+        for k in range(copies):
+            words = list(words)
+            if k % 3:
+                words[rnd.randrange(length)] = f"e{g}x{k}"
+            texts.append(" ".join(words))
+            texts.append(" ".join(words[: length - rnd.randrange(length // 5)]))
+    return texts
+
+
+def test_no_link_of_a_bucket_is_lost(spark):
+    """Chains and rims: the components are those of all pairs compared, whether a group is compared whole or by blocks."""
+    texts = rims()
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").cache()
+    want = brute_groups(texts)
+    assert found_groups(df) == want
+    marked = jaccard.marks(df).where("n > 0").cache()
+    one = marked.groupBy("k").agg({"n": "first"}).count()
+    texts_of = marked.dropDuplicates(["k"]).selectExpr("k", "struct(doc_id, th) AS at", "n", "bands").cache()
+    members = jaccard.buckets(texts_of)
+    found = jaccard.sets(df, texts_of, members.select("k").distinct(), "doc_id", "text").cache()
+    assert texts_of.count() == one
+    joined = lambda most: groups([r.k for r in texts_of.collect()], [(r.a, r.b) for r in jaccard.connected(jaccard.grouped(members, most), found).collect()])
+    assert jaccard.grouped(members, 2000).where("NOT whole AND i < j").count() > 0
+    assert joined(jaccard.GROUP) == joined(2000)
+
+
+def test_pairs_beside_the_pivot(spark):
+    """Five pairs of near copies in one bucket, each far from the others: whichever text is the pivot, none may be lost."""
+    words = lambda g: [f"g{g}w{i}" for i in range(100)]
+    texts = [" ".join(t) for g in range(5) for t in (words(g), [*words(g)[:50], "edit", *words(g)[51:]])]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    marked = jaccard.marks(df).selectExpr("doc_id", "th", "fp", "k", "n", "array(1L) AS bands")
+    rows = jaccard.links(df, marked).collect()
+    got = groups([simhash.fingerprint(t.encode()) for t in texts], [(r.a % 2**64, r.b % 2**64) for r in rows])
+    assert got == brute_groups(texts) and len(got) == 5
