@@ -386,15 +386,23 @@ SCORED = """p AS (SELECT event_type AS model_type, ts, event_id, value AS t, lag
 
 
 def event_predictions(spark, d) -> DataFrame:
-    """Each event's value predicted by the one before it of its type."""
+    """Each event's value predicted by the one before it of its type, the first by itself; unknown times and ids come last."""
+    late = [F.col(c).isNull().alias(f"no_{c}") for c in ("ts", "event_id")]
+    s = series(spark, d).withColumn("seq", F.struct(late[0], "ts", late[1], "event_id"))
     w = Window.partitionBy("event_type").orderBy("seq")
-    s = series(spark, d)
-    return s.select(F.col("event_type").alias("model_type"), "seq", F.datediff("ts", F.lit("2020-01-01")).alias("day_idx"), F.col("value").alias("y_true"), F.coalesce(F.lag("value").over(w), F.col("value")).alias("y_pred"))
+    pred = F.when(F.row_number().over(w) == 1, F.col("value")).otherwise(F.lag("value").over(w))
+    return s.select(F.col("event_type").alias("model_type"), "seq", F.datediff("ts", F.lit("2020-01-01")).alias("day_idx"), F.col("value").alias("y_true"), pred.alias("y_pred"))
 
 
 def event_scores(spark, d) -> DataFrame:
-    """Their scores; the SQL divides by zero truths too."""
-    return scoring.score_rows(event_predictions(spark, d), TUR, skip_zeros=False)
+    """Their scores by the SQL's formulae."""
+    return scoring.score_rows(event_predictions(spark, d), TUR, plain=True)
+
+
+def half_away(c, digits: int):
+    """Rounded as the SQL does it: the scaled double, halves away from zero, small negatives to -0.0."""
+    v = F.round(F.abs(c) * 10.0**digits, 0) / 10.0**digits
+    return F.when(c < 0, -v).otherwise(v)
 
 
 _SHORT = {"alarm_acc": "alarm_acc", "alarm_err": "alarm_err", "mape": "mape", "r2_score": "r2_score", "pearson_r_score": "pearson", "daily_r2_score": "daily_r2_score", "daily_pearson_r_score": "daily_pearson_r_score", "rmse": "rmse", "rate of reaching the standard": "rate", "bad grouped ratio": "grouped", "durbin_watson_value": "dw", "Kurtosis": "kurt", "skew": "sk"}
@@ -403,7 +411,7 @@ _SHORT = {"alarm_acc": "alarm_acc", "alarm_err": "alarm_err", "mape": "mape", "r
 @query(f"WITH {SCORED} SELECT model_type, {', '.join(f'round({c}, 5) AS {c}' for c in _SHORT.values())} FROM m JOIN d USING (model_type)")
 def score_rows(spark, d):
     out = event_scores(spark, d)
-    return out.select("model_type", *[R(F.col(f"`{k}`"), 5).alias(v) for k, v in _SHORT.items()])
+    return out.select("model_type", *[half_away(F.col(f"`{k}`"), 5).alias(v) for k, v in _SHORT.items()])
 
 
 def _rank_sql() -> str:

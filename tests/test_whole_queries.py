@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 
 from specloom import queries
+from specloom.operators import scoring
+from specloom.operators.guards import WATER_PARAMS
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +63,45 @@ def test_zero_truths_as_in_sql(spark, zero_values, name):
     assert got == want
     if name == "score_rows":
         assert sum("inf" in r for r in got) == 2 and sum("nan" in r for r in got) == 1
+
+
+@pytest.fixture(scope="module")
+def odd_events(spark, tmp_path_factory):
+    """Events of types without variance, of few rows, of unknown values, times, ids and type, of negative zeros and tiny scores."""
+    rng, at = np.random.default_rng(1), str(tmp_path_factory.mktemp("odd"))
+    start = datetime.datetime(2024, 1, 1)
+    value = lambda: round(float(rng.gamma(1, 50)), 2)
+    kinds = {
+        "gaps": [None if k % 9 < 2 else value() for k in range(200)],
+        "flat": [5.5] * 40,
+        "flatday": [5.5] * 40 + [value() for _ in range(40)],
+        "lone": [5.5],
+        "negzero": [-0.0 if k % 50 == 7 else value() for k in range(200)],
+        "pair": [3.0, 4.0],
+        "three": [5.0, 6.0, 9.0],
+        "tiny": [-1e6 - k % 2 for k in range(40)],
+        "untimed": [value() for _ in range(40)],
+        "void": [None] * 40,
+        None: [value() for _ in range(40)],
+    }
+    rows = [(1000 * i + k, start + datetime.timedelta(hours=k), 1, kind, v) for i, (kind, values) in enumerate(kinds.items()) for k, v in enumerate(values)]
+    rows = [(None if r[0] % 7 == 3 else r[0], None if r[0] % 5 == 2 else r[1], *r[2:]) if r[3] == "untimed" else r for r in rows]
+    # An id at least for each event without a time: the order must not be left open.
+    rows = [(k, *r[1:]) if r[1] is None else r for k, r in enumerate(rows)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{at}/events.parquet")
+    return at
+
+
+def test_odd_scores_as_in_sql(spark, odd_events):
+    got, want = differing(spark, "score_rows", odd_events)
+    assert got == want and len(got) == 9
+    assert any("tiny" in r and "-0.0," in r for r in got) and any("flat'" in r and "nan" in r for r in got)
+
+
+def test_scores_of_constant_models(spark):
+    """Undefined scores are null: no division by zero."""
+    rows = [(kind, k, k // 5, t, p) for k in range(10) for kind, t, p in (("same", 2.0, 2.0), ("flat", float(k), 2.0))]
+    df = spark.createDataFrame(rows, "model_type string, seq long, day_idx int, y_true double, y_pred double")
+    got = {r.model_type: r for r in scoring.score_rows(df, WATER_PARAMS["TN"]).collect()}
+    assert all(got[k][c] is None for k in got for c in ("pearson_r_score", "daily_pearson_r_score", "LM_p", "F_p"))
+    assert got["same"].r2_score is None and got["flat"].r2_score == pytest.approx(1 - 145 / 82.5)
