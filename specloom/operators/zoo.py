@@ -247,14 +247,22 @@ class Glm(Estimator):
     alpha: float = 1.0
     rounds: int = 100
 
-    def weighted(self, x: np.ndarray, y: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rows of [1, z, target] at ``b``, by the root of their weights: their cross products are a Newton step's system."""
-        a = np.column_stack([np.ones(len(x)), (x - self.m) / self.s])
-        eta = a @ b
-        mu = eta if self.identity else np.exp(np.clip(eta, -30, 30))
-        slope = np.ones_like(mu) if self.identity else mu
-        w = slope**2 / np.maximum(np.abs(mu) ** self.power, 1e-12)
-        return np.sqrt(w)[:, None] * np.column_stack([a, eta + (y - mu) / slope])
+    def weighted(self, b: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """x and y to rows of [1, z, target] at ``b``, by the root of their weights: their cross products are a Newton step's system.
+
+        What is returned holds arrays and numbers only, so workers need not import this package for it.
+        """
+        m, s, power, identity = self.m, self.s, self.power, self.identity
+
+        def rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            a = np.column_stack([np.ones(len(x)), (x - m) / s])
+            eta = a @ b
+            mu = eta if identity else np.exp(np.clip(eta, -30, 30))
+            slope = np.ones_like(mu) if identity else mu
+            w = slope**2 / np.maximum(np.abs(mu) ** power, 1e-12)
+            return np.sqrt(w)[:, None] * np.column_stack([a, eta + (y - mu) / slope])
+
+        return rows
 
     def _newton(self, n: float, mean_y: float, cross: Callable[[np.ndarray], np.ndarray]) -> Glm:
         penalty = self.alpha * n * np.diag(np.concatenate([[0.0], 1 / self.s**2]))
@@ -276,22 +284,25 @@ class Glm(Estimator):
         _, self.m, self.s = _standard(x)
 
         def cross(b: np.ndarray) -> np.ndarray:
-            z = self.weighted(x, y, b)
+            z = self.weighted(b)(x, y)
             return z.T @ z
 
         return self._newton(len(x), y.mean(), cross)
 
     def fit_frame(self, df: DataFrame) -> Glm:
-        """The same of a table (x, y) of any length: one scan for the scales, one for each Newton step, rows without a finite y go."""
-        from .gram import column_stats, gram
+        """The same of a table (x, y) of any length: one scan for the scales, one for each Newton step, rows without x or a finite y go."""
+        from .gram import gram, long_stats
 
-        rows = df.where(F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double")))
-        self.m, sd = column_stats(rows)
-        self.s = np.where(sd > 0, sd, 1)
+        rows = df.where(F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double")) & (F.size("x") > 0))
         n, mean = rows.agg(F.count("*"), F.avg("y")).first()
         if not n:
             raise ValueError("no rows to fit on")
-        return self._newton(n, mean, lambda b: gram(rows, design=lambda x, y: self.weighted(x, y, b)).m)
+        stats = long_stats(rows).orderBy("j").collect()
+        self.m, sd = np.array([r["mean"] for r in stats], float), np.array([r["sd_pop"] for r in stats], float)
+        if any(r["n"] != n for r in stats) or np.isnan(self.m).any():
+            raise ValueError(f"spectra of {len(stats)} channels, each with a value, expected")
+        self.s = np.where(sd > 0, sd, 1)
+        return self._newton(n, mean, lambda b: gram(rows, design=self.weighted(b)).m)
 
     def transform(self, df: DataFrame, out: str = "pred") -> DataFrame:
         """``df`` with the prediction for its x, a native expression."""

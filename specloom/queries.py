@@ -661,16 +661,27 @@ def sparse_equations(spark, d):
 
 @query(f"WITH {LONG} SELECT model, j::INTEGER AS j, round(sum(a * label), 3) AS v FROM long, (SELECT unnest(['poisson', 'tweedie']) AS model) GROUP BY model, j")
 def score_equations(spark, d):
-    """X'mu + n alpha b for fitted generalised models with their natural links: X'y."""
+    """X'mu + n alpha b for fitted generalised models with their natural links: X'y.
+
+    A missing channel adds nothing to the SQL's sums, so it is a zero here; without any label the sums are unknown.
+    """
     from .operators import zoo
 
-    df = vectors(spark, d, "label").withColumnRenamed("label", "y").where("y IS NOT NULL")
-    rows = []
-    for model in ("poisson", "tweedie"):
+    found = vectors(spark, d, "label").withColumnRenamed("label", "y").where(F.size("x") > 0)
+    # Null only where the value isn't found and an element is null.
+    gap = F.array_contains("x", float(np.finfo(float).max)).isNull()
+    labels, channels, gaps = found.agg(F.count("y"), F.max(F.size("x")), F.max(gap)).first()
+    schema, models, rows = "model string, j int, v double", ("poisson", "tweedie"), []
+    if not labels:
+        return spark.createDataFrame([(model, j, None) for model in models for j in range(channels or 0)], schema)
+    df = found.where("y IS NOT NULL")
+    if gaps:
+        df = df.withColumn("x", F.transform("x", lambda v: F.coalesce(v, F.lit(0.0))))
+    for model in models:
         m = zoo.build_model(model, alpha=0.01).fit_frame(df)
         g = gram.gram(m.transform(df, "mu"), y="mu")
         rows += [(model, j, round(float(v), 3)) for j, v in enumerate(g.m[1:-1, -1] + g.n * 0.01 * m.coef_)]
-    return spark.createDataFrame(rows, "model string, j int, v double")
+    return spark.createDataFrame(rows, schema)
 
 
 def _trained(spark, d, chain=()):

@@ -1,11 +1,15 @@
 import datetime
+import os
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from specloom import queries
-from specloom.operators import scoring
+from specloom.operators import scoring, zoo
 from specloom.operators.guards import WATER_PARAMS
 
 SF = "/root/testdata/sf0.001"
@@ -105,3 +109,35 @@ def test_scores_of_constant_models(spark):
     got = {r.model_type: r for r in scoring.score_rows(df, WATER_PARAMS["TN"]).collect()}
     assert all(got[k][c] is None for k in got for c in ("pearson_r_score", "daily_pearson_r_score", "LM_p", "F_p"))
     assert got["same"].r2_score is None and got["flat"].r2_score == pytest.approx(1 - 145 / 82.5)
+
+
+@pytest.mark.parametrize("case", ["unknown", "unlabelled", "none"])
+def test_score_equations_of_unknown_values(spark, tmp_path, case):
+    """Vectors that are unknown, empty or lack a channel, unknown labels, no labels, no rows: as in the SQL."""
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(np.float32(v)) for v in rng.normal(0, 0.1, 6)], int(rng.integers(0, 10))) for k in range(120)]
+    rows = [(k, None if k % 40 == 1 else [] if k % 40 == 2 else [None, *x[1:]] if k % 40 == 3 else x, None if k % 40 == 4 or case == "unlabelled" else y) for k, x, y in rows]
+    spark.createDataFrame(rows if case != "none" else [], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = c.execute(queries.ORACLES["score_equations"]).fetchall()
+    got = queries.QUERIES["score_equations"](spark, str(tmp_path)).select("model", "j", "v").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) == (0 if case == "none" else 12)
+
+
+def test_newton_step_needs_no_package_on_workers(tmp_path):
+    """What a worker gets runs where this package can't be imported."""
+    x, y, b = np.arange(6.0).reshape(3, 2), np.array([1.0, 2.0, 5.0]), np.array([0.1, 0.2, -0.1])
+    m = zoo.build_model("poisson", alpha=0.1).fit(x, y)
+    run = "import pickle, sys; f, x, y = pickle.load(sys.stdin.buffer); sys.stdout.buffer.write(f(x, y).tobytes())"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", run], input=cloudpickle.dumps((m.weighted(b), x, y)), capture_output=True, cwd=tmp_path, env=env)
+    assert not out.returncode, out.stderr.decode()
+    assert np.allclose(np.frombuffer(out.stdout).reshape(3, 4), m.weighted(b)(x, y))
+
+
+@pytest.mark.parametrize("odd", [[1.0], [1.0, None], [1.0, float("nan")]])
+def test_models_on_tables_refuse_missing_channels(spark, odd):
+    df = spark.createDataFrame([([1.0, 2.0], 1.0), ([2.0, 1.0], 2.0), (odd, 3.0)], "x array<double>, y double")
+    with pytest.raises(ValueError, match="2 channels"):
+        zoo.build_model("poisson", alpha=0.1).fit_frame(df)
